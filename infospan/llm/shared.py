@@ -42,3 +42,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def empty_text(column) -> F.Column:
     return F.coalesce(column, F.lit(""))
+
+
+def open_store(uri: str):
+    """The pyarrow file system of a place in the shared folder, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
