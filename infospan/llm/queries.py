@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import packing, rans, simhash
+from infospan.llm import langid, packing, rans, simhash
 from infospan.llm.tokens import public_path
 
 
@@ -20,6 +20,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(langid.fold() != 0), "doc_id", "text", "lang")
+    found = langid.predict(docs, model, "doc_id", "text")
+    return found.select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=1024, end_id=2, carry={"ids_crc32": F.crc32("ids")})
     return packed.places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -31,6 +38,7 @@ def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
     "op10_rans_ids": op10_rans_ids,
