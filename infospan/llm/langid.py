@@ -10,6 +10,7 @@ is above what the training rows of the language reach.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,11 @@ from infospan.llm.tokens import slices
 UNKNOWN = "und"
 ORDER = 5
 #: Training rows of each language at most, chosen by a hash of the id; the model's size follows this, not the corpus.
-TRAINING_ROWS = 2_000
+TRAINING_ROWS = 500
 #: Share of each language's training rows that may lie above its rejection threshold, and the slack in bits a character.
-REJECTED_SHARE, SLACK_BITS = 0.001, 0.5
+REJECTED_SHARE, SLACK_BITS = 0.001, 1.5
+#: Words whose bits a worker remembers before it starts afresh.
+REMEMBERED = 1_000_000
 #: Characters after which more text adds nothing to the score's certainty.
 SURE_CHARS = 40
 BOUNDARY = 0x110000
@@ -69,11 +72,17 @@ def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return word[keep], hashes[:, keep], np.flatnonzero(keep)
 
 
-def context_hash(codes: tuple[int, ...]) -> int:
-    h = np.array([len(codes)], np.uint64)
-    for c in reversed(codes):
-        h = _mix(h, np.array([c], np.uint64))
-    return int(h[0])
+def gram_hashes(listed: list[str]) -> np.ndarray:
+    """The hashes of n-grams of one size, as grams() makes them; a line end stands for a boundary mark."""
+    if not listed:
+        return np.zeros(0, np.uint64)
+    size = len(listed[0])
+    codes = np.frombuffer("".join(listed).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, size)
+    codes[codes == ord("\n")] = BOUNDARY
+    h = np.full(len(listed), np.uint64(size))
+    for k in range(size - 1, -1, -1):
+        h = _mix(h, codes[:, k])
+    return h
 
 
 @dataclass
@@ -84,6 +93,7 @@ class Model:
     backoff: list[np.ndarray]  # by order: (keys, languages), log2 weight of the lower order after this context; 0 if unseen
     floor: np.ndarray  # log2 probability of a character never seen
     limit: np.ndarray  # highest cross-entropy a character that isn't rejected
+    name: str
 
     def cross_entropy(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word by each language, and its number of characters (with the closing boundary)."""
@@ -97,7 +107,7 @@ class Model:
         before = np.zeros_like(hashes)
         before[:, 1:] = hashes[:, :-1]
         first = np.concatenate(([True], word[1:] != word[:-1]))
-        opening = np.uint64(context_hash((BOUNDARY,)))
+        opening = gram_hashes(["\n"])[0]
         before[:, first] = 0
         before[1, first] = opening
         for n in range(1, order + 1):
@@ -141,18 +151,15 @@ def _gram_counts(rows: DataFrame, order: int) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _codes(gram: str) -> tuple[int, ...]:
-    return tuple(BOUNDARY if c == "\n" else ord(c) for c in gram)
-
-
 def kneser_ney(counts: dict[str, dict[str, int]], order: int) -> Model:
-    """Interpolated modified-discount-free Kneser-Ney models; discounts follow n1 / (n1 + 2 n2) of each order.
+    """Interpolated Kneser-Ney models with one discount for each order, n1 / (n1 + 2 n2).
 
-    The highest order uses plain counts, lower ones the number of distinct characters before; grams that begin a word keep plain counts, as nothing stands before them.
+    The highest order uses plain counts, lower ones the number of distinct characters before; grams that begin a word
+    keep plain counts, as nothing stands before them.
     """
     languages = sorted(counts)
-    logs: list[dict[int, np.ndarray]] = [defaultdict(lambda: np.full(len(languages), np.nan)) for _ in range(order)]
-    weights: list[dict[int, np.ndarray]] = [defaultdict(lambda: np.zeros(len(languages))) for _ in range(order)]
+    logs: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.full(len(languages), np.nan)) for _ in range(order)]
+    weights: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(languages))) for _ in range(order)]
     floor = np.zeros(len(languages))
     alphabet = len({g for c in counts.values() for g in c if len(g) == 1}) + 1
     for k, lang in enumerate(languages):
@@ -177,7 +184,7 @@ def kneser_ney(counts: dict[str, dict[str, int]], order: int) -> Model:
             for context, n in total.items():
                 weight = discount * kinds[context] / n
                 if context:
-                    weights[size - 2][context_hash(_codes(context))][k] = np.log2(weight)
+                    weights[size - 2][context][k] = np.log2(weight)
                 else:
                     base = weight / alphabet
                     floor[k] = np.log2(base)
@@ -186,35 +193,66 @@ def kneser_ney(counts: dict[str, dict[str, int]], order: int) -> Model:
                 context = gram[:-1]
                 lower = prob.get(gram[1:], base) if size > 1 else 1 / alphabet
                 here[gram] = (n - discount) / total[context] + discount * kinds[context] / total[context] * lower
-                logs[size - 1][context_hash(_codes(gram))][k] = np.log2(here[gram])
+                logs[size - 1][gram][k] = np.log2(here[gram])
             prob |= here
     keys, logp, backoff = [], [], []
     for size in range(order):
-        for context in weights[size]:
-            logs[size][context]  # a context that ends a gram only; stays unseen as a gram
-        ordered = np.array(sorted(logs[size]), np.uint64)
-        keys.append(ordered)
-        logp.append(np.array([logs[size][h] for h in ordered.tolist()]).reshape(-1, len(languages)))
-        backoff.append(np.array([weights[size][h] for h in ordered.tolist()]).reshape(-1, len(languages)))
-    return Model(languages, keys, logp, backoff, floor, np.full(len(languages), np.inf))
-
-
-def text_bits(texts: pa.Array, model: Model, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of each text by each language and its number of characters; 0 characters if it has no letter."""
-    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    coded = lists.flatten().dictionary_encode()
-    words = letters_of(coded.dictionary.to_pylist())
-    some = np.array([i for i, w in enumerate(words) if w], np.int64)
-    bits, chars = np.zeros((len(words), len(model.languages))), np.zeros(len(words), np.int64)
-    step = 200_000
-    for i in range(0, len(some), step):
-        part = some[i : i + step]
-        bits[part], chars[part] = model.cross_entropy([words[j] for j in part.tolist()])
-    at = coded.indices.to_numpy()
-    text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    total = np.stack([np.bincount(text, bits[at, k], len(texts)) for k in range(bits.shape[1])], axis=1)
-    return total, np.bincount(text, chars[at], len(texts)).astype(np.int64)
+        listed = list(logs[size] | weights[size])  # with contexts that are no grams themselves
+        hashes = gram_hashes(listed)
+        order_of = np.argsort(hashes)
+        keys.append(hashes[order_of])
+        logp.append(np.array([logs[size][g] for g in listed]).reshape(-1, len(languages))[order_of])
+        backoff.append(np.array([weights[size][g] for g in listed]).reshape(-1, len(languages))[order_of])
+    return Model(languages, keys, logp, backoff, floor, np.full(len(languages), np.inf), uuid.uuid4().hex)
+
+
+class WordBits:
+    """The bits of the distinct words that a worker has met, by each language."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.bits, self.chars = np.zeros((1 << 16, len(self.model.languages)), np.float32), np.zeros(1 << 16, np.int32)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Where each distinct word's bits and characters stand."""
+        if len(self.at) + len(words) > REMEMBERED:
+            self.clear()
+        new = [w for w in words if w not in self.at]
+        first = len(self.at)
+        self.at.update(zip(new, range(first, first + len(new)), strict=True))
+        while len(self.at) > len(self.chars):
+            self.bits, self.chars = np.concatenate([self.bits, np.zeros_like(self.bits)]), np.concatenate([self.chars, np.zeros_like(self.chars)])
+        letters = letters_of(new)
+        some = [i for i, w in enumerate(letters) if w]
+        for i in range(0, len(some), 100_000):
+            part = np.array(some[i : i + 100_000])
+            self.bits[first + part], self.chars[first + part] = self.model.cross_entropy([letters[j] for j in part.tolist()])
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each text by each language and its number of characters; 0 characters if it has no letter."""
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        at = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        total = np.stack([np.bincount(text, self.bits[at, k], len(texts)) for k in range(self.bits.shape[1])], axis=1)
+        return total, np.bincount(text, self.chars[at], len(texts)).astype(np.int64)
+
+
+#: The worker's own table, of the model it used last.
+_HELD: dict[str, WordBits] = {}
+
+
+def word_bits(model: Model) -> WordBits:
+    if model.name not in _HELD:
+        _HELD.clear()
+        _HELD[model.name] = WordBits(model)
+    return _HELD[model.name]
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
@@ -239,12 +277,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model = kneser_ney(counts, order)
     if not model.languages:
         return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = {lang: k for k, lang in enumerate(model.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = word_bits(shared.value)
         for batch in batches:
             for part in slices(batch, 1):
-                bits, chars = text_bits(part.column(1), model)
+                bits, chars = held.of_texts(part.column(1))
                 own = np.array([at.get(x, 0) for x in part.column(0).to_pylist()], np.int64)
                 some = chars > 0
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.array((bits[np.arange(len(own)), own] / np.maximum(1, chars))[some])], ["lang", "entropy"])
@@ -264,19 +304,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *(keep or []))
     names = rows.columns[1:]
     languages = np.array([*model.languages, UNKNOWN], object)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        held = word_bits(model)
         for batch in batches:
             for part in slices(batch, 0):
                 if model.languages:
-                    bits, chars = text_bits(part.column(0), model)
+                    bits, chars = held.of_texts(part.column(0))
                     mean = bits / np.maximum(1, chars)[:, None]
                     best = mean.argmin(axis=1)
                     least = mean[np.arange(len(best)), best]
                     share = 1 / np.exp2((least[:, None] - mean) * np.minimum(chars, SURE_CHARS)[:, None]).sum(axis=1)
                     none = chars == 0
                     rejected = none | (least > model.limit[best])
-                    best, share, least = np.where(none, len(model.languages), best), np.where(none, 0.0, share), np.where(none, 0.0, least)
+                    best, share, least = np.where(none, len(languages) - 1, best), np.where(none, 0.0, share), np.where(none, 0.0, least)
                 else:
                     n = part.num_rows
                     best, share, least, rejected = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.ones(n, bool)
