@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import langid, packing, rans, simhash
+from infospan.llm import langid, line_dedup, mixture, packing, rans, simhash
+from infospan.llm.shared import NOT_SPACE
 from infospan.llm.tokens import public_path
 
 
@@ -20,6 +21,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", lines=3).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS k
+      FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS p FROM d WHERE len(l) > 2)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS rn FROM w),
+c AS (SELECT DISTINCT doc_id, p + o AS i FROM f, (VALUES (0), (1), (2)) AS t(o) WHERE rn > 1),
+s AS (SELECT doc_id, l[i + 1] AS line, i FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d)),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM s ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(d.l)::INT AS n_lines, (len(d.l) - coalesce(k.n, 0))::INT AS n_removed, coalesce(k.text, '') AS text
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.fold() != 0), "doc_id", "text", "lang")
@@ -32,16 +50,51 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("size"))
+    mixed = mixture.mix(sized, weights=[3, 1, 2], share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP8_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w
+      FROM d GROUP BY source),
+-- Sources stop in the order of size over weight: n of them have stopped where the next one stays below twice its size.
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source NULLS LAST) AS n,
+             sum(2.0 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) - 2.0 * source_size AS stopped,
+             sum(w) OVER (ORDER BY source_size / w DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS open_w FROM s),
+cut AS (SELECT min(n) AS n, arg_min((1.5 * (SELECT sum(source_size) FROM s) - stopped) / open_w, n) AS unit FROM o
+        WHERE w * (1.5 * (SELECT sum(source_size) FROM s) - stopped) / open_w <= 2.0 * source_size),
+t AS (SELECT source, source_size, CASE WHEN o.n < cut.n THEN 2.0 * source_size ELSE w * unit END AS target FROM o, cut),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS aim,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (aim // source_size + CASE WHEN 2 * before + size < 2 * (aim % source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
+
+
 def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rans.round_trip(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op8_mixture": op8_mixture,
     "op10_rans_ids": op10_rans_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op8_mixture": OP8_SQL,
+}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bytes that count as space in every word rule here: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
+BROADCAST_ROWS = 50_000
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -40,6 +41,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows; sent to every executor up to BROADCAST_ROWS rows, else joined by a shuffle."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def empty_text(column) -> F.Column:
     return F.coalesce(column, F.lit(""))
 
