@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import langid, line_dedup, mixture, packing, rans, simhash
+from infospan.llm import exact_dedup, langid, line_dedup, mixture, packing, rans, simhash
 from infospan.llm.shared import NOT_SPACE
 from infospan.llm.tokens import public_path
 
@@ -21,6 +21,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+OP1_SQL = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+           FROM documents),
+g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text", lines=3).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -86,6 +99,7 @@ def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -95,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op8_mixture": OP8_SQL,
 }
