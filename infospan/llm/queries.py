@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import exact_dedup, langid, line_dedup, mixture, packing, rans, simhash
+from infospan.llm import digest, exact_dedup, langid, line_dedup, mixture, packing, rans, secrets, simhash
 from infospan.llm.shared import NOT_SPACE
 from infospan.llm.tokens import public_path
 
@@ -63,6 +63,32 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(found, s -> s.kind = '{k}')) AS BIGINT) AS n_{k}") for k in ("assign", "access", "hex")]
+    spans = secrets.listed(F.col("found"))
+    return found.select("doc_id", *counts, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+OP7_SQL = """
+WITH r(kind, pattern, grp, least, rank) AS (VALUES
+  ('assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6, 0),
+  ('access', 'AKIA[A-Z0-9]+', 0, 20, 1), ('hex', '[0-9a-f]+', 0, 24, 2)),
+m AS (SELECT doc_id, kind, least, rank, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, unnest(vs) AS v
+      FROM (SELECT doc_id, kind, least, rank, regexp_extract_all(text, pattern) AS ms, string_split_regex(text, pattern) AS ps,
+                   CASE WHEN kind = 'assign' THEN regexp_extract_all(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)
+                        ELSE regexp_extract_all(text, pattern) END AS vs
+            FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), r)),
+e AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS e FROM m),
+k AS (SELECT doc_id, kind, rank, e - length(m) AS s, e FROM e WHERE length(v) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("size"))
     mixed = mixture.mix(sized, weights=[3, 1, 2], share=1.5, most=2)
@@ -93,6 +119,12 @@ FROM r
 """
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = digest.edited_neighbours(table(spark, sf_dir, "documents"), "doc_id", "text")
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rans.round_trip(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -104,12 +136,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op7_secret_scan": op7_secret_scan,
     "op8_mixture": op8_mixture,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_rans_ids": op10_rans_ids,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op7_secret_scan": OP7_SQL,
     "op8_mixture": OP8_SQL,
 }
