@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import digest, exact_dedup, langid, line_dedup, mixture, packing, rans, secrets, simhash
+from infospan.llm import digest, exact_dedup, langid, line_dedup, mixture, packing, rans, secrets, simhash, warc
 from infospan.llm.shared import NOT_SPACE
 from infospan.llm.tokens import public_path
 
@@ -51,6 +51,25 @@ FROM d LEFT JOIN k USING (doc_id)
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), id_col="page_id", url_col="url", payload_col="html", least=0)
+    return read.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(sha1(payload), ''), lambda c:
+        ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS bits
+      FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(0, 5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT << (4 - j)))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM b
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(langid.fold() != 0), "doc_id", "text", "lang")
@@ -133,6 +152,7 @@ def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
@@ -145,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op7_secret_scan": OP7_SQL,
     "op8_mixture": OP8_SQL,
 }
