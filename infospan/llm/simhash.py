@@ -63,7 +63,7 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
 def _bits(digests: list[bytes], halves: int) -> np.ndarray:
     first = np.frombuffer(b"".join(digests), ">u8")
     both = [first] if halves == 1 else [first, _mixed(first.astype(np.uint64)).astype(">u8")]
-    return np.unpackbits(np.stack(both, axis=1).view(np.uint8), axis=1)
+    return np.unpackbits(np.stack(both, axis=1).astype(">u8").view(np.uint8), axis=1)
 
 
 def _fingerprints(texts: Iterator[bytes | None], words: int, halves: int) -> np.ndarray:
