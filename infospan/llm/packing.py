@@ -144,14 +144,18 @@ class Packed:
     def sequences(self) -> DataFrame:
         """(sequence_id, n_tokens, ids array, doc_ids array): the packed token sequences themselves."""
         parts = self.places.select("piece_row", "sequence_id", "offset").join(self.pieces.select("piece_row", "doc_id", "length", "ids"), "piece_row")
-        listed = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
-        grouped = parts.groupBy("sequence_id").agg(listed.alias("parts"))
-        joined = F.aggregate("parts", F.expr("cast(X'' as binary)"), lambda a, x: F.concat(a, x["ids"]))
-        hexed = F.hex(joined)
-        number = lambda i: F.concat(*[F.substring(hexed, i * 8 + k, 2) for k in (7, 5, 3, 1)])
-        n = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-        ids = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.conv(number(i), 16, 10).cast("long"))
-        return grouped.select("sequence_id", n.alias("n_tokens"), ids.alias("ids"), F.col("parts.doc_id").alias("doc_ids"))
+        listed = F.array_sort(F.collect_list(F.struct("offset", "length", "ids", "doc_id")))
+        grouped = parts.groupBy("sequence_id").agg(listed.alias("parts"))  # a sequence has `capacity` tokens at most
+        kind = self.pieces.schema["doc_id"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.column(1).to_pylist()
+                ids = [np.frombuffer(b"".join(p["ids"] for p in row), "<u4").astype(np.int32) for row in rows]
+                doc_ids = pa.array([[p["doc_id"] for p in row] for row in rows], pa.list_(batch.schema.field(1).type.value_type.field("doc_id").type))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), doc_ids], ["sequence_id", "n_tokens", "ids", "doc_ids"])
+
+        return grouped.mapInArrow(run, f"sequence_id long, n_tokens long, ids array<int>, doc_ids array<{kind}>")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, cut: str = "spaces", id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> Packed:

@@ -19,23 +19,22 @@ from infospan.llm.shared import scratch, written
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches of `pattern` whose `group` has `least` characters or more; `hint`: words of which one is in any match."""
+    """Leftmost non-overlapping matches of `pattern` whose `group` has `least` characters or more; `hint` is a pattern found in every text with one."""
 
     kind: str
     pattern: str
     group: int
     least: int
     version: int = 1
+    hint: str | None = None
 
 
 # The patterns and least lengths of the three base kinds.
 RULES = (
-    Rule("assign", "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", "[0-9a-f]+", 0, 24),
+    Rule("assign", "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, hint="(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]"),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 20, hint="AKIA[A-Z0-9]{16}"),
+    Rule("hex", "[0-9a-f]+", 0, 24, hint="[0-9a-f]{24}"),
 )
-# A match that is long enough has this in it; texts without it need no closer look.
-HINTS = {"assign": "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -56,7 +55,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     Matches are placed by a running sum over their own rows, so a blob with very many costs no more each.
     """
     none = F.array().cast(MATCH)
-    looked = F.concat(*[F.when(F.array_contains("missing", r.kind) & F.col("text").rlike(HINTS.get(r.kind, r.pattern)), _matches(F.col("text"), r)).otherwise(none) for r in rules])
+    looked = F.concat(*[F.when(F.array_contains("missing", r.kind) & F.col("text").rlike(r.hint or r.pattern), _matches(F.col("text"), r)).otherwise(none) for r in rules])
     table = written(blobs.select("blob", "missing", looked.alias("matches")), "secret-matches")
     each = table.select("blob", F.explode("matches").alias("m")).select("blob", "m.*")
     end = F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("blob", "kind").orderBy("i"))

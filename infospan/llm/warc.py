@@ -70,8 +70,8 @@ def parse(data: bytes) -> dict:
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
     """(id, url, payload, refers_to): of equal payloads of `least` bytes or more, all but those with the largest id refer to it."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2(F.col("payload").cast("binary"), 256)))
-    repeated = rows.where("key IS NOT NULL").groupBy("key").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("key", F.sha2(F.col("payload").cast("binary"), 256))
+    repeated = rows.where(F.octet_length("payload") >= least).groupBy("key").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(repeated, "key", "left")
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
