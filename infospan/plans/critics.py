@@ -6,6 +6,7 @@ Tasks are rows of a table; Spark groups a task's samples and hands them to train
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,6 +70,17 @@ class Encoder:
             self.held.append(x)
         return x
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.w + self.b])
+
+    def load(self, flat: np.ndarray) -> Encoder:
+        at = 0
+        for group in (self.w, self.b):
+            for k, p in enumerate(group):
+                group[k] = flat[at : at + p.size].reshape(p.shape)
+                at += p.size
+        return self
+
     def learn(self, grad: np.ndarray, rate: float) -> None:
         """One ascent step for the gradient of the last output."""
         gw, gb = [], []
@@ -87,14 +99,15 @@ class Encoder:
 def train(x: np.ndarray, y: np.ndarray, t: Training) -> dict:
     """Trains on the first rows, tests on the last; reports the epoch with the best test bound, in nats."""
     rng = np.random.default_rng(t.seed)
-    x, y = ((v - v.mean(0)) / np.maximum(v.std(0), 1e-8) for v in (x, y))
+    scales = [(v.mean(0), np.maximum(v.std(0), 1e-8)) for v in (x, y)]
+    x, y = ((v - m) / d for v, (m, d) in zip((x, y), scales, strict=True))
     cut = int(len(x) * t.train_fraction)
     if min(cut, len(x) - cut) < 2:
         raise TrainingError("too few rows to train on")
     f, g = Encoder(x.shape[1], t, rng), Encoder(y.shape[1], t, rng)
     scale = 1 / np.sqrt(t.embedding_dim)
     evaluate = lambda a, b: bound_and_gradient(scale * f(a) @ g(b).T, t.estimator, t.clip)[0]
-    history, best, missed = [], (-np.inf, 0, 0.0), 0
+    history, best, missed, kept = [], (-np.inf, 0, 0.0), 0, None
     part = min(cut, len(x) - cut, t.max_eval_samples)
     for epoch in range(t.n_epochs):
         order = rng.permutation(cut)
@@ -112,13 +125,14 @@ def train(x: np.ndarray, y: np.ndarray, t: Training) -> dict:
         history.append(score)
         if best[0] == -np.inf or (score - best[0]) / (abs(best[0]) + 1e-8) > t.min_improvement:
             best, missed = (score, epoch, evaluate(x[:part], y[:part])), 0
+            kept = [[*m, *d, *e.flat()] for e, (m, d) in zip((f, g), scales, strict=True)]
         elif (missed := missed + 1) >= t.patience:
             break
     negative = max(history) <= 0
-    return {"train_mi": 0.0 if negative else best[2], "raw_train_mi": best[2], "test_mi": best[0], "best_epoch": best[1], "all_mi_negative": negative, "eval_size": min(len(x) - cut, t.max_eval_samples), "test_mi_history": history}
+    return {"train_mi": 0.0 if negative else best[2], "raw_train_mi": best[2], "test_mi": best[0], "best_epoch": best[1], "all_mi_negative": negative, "eval_size": min(len(x) - cut, t.max_eval_samples), "test_mi_history": history, "x_weights": kept[0], "y_weights": kept[1]}
 
 
-RUN = "train_mi double, raw_train_mi double, test_mi double, best_epoch int, all_mi_negative boolean, eval_size int, test_mi_history array<double>, error string"
+RUN = "train_mi double, raw_train_mi double, test_mi double, best_epoch int, all_mi_negative boolean, eval_size int, test_mi_history array<double>, x_weights array<double>, y_weights array<double>, error string"
 
 
 def learned(samples: DataFrame, training: Training, keys: list[str] | None = None, key: str = "id", bits: bool = True) -> DataFrame:
@@ -150,3 +164,29 @@ def learned(samples: DataFrame, training: Training, keys: list[str] | None = Non
 
     schema = ", ".join(f"{k} {table.schema[k].dataType.simpleString()}" for k in group)
     return table.groupBy(*group).applyInPandas(run, f"{schema}, {RUN}").drop("_one")
+
+
+def embed(samples: DataFrame, model: DataFrame, training: Training, keys: list[str] | None = None) -> DataFrame:
+    """samples (keys, id, x, y) with x_embedding and y_embedding by the models of learned() with the same training parameters.
+
+    A model's weights depend on its layers, not on the data, and are joined to the samples of its task.
+    """
+    keys = keys or []
+    weights = model.where("error IS NULL").select(*keys, "x_weights", "y_weights")
+    both = samples.join(weights, keys) if keys else samples.crossJoin(F.broadcast(weights))  # one row
+    both = both.withColumns({c: F.col(c).cast("array<double>") for c in ("x", "y")})
+    schema, columns = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in samples.columns), list(samples.columns)
+
+    def forward(part: pd.DataFrame, side: str) -> list[np.ndarray]:
+        v = np.stack(part[side].to_list())
+        flat, d = np.asarray(part[f"{side}_weights"].iloc[0]), v.shape[1]
+        encoder = Encoder(d, training, np.random.default_rng(0)).load(flat[2 * d :])
+        return list(encoder((v - flat[:d]) / flat[d : 2 * d]))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, group in part.groupby([*keys], dropna=False) if keys else [((), part)]:
+                if len(group):
+                    yield group[columns].assign(x_embedding=forward(group, "x"), y_embedding=forward(group, "y"))
+
+    return both.mapInPandas(run, f"{schema}, x_embedding array<double>, y_embedding array<double>")

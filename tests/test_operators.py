@@ -154,6 +154,14 @@ def test_learned_critic_finds_information(spark):
     assert r["error"] is None and abs(r["train_mi"] - 2.0) < 0.7
 
 
+def test_embeddings_of_a_model(spark):
+    s = generators.correlated_gaussians(spark, 400, 2, 2.0, seed=8)
+    t = critics.Training(n_epochs=2, embedding_dim=3)
+    found = critics.embed(s, critics.learned(s, t), t)
+    r = found.first()
+    assert found.count() == 400 and len(r["x_embedding"]) == len(r["y_embedding"]) == 3 and r["x_embedding"] != r["y_embedding"]
+
+
 @pytest.mark.parametrize("estimator", ["infonce", "smile"])
 def test_gradients(estimator):
     rng = np.random.default_rng(9)
