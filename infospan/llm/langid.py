@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-A text's letters are scored word by word; a word is its lower-cased letters between two boundary marks, so the distinct
-words of a batch are scored once. One sorted array of 64-bit n-gram hashes serves all languages: beside each hash
+A text's letters are scored word by word; a word is a run of lower-cased letters between two boundary marks, so the
+distinct words of a batch are scored once. One sorted array of 64-bit n-gram hashes serves all languages: beside each hash
 stand, for each language, the interpolated log2 probability of the n-gram's last character and the
 back-off weight of the n-gram as a context. The language with the least cross-entropy a character wins, and a text is rejected if that entropy
 is above what the training rows of the language reach.
@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from infospan.llm.shared import held
 from infospan.llm.tokens import slices
 
 UNKNOWN = "und"
@@ -30,13 +31,19 @@ TRAINING_ROWS = 500
 #: Share of each language's training rows that may lie above its rejection threshold, and the slack in bits a character.
 REJECTED_SHARE, SLACK_BITS = 0.001, 1.5
 #: Words whose bits a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Characters after which more text adds nothing to the score's certainty.
 SURE_CHARS = 40
 BOUNDARY = 0x110000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(texts: pa.Array) -> pa.Array:
+    """The runs of letters and combining marks of each text, lower-cased; null: none."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    return pc.ascii_split_whitespace(pc.replace_substring_regex(lower, r"[^\pL\pM]+", " "))
+
+
 def letters_of(words: list[str]) -> list[str]:
     """Lower-cased letters of each word in NFC; other characters are dropped."""
     return [w.lower() if w.isalpha() and w.isascii() else "".join(filter(str.isalpha, unicodedata.normalize("NFC", w).lower())) for w in words]
@@ -136,7 +143,7 @@ def _gram_counts(rows: DataFrame, order: int) -> DataFrame:
             for part in slices(batch, 1):
                 for lang in pc.unique(part.column(0)).to_pylist():
                     texts = part.column(1).filter(pc.equal(part.column(0), lang))
-                    counted = pc.value_counts(pc.utf8_split_whitespace(texts.cast(pa.large_string())).flatten())
+                    counted = pc.value_counts(words_of(texts).flatten())
                     for word, n in zip(letters_of(counted.field(0).to_pylist()), counted.field(1).to_pylist(), strict=True):
                         if word:
                             marked = "\n" + word + "\n"
@@ -235,7 +242,7 @@ class WordBits:
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text by each language and its number of characters; 0 characters if it has no letter."""
-        lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        lists = words_of(texts)
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         at = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
@@ -244,15 +251,8 @@ class WordBits:
         return total, np.bincount(text, self.chars[at], len(texts)).astype(np.int64)
 
 
-#: The worker's own table, of the model it used last.
-_HELD: dict[str, WordBits] = {}
-
-
 def word_bits(model: Model) -> WordBits:
-    if model.name not in _HELD:
-        _HELD.clear()
-        _HELD[model.name] = WordBits(model)
-    return _HELD[model.name]
+    return held(model.name, lambda: WordBits(model))
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
@@ -274,17 +274,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in _gram_counts(sample, order).collect():
         counts[r["lang"]][r["gram"]] = r["n"]
+    if not counts:
+        return Model([], [], [], [], np.zeros(0), np.zeros(0), uuid.uuid4().hex)
     model = kneser_ney(counts, order)
-    if not model.languages:
-        return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = {lang: k for k, lang in enumerate(model.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = word_bits(shared.value)
+        known = word_bits(shared.value)
         for batch in batches:
             for part in slices(batch, 1):
-                bits, chars = held.of_texts(part.column(1))
+                bits, chars = known.of_texts(part.column(1))
                 own = np.array([at.get(x, 0) for x in part.column(0).to_pylist()], np.int64)
                 some = chars > 0
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.array((bits[np.arange(len(own)), own] / np.maximum(1, chars))[some])], ["lang", "entropy"])
@@ -308,11 +308,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        held = word_bits(model)
+        known = word_bits(model)
         for batch in batches:
             for part in slices(batch, 0):
                 if model.languages:
-                    bits, chars = held.of_texts(part.column(0))
+                    bits, chars = known.of_texts(part.column(0))
                     mean = bits / np.maximum(1, chars)[:, None]
                     best = mean.argmin(axis=1)
                     least = mean[np.arange(len(best)), best]

@@ -51,6 +51,24 @@ def empty_text(column) -> F.Column:
     return F.coalesce(column, F.lit(""))
 
 
+#: What a Python worker keeps from task to task: one object, that of the operator that runs there.
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The worker's object for this key; another operator's is let go first, so tables don't add up over a pipeline."""
+    if key not in _HELD:
+        import gc
+
+        import pyarrow as pa
+
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def open_store(uri: str):
     """The pyarrow file system of a place in the shared folder, and the path in it."""
     from pyarrow import fs

@@ -14,10 +14,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from infospan.llm.shared import held
+
 #: Chunks that a worker remembers before it starts afresh, and bytes of text handled at once.
-REMEMBERED = 1_000_000
-TEXT_AT_ONCE = 8_000_000
-FIRST = "\x02"
+REMEMBERED = 600_000
+TEXT_AT_ONCE = 4_000_000
+#: Marks of a text's first chunk and of one that follows its neighbour without a space.
+FIRST, JOINED = "\x02", "\x03"
+#: A piece always ends between a letter or digit and what is neither one, nor space, nor a combining mark.
+PIECE_END = r"([\pL\pN])([^\s\pL\pN\pM])"
 EDGE = re.compile(r"(?<=\S)(?= )")
 
 
@@ -29,10 +34,10 @@ def public_path(name: str) -> str:
 
 
 class ChunkedTokenizer:
-    """cut: `spaces` for byte-level tokenizers, whose tokens may begin with one space; `words` for those that drop white space.
+    """cut: `spaces` for byte-level tokenizers, whose tokens may begin with one space; `words` for those that drop white space and case.
 
-    `spaces`: a text is cut before each space between other characters and before each single line end between
-    other characters. A text with other white space beside a space is cut only where a space follows a character that
+    Both also cut where PIECE_END matches. `spaces`: a text is cut before each space between other characters and before
+    each single line end between other characters. A text with other white space beside a space is cut only where a space follows a character that
     isn't white space; such a chunk holds its whole run of white space.
     """
 
@@ -69,9 +74,9 @@ class ChunkedTokenizer:
     def _chunk(self, part: str) -> str | None:
         if self.cut == "words":
             return part
-        if part.startswith(FIRST):
+        if part.startswith((FIRST, JOINED)):
             chunk = core = part[1:]
-            if not core:
+            if part == FIRST:
                 return ""
         elif part.startswith("\n"):
             chunk, core = part, part[1:]
@@ -104,10 +109,12 @@ class ChunkedTokenizer:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.zeros(len(texts), bool)
         if self.cut == "words":
-            lists = pc.ascii_split_whitespace(texts)
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), PIECE_END, r"\1 \2"))
         else:
-            odd = pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False).copy()
-            marked = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string()))
+            odd = pc.match_substring_regex(texts, f"[{FIRST}{JOINED}]").to_numpy(zero_copy_only=False).copy()
+            cut = pc.replace_substring_regex(texts, PIECE_END, rf"\1 {JOINED}\2")
+            none = pa.scalar("", pa.large_string())
+            marked = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring(cut, "\n", " \n"), none)
             lists = pc.split_pattern(marked, " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
@@ -128,24 +135,22 @@ class ChunkedTokenizer:
         return self.pool[where], ends[bounds[1:]] - ends[bounds[:-1]]
 
 
-_OPEN: dict[tuple[str, str, int], ChunkedTokenizer] = {}
-
-
 def tokenizer_of(path: str, cut: str, end_id: int) -> ChunkedTokenizer:
     """The worker's own; later tasks in the same worker find its chunks."""
-    if (key := (path, cut, end_id)) not in _OPEN:
-        _OPEN[key] = ChunkedTokenizer(path, cut, end_id)
-    return _OPEN[key]
+    return held((path, cut, end_id), lambda: ChunkedTokenizer(path, cut, end_id))
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about TEXT_AT_ONCE bytes of text; a longer text is a run of its own."""
+    """Runs of rows with about TEXT_AT_ONCE bytes of text; a longer text is a run of its own.
+
+    Copies with buffers of their own: some kernels (ascii_lower) misread arrays that begin within a buffer.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     low = 0
     while low < batch.num_rows:
         high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TEXT_AT_ONCE, "right")))
-        yield batch.slice(low, high - low)
+        yield batch.take(pa.array(np.arange(low, high)))
         low = high
 
 
