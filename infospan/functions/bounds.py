@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from infospan.functions.scalar import clamped, softplus
@@ -15,11 +15,10 @@ from infospan.functions.scalar import clamped, softplus
 
 def _by_row(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Log-sum-exp of each row of scores, over all columns and without the diagonal, about the row's largest."""
-    top = scores.groupBy(*keys, "i").agg(F.max("s").alias("top"), F.count("*").alias("n"))
-    joined = scores.join(top, [*keys, "i"])
+    joined = scores.withColumn("top", F.max("s").over(Window.partitionBy(*keys, "i")))  # a row of scores is one batch wide
     e = F.exp(F.col("s") - F.col("top"))
     off = F.col("i") != F.col("j")
-    return joined.groupBy(*keys, "i", "top", "n").agg(
+    return joined.groupBy(*keys, "i", "top").agg(
         F.sum(e).alias("all_e"), F.sum(F.when(off, e)).alias("off_e"), F.sum(F.when(~off, F.col("s"))).alias("own"),
         F.sum(F.when(~off, softplus(-F.col("s")))).alias("own_sp"), F.sum(F.when(off, softplus(F.col("s")))).alias("off_sp"),
     )
@@ -27,8 +26,10 @@ def _by_row(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def _means(scores: DataFrame, keys: list[str]) -> DataFrame:
     rows = _by_row(scores, keys)
-    most = rows.groupBy(*keys).agg(F.max("top").alias("most"))
-    rows = rows.join(most, keys) if keys else rows.crossJoin(F.broadcast(most))  # one row
+    if keys:
+        rows = rows.withColumn("most", F.max("top").over(Window.partitionBy(*keys)))
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.max("top").alias("most"))))  # one row
     n = F.count("*").cast("double")
     off = F.col("most").alias("m")
     return rows.groupBy(*keys, off).agg(

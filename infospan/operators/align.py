@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from infospan.functions.scalar import dot, hash_order
+from infospan.functions.scalar import hash_order
 
 
 def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
@@ -70,10 +72,15 @@ def all_pairs(samples: DataFrame, batch: int, order: str = "id") -> DataFrame:
 
     Scores are made in batches as a critic is trained and evaluated in batches; the number of pairs is rows * batch.
     """
-    rows = numbered(samples, order, "_n").withColumn("batch", F.floor(F.col("_n") / batch))
-    left = rows.select("batch", F.col(order).alias("i"), "x")
-    right = rows.select("batch", F.col(order).alias("j"), "y")
-    return left.join(right, "batch").select("batch", "i", "j", dot(F.col("x"), F.col("y")).alias("s"))
+    rows = numbered(samples, order, "_n").select(F.floor(F.col("_n") / batch).alias("batch"), F.col(order).alias("i"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        ids, n = part["i"].to_numpy(), len(part)
+        s = np.stack(part["x"].to_list()) @ np.stack(part["y"].to_list()).T
+        return pd.DataFrame({"batch": part["batch"].iloc[0], "i": np.repeat(ids, n), "j": np.tile(ids, n), "s": s.ravel()})
+
+    kind = rows.schema["i"].dataType.simpleString()
+    return rows.groupBy("batch").applyInPandas(score, f"batch long, i {kind}, j {kind}, s double")
 
 
 def self_pairs(channels: DataFrame) -> DataFrame:
