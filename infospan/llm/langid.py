@@ -71,7 +71,7 @@ def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     for n in range(1, order + 1):
         # An n-gram's hash goes from its last character back to its first, so that its suffixes are the rows before.
         h = np.full(len(full), np.uint64(n))
-        for back in range(n):
+        for back in range(min(n, len(full))):
             h[back:] = _mix(h[back:], full[: len(full) - back]) if back else _mix(h, full)
         h[place < n - 1] = 0
         hashes[n] = h
