@@ -1,4 +1,4 @@
-"""Connected components of an edge table by label spreading and pointer jumping."""
+"""Connected components of an edge table by hooking to the smallest neighbour and contraction."""
 
 from __future__ import annotations
 
@@ -7,27 +7,38 @@ from pyspark.sql import functions as F
 
 from infospan.llm.shared import written
 
+#: Keys over which the edges of a hub are dealt.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of `edges` (src, dst): component is the component's smallest node.
+    """(node, component) of every node with an edge (src, dst) to another: component is its component's smallest node.
 
-    Each round hooks every label to the smallest label beside it and then jumps labels of labels; rounds follow the
-    logarithm of the longest path. Only aggregates and joins on node keys: a hub's edges combine before the
-    shuffle, and Spark splits a skewed join. Labels are written after each round.
+    In each round every node hooks to its smallest neighbour, the trees are flattened by pointer jumping, and each is
+    contracted to its root, so only edges between trees are left; rounds and jumps follow the logarithm of the longest
+    path. Aggregates combine a hub's edges before the shuffle, and the join on a hub's end is salted. Each round's tables are written.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
-    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")), "labels")
-    if labels.isEmpty():
-        return labels
+    edges, found = edges.select("src", "dst").where("src <> dst"), None
+    while True:
+        both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        roots = _flattened(written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")), "hooked"))
+        if found is None:
+            found = roots
+        else:
+            further = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+            found = written(found.join(further, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+        starts = edges.join(roots, edges["src"] == roots["node"]).select(F.col("component").alias("src"), "dst", F.pmod(F.xxhash64("src"), F.lit(SALTS)).cast("int").alias("salt"))
+        dealt = roots.select(F.col("node").alias("dst"), F.col("component").alias("end"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        edges = written(starts.join(dealt, ["dst", "salt"]).select("src", F.col("end").alias("dst")).where("src <> dst").distinct(), "contracted")
+        if edges.isEmpty():
+            return found
+
+
+def _flattened(labels: DataFrame) -> DataFrame:
+    """labels (node, component) with every label replaced by that of its own label, until each is a root's."""
     while True:
-        beside = both.join(labels, both["src"] == labels["node"]).select(F.col("dst").alias("node"), "component")
-        hooked = labels.union(beside).groupBy("node").agg(F.min("component").alias("component"))
-        # A root takes the smallest label that any of its members has seen.
-        seen = labels.alias("l").join(hooked.alias("h"), F.col("l.node") == F.col("h.node")).groupBy(F.col("l.component").alias("node")).agg(F.min("h.component").alias("component"))
-        lower = written(hooked.union(seen).groupBy("node").agg(F.min("component").alias("component")), "labels")
-        jumped = lower.alias("l").join(lower.alias("r"), F.col("l.component") == F.col("r.node")).select(F.col("l.node").alias("node"), F.least(F.col("l.component"), F.col("r.component")).alias("component"))
-        new = written(jumped, "labels")
-        changed = new.alias("n").join(labels.alias("o"), "node").where(F.col("n.component") != F.col("o.component"))
-        if changed.isEmpty():
-            return new
-        labels = new
+        above = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        new = written(labels.join(above, "component").select("node", F.col("root").alias("component"), (F.col("root") != F.col("component")).alias("moved")), "labels")
+        labels = new.select("node", "component")
+        if new.where("moved").isEmpty():
+            return labels

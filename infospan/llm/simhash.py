@@ -245,8 +245,12 @@ def links(distinct: DataFrame, budget: int = 3, halves: int = 1) -> DataFrame:
             start = k % (part + 1)
             trie = Trie(key[mine].astype(np.uint64), cuts[start + 1] - cuts[start])
             root = _stars(len(mine), near(trie, rest[mine].astype(np.uint64), start))
-            found = np.flatnonzero(root != np.arange(len(mine)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[mine[found]]), pa.array(node[mine[root[found]]])], ["src", "dst"])
+            own = node[mine]
+            least = own.copy()
+            np.minimum.at(least, root, own)
+            centre = least[root]  # the smallest node of the group, so that tasks that see it give the same edges
+            found = np.flatnonzero(own != centre)
+            yield pa.RecordBatch.from_arrays([pa.array(own[found]), pa.array(centre[found])], ["src", "dst"])
 
     n = shuffle_partitions(distinct.sparkSession)
     return dealt.repartition(n, "block", "head").select("block", "node", "key", "rest").mapInArrow(run, "src long, dst long").distinct()
