@@ -261,8 +261,9 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ro
     share = {r["lang"]: min(1.0, rows / r["n"]) for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
         return named.select("lang", "text").limit(0)
-    cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 1_000_000)))])
-    return named.where(F.pmod("h", F.lit(1_000_000)) < cut[F.col("lang")]).where("text is not null").select("lang", "text")
+    # All 63 bits of the hash, as a language may have far more than a million times `rows` documents.
+    cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, int(v * (1 << 63)))))])
+    return named.where(F.shiftrightunsigned("h", 1) <= cut[F.col("lang")]).where("text is not null").select("lang", "text")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows: int = TRAINING_ROWS) -> Model:
