@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, budget=3, halves=1)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, budget=3, halves=1, distinct=False)
     return found.select("doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 

@@ -66,7 +66,7 @@ def _bits(digests: list[bytes], halves: int) -> np.ndarray:
     return np.unpackbits(np.stack(both, axis=1).astype(">u8").view(np.uint8), axis=1)
 
 
-def _fingerprints(texts: Iterator[bytes | None], words: int, halves: int) -> np.ndarray:
+def _fingerprints(texts: Iterator[bytes | None], words: int, halves: int, distinct: bool) -> np.ndarray:
     """(texts, halves) signed 64-bit fingerprints; the bits of a long text are counted in slices."""
     out, digests, counts, held = [], [], [], 0
 
@@ -88,6 +88,8 @@ def _fingerprints(texts: Iterator[bytes | None], words: int, halves: int) -> np.
 
     for text in texts:
         found = shingle_digests(text or b"", words)
+        if distinct:
+            found = list(set(found))
         if len(found) > SHINGLES_AT_ONCE:
             flush()
             ones = np.zeros((1, BITS * halves), np.int64)
@@ -104,16 +106,16 @@ def _fingerprints(texts: Iterator[bytes | None], words: int, halves: int) -> np.
     return np.concatenate(out) if out else np.zeros((0, halves), np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, halves: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, halves: int = 1, distinct: bool = False) -> DataFrame:
     """(id_col, fingerprint, second): bit b is 1 if set in over half of the shingle hashes; no words or null text: 0.
 
-    second: 64 more bits by another hash where `halves` is 2, else 0.
+    second: 64 more bits by another hash where `halves` is 2, else 0. distinct: a shingle counts once, however often the text repeats it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1).cast(pa.large_binary())
-            found = _fingerprints((x.as_py() for x in column), words, halves)
+            found = _fingerprints((x.as_py() for x in column), words, halves, distinct)
             second = found[:, 1] if halves > 1 else np.zeros(len(found), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].copy()), pa.array(second.copy())], ["id", "fingerprint", "second"])
 
@@ -256,15 +258,15 @@ def links(distinct: DataFrame, budget: int = 3, halves: int = 1) -> DataFrame:
     return dealt.repartition(n, "block", "head").select("block", "node", "key", "rest").mapInArrow(run, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 22, halves: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 22, halves: int = 2, distinct: bool = True) -> DataFrame:
     """(id_col, fingerprint, second, component_id): component_id is the smallest id reachable over links of at most `budget` bits.
 
-    The defaults stand for a similarity of five-word shingles of 0.8: of 128 bits, sets that alike differ in 19.5 on average
+    The defaults stand for a similarity of sets of five-word shingles of 0.8: of 128 bits, sets that alike differ in 19.5 on average
     with a deviation of 4, unrelated ones in 64. One row for each row of docs. Texts without words have fingerprint 0
     and are linked like any other. A null id keeps its row; it names a component only if that has no other
     id. Empty input: no rows. Other columns of docs are not read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, halves), "fingerprints")
+    prints = written(fingerprints(docs, id_col, text_col, words, halves, distinct), "fingerprints")
     node = F.col("fingerprint") if halves == 1 else F.xxhash64("fingerprint", "second")
     nodes = prints.groupBy("fingerprint", "second").agg(F.min(id_col).alias("first_id")).withColumn("node", node)
     edges = written(links(nodes.select("node", "fingerprint", "second"), budget, halves), "simhash-links")

@@ -335,7 +335,7 @@ def test_simhash_equals_brute_force(spark):
         for _ in range(rng.choice([0, 0, 1, 1, 2])):
             words[rng.randrange(120)] = "Zz"
         rows.append((100 + i, " ".join(words)))
-    found = [tuple(r) for r in simhash.near_duplicates(docs(spark, rows), words=3, budget=3, halves=1).collect()]
+    found = [tuple(r) for r in simhash.near_duplicates(docs(spark, rows), words=3, budget=3, halves=1, distinct=False).collect()]
     prints = [brute_print(t, 3) for _, t in rows]
     assert sorted((repr(r[0]), r[1] % 2**64) for r in found) == sorted((repr(i), p) for (i, _), p in zip(rows, prints, strict=True))
     distinct = sorted(set(prints))
@@ -389,6 +389,39 @@ def test_near_copies_go_and_others_stay(spark, empty):
     assert simhash.keep_firsts(empty).count() == 0
 
 
+def test_near_duplicates_against_jaccard(spark):
+    rng = random.Random(9)
+    rows, alike = [], {}
+    sets = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    for i in range(200):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        edited = list(words)
+        for k in rng.sample(range(300), rng.choice([1, 2, 3, 5, 6, 60])):
+            edited[k] = "edit"
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(edited))]
+        a, b = sets(words), sets(edited)
+        alike[10 * i] = len(a & b) / len(a | b)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    linked = {i: found[i] == found[i + 1] for i in alike}
+    assert all(linked[i] for i in alike if alike[i] >= 0.9)
+    near = [linked[i] for i in alike if 0.8 <= alike[i] < 0.9]
+    assert len(near) > 30 and sum(near) >= 0.7 * len(near)
+    assert not any(linked[i] for i in alike if alike[i] < 0.5) and len(set(found.values())) >= 200
+
+
+def test_a_shared_repeated_line_is_no_near_copy(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) + " all of these rights are reserved here today" * 40) for i in range(30)]
+    assert simhash.keep_firsts(docs(spark, rows)).count() == 30
+
+
+def test_training_sample_of_a_very_large_language(spark):
+    many = spark.range(3_000_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") < 40, "b").otherwise("a").alias("lang"))
+    found = {r["lang"]: r["count"] for r in langid.training_rows(many, "doc_id", "text", "lang", 50).groupBy("lang").count().collect()}
+    assert found["b"] == 40 and 20 <= found["a"] <= 90
+    assert langid.training_rows(many, "doc_id", "text", "lang", 2).count() <= 20
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
