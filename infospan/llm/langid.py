@@ -32,6 +32,8 @@ TRAINING_ROWS = 500
 REJECTED_SHARE, SLACK_BITS = 0.001, 1.5
 #: Words whose bits a worker remembers before it starts afresh.
 REMEMBERED = 500_000
+#: New words scored at once: a bound on the score matrices, which have a row for each character.
+WORDS_AT_ONCE = 20_000
 #: Characters after which more text adds nothing to the score's certainty.
 SURE_CHARS = 40
 BOUNDARY = 0x110000
@@ -235,8 +237,8 @@ class WordBits:
             self.bits, self.chars = np.concatenate([self.bits, np.zeros_like(self.bits)]), np.concatenate([self.chars, np.zeros_like(self.chars)])
         letters = letters_of(new)
         some = [i for i, w in enumerate(letters) if w]
-        for i in range(0, len(some), 100_000):
-            part = np.array(some[i : i + 100_000])
+        for i in range(0, len(some), WORDS_AT_ONCE):
+            part = np.array(some[i : i + WORDS_AT_ONCE])
             self.bits[first + part], self.chars[first + part] = self.model.cross_entropy([letters[j] for j in part.tolist()])
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
