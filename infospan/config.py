@@ -81,10 +81,12 @@ class Conditional(Common):
 
 @dataclass(frozen=True)
 class Transfer(Common):
+    history_window: int = 1
     prediction_horizon: int = 1
 
     def __post_init__(self) -> None:
         super().__post_init__()
+        _least("history_window", self.history_window, 1)
         _least("prediction_horizon", self.prediction_horizon, 1)
 
 

@@ -178,3 +178,33 @@ def guarded(runs: DataFrame, history: str = "test_mi_history") -> DataFrame:
     """runs with raw_train_mi kept and train_mi 0 where no entry of the history is above 0."""
     negative = F.coalesce(F.array_max(history), F.lit(0.0)) <= 0
     return runs.withColumn("raw_train_mi", F.col("train_mi")).withColumn("all_mi_negative", negative).withColumn("train_mi", F.when(negative, 0.0).otherwise(F.col("train_mi")))
+
+
+def near_ceiling(runs: DataFrame, share: float = 0.85) -> DataFrame:
+    """runs (test_mi in nats, eval_size) with `near_ceiling`: whether InfoNCE on that many rows can hardly show more."""
+    return runs.withColumn("near_ceiling", F.col("test_mi") > share * F.log(F.col("eval_size")))
+
+
+def near_dimension(summary: DataFrame, embedding_dim: int, share: float = 0.8, column: str = "pr_eig") -> DataFrame:
+    """summary with `near_dimension`: whether the participation ratio comes close to the number of embedding dimensions."""
+    return summary.withColumn("near_dimension", F.col(column) >= share * embedding_dim)
+
+
+def conservative_epoch(history: Column, fraction: float, min_improvement: float = 0.001) -> Column:
+    """The first epoch of a (smoothed) history that improves on all before it and reaches `fraction` of the last such value.
+
+    An epoch improves if it is above the best before by more than min_improvement of its size. Where no value is
+    positive, the last improving epoch; null for an empty history. NaN and null never improve.
+    """
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(None).cast("int").alias("last"), F.lit(0).alias("i"), F.array().cast("array<struct<epoch:int,value:double>>").alias("found"))
+
+    def step(s: Column, v: Column) -> Column:
+        better = F.coalesce(~F.isnan(v) & (s["best"].isNull() | ((v - s["best"]) / (F.abs(s["best"]) + 1e-8) > min_improvement)), F.lit(False))
+        one = F.array(F.struct(s["i"].alias("epoch"), v.alias("value")))
+        return F.struct(F.when(better, v).otherwise(s["best"]).alias("best"), F.when(better, s["i"]).otherwise(s["last"]).alias("last"), (s["i"] + 1).alias("i"), F.when(better, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
+
+    def chosen(s: Column) -> Column:
+        reached = F.filter(s["found"], lambda c: c["value"] >= fraction * s["best"])
+        return F.when(s["best"] > 0, F.get(reached, F.lit(0))["epoch"]).otherwise(s["last"])
+
+    return F.aggregate(history.cast("array<double>"), start, step, chosen)

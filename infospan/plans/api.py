@@ -60,7 +60,8 @@ def run(data: DataFrame, mode: str = "estimate", **options) -> Results:
     elif mode == "conditional":
         table = modes.joint_gaussian(_need(data, "x", "y", "z"))
     elif mode == "transfer":
-        table = modes.transfer(_need(data, "idx", "x", "y"), c.prediction_horizon)
+        _need(data, "idx", "x", "y")
+        table = modes.transfer(data) if c.history_window == c.prediction_horizon == 1 else modes.transfer_histories(data, c.history_window, c.prediction_horizon)
     elif mode == "pairwise":
         table = modes.pairwise(_need(data, *c.columns, *(c.others or ())), list(c.columns), list(c.others) if c.others else None, list(c.pairs) if c.pairs else None)
     elif mode == "permutation":

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from infospan.functions import regression
@@ -37,6 +39,29 @@ def estimate_arrays(samples: DataFrame, keys: list[str] | None = None) -> DataFr
     return estimate(cells, [*keys, "k"]).groupBy(*keys).agg(F.sum("mi").alias("mi"))
 
 
+def joint_arrays(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mi) of array columns x and y taken as jointly Gaussian: half the log ratio of the determinants of their correlations.
+
+    Every row adds its products to d * d sums, which combine before the shuffle; a key's matrix has dimensions, not samples.
+    """
+    v = samples.select(*keys, F.size("x").alias("dx"), F.concat(F.col("x").cast("array<double>"), F.col("y").cast("array<double>")).alias("v"))
+    cells = v.select(*keys, "dx", "v", F.posexplode("v").alias("i", "a")).select(*keys, "dx", "i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
+    sums = cells.groupBy(*keys, "i", "j").agg(F.max("dx").alias("dx"), F.count("*").alias("n"), F.covar_samp("a", "b").alias("c"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        size, dx = part["j"].max() + 1, part["dx"].iloc[0]
+        m = np.zeros((size, size))
+        m[part["i"], part["j"]] = m[part["j"], part["i"]] = part["c"].fillna(0)
+        sd = np.sqrt(np.maximum(m.diagonal(), 1e-300))
+        m = m / np.outer(sd, sd)
+        logdet = lambda a: np.log2(np.maximum(np.linalg.eigvalsh(a), 1 - MOST)).sum()
+        mi = 0.5 * (logdet(m[:dx, :dx]) + logdet(m[dx:, dx:]) - logdet(m))
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | {"n": part["n"].iloc[0], "mi": max(0.0, mi)}])
+
+    schema = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
+    return sums.groupBy(*keys).applyInPandas(run, f"{schema}, n long, mi double")
+
+
 def lag_curve(x: DataFrame, y: DataFrame, lags: list[int], equalize: bool = False) -> DataFrame:
     """(lag, n, mi) of series (idx, x) and (idx, y); equalize: all lags use the indices that all of them have."""
     pairs = align.all_lags(x, y, lags)
@@ -106,6 +131,20 @@ def transfer(series: DataFrame, horizon: int = 1, index: str = "idx") -> DataFra
     return te.select("te_xy", "te_yx", F.when(size <= 1e-10, 0.0).otherwise((F.col("te_xy") - F.col("te_yx")) / F.nullif(size, F.lit(0.0))).alias("directionality"))
 
 
+def transfer_histories(series: DataFrame, history: int, horizon: int = 1, index: str = "idx") -> DataFrame:
+    """transfer() with the past `history` values and the `horizon` values after them, of a series without holes in its index.
+
+    Both ways and both terms are keys of one table, so the histories are built and the correlations summed once.
+    """
+    h = {c: align.histories(series, history, horizon, index, c).select("idx", F.col("past").alias(f"{c}_past"), F.col("future").alias(f"{c}_future")) for c in ("x", "y")}
+    rows = h["x"].join(h["y"], "idx")
+    terms = [F.struct(F.lit(f"{a}{b}").alias("way"), F.lit(both).alias("joint"), (F.concat(f"{b}_past", f"{a}_past") if both else F.col(f"{b}_past")).alias("x"), F.col(f"{b}_future").alias("y")) for a, b in (("x", "y"), ("y", "x")) for both in (True, False)]
+    found = joint_arrays(rows.select(F.explode(F.array(*terms)).alias("r")).select("r.*"), ["way", "joint"])
+    te = lambda way: F.sum(F.when(F.col("way") == way, F.when(F.col("joint"), F.col("mi")).otherwise(-F.col("mi")))).alias(f"te_{way}")
+    size = F.abs("te_xy") + F.abs("te_yx")
+    return found.agg(te("xy"), te("yx")).select("te_xy", "te_yx", F.when(size <= 1e-10, 0.0).otherwise((F.col("te_xy") - F.col("te_yx")) / F.nullif(size, F.lit(0.0))).alias("directionality"))
+
+
 def pairwise(table: DataFrame, columns: list[str], others: list[str] | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """(a, b, mi) of unordered pairs of columns, of all of columns x others, or of those listed; one pass over the table."""
     listed = pairs or (list(combinations(columns, 2)) if others is None else [(a, b) for a in columns for b in others])
@@ -163,6 +202,36 @@ def causal_contour(heat: DataFrame) -> DataFrame:
     return above.orderBy("window").limit(1).select("window", "mi")
 
 
+def significant_contour(heat: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """(lag, window): where the information of (window, lag, mi) crosses the threshold between neighbouring cells, by linear interpolation."""
+    found = None
+    for along, across in (("lag", "window"), ("window", "lag")):
+        order = Window.partitionBy(across).orderBy(along)
+        cells = heat.select(F.col("lag").cast("double"), F.col("window").cast("double"), "mi").withColumns({"next": F.lead(along).over(order), "next_mi": F.lead("mi").over(order)})
+        crossed = cells.where((F.col("mi") >= threshold) != (F.col("next_mi") >= threshold))
+        share = (threshold - F.col("mi")) / (F.col("next_mi") - F.col("mi"))
+        part = crossed.withColumn(along, F.col(along) + share * (F.col("next") - F.col(along))).select("lag", "window")
+        found = part if found is None else found.union(part)
+    return found.distinct()
+
+
+def parsimonious_circle(heat: DataFrame, threshold: float = 0.2, multiple: float = 1.2) -> DataFrame:
+    """(contour, lag, window, length, radius): the shortest bridge from the causal contour's line lag + window = contour to the significant contour.
+
+    lag and window are the bridge's middle, radius is half its length times `multiple`. The line has a point for each
+    lag whose window lies within the table's. All crossings count as the significant contour. No row without a contour
+    or a crossing. The tables have a row for each cell of the heatmap's grid at most.
+    """
+    ends = heat.agg(F.min("window").alias("low"), F.max("window").alias("high")).crossJoin(causal_contour(heat).select(F.col("window").alias("contour")))  # one row each
+    line = heat.select("lag").distinct().crossJoin(F.broadcast(ends)).withColumn("on_line", F.col("contour") - F.col("lag")).where("on_line BETWEEN low AND high")
+    line = line.select("contour", F.col("lag").cast("double").alias("line_lag"), F.col("on_line").cast("double").alias("line_window"))
+    pairs = line.crossJoin(significant_contour(heat, threshold))
+    pairs = pairs.withColumn("length", F.hypot(F.col("lag") - F.col("line_lag"), F.col("window") - F.col("line_window")))
+    middle = F.struct("contour", ((F.col("lag") + F.col("line_lag")) / 2).alias("lag"), ((F.col("window") + F.col("line_window")) / 2).alias("window"), "length", (F.col("length") / 2 * multiple).alias("radius"))
+    best = pairs.agg(F.min_by(middle, F.struct("length", "line_lag", "lag", "window")).alias("x")).where("x IS NOT NULL")
+    return best.select("x.*")
+
+
 def cross_correlation(x: DataFrame, y: DataFrame, lags: list[int]) -> DataFrame:
     """(lag, r): the mean product of the standardised series x at idx and y at idx + lag, over the whole length."""
     z = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"), F.count("*").alias("_n")))).select("idx", ((F.col(c) - F.col("_m")) / F.col("_s")).alias(c), "_n")

@@ -617,6 +617,35 @@ def causal_contour(spark, d):
     return modes.causal_contour(heat)
 
 
+@query()
+def parsimonious_circle(spark, d):
+    s = daily(spark, d)
+    pairs = align.all_lags(s.select("idx", "x"), s.select("idx", "y"), list(range(-10, 41, 10))).withColumn("window", F.explode(F.array(*map(F.lit, [5, 10, 20, 40, 80]))))
+    heat = modes.estimate(pairs.where(F.col("idx") % F.col("window") < 4), ["window", "lag"])
+    level = heat.agg(F.median("mi")).first()[0]
+    return modes.parsimonious_circle(heat, level)
+
+
+@query()
+def transfer_entropy_history(spark, d):
+    return modes.transfer_histories(daily(spark, d), history=3, horizon=2)
+
+
+@query("""SELECT l_linenumber AS k, round(avg(l_tax) * 200, 6) AS test_mi, count(*) AS eval_size, round(avg(l_tax) * 200, 6) > 0.85 * ln(count(*)) AS near_ceiling, round(avg(l_discount) * 100, 6) AS pr_eig,
+round(avg(l_discount) * 100, 6) >= 0.8 * 6 AS near_dimension FROM lineitem GROUP BY 1""")
+def ceiling_flags(spark, d):
+    runs = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.round(F.avg("l_tax") * 200, 6).alias("test_mi"), F.count("*").alias("eval_size"), F.round(F.avg("l_discount") * 100, 6).alias("pr_eig"))
+    return regression.near_dimension(regression.near_ceiling(runs), 6)
+
+
+@query("""WITH h AS (SELECT l_orderkey AS k, l_linenumber AS e, l_extendedprice AS v FROM lineitem), m AS (SELECT *, max(v) OVER (PARTITION BY k ORDER BY e, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(v) OVER (PARTITION BY k) AS top FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY e, v) - 1 AS i FROM m)
+SELECT k, min(i)::INT AS epoch FROM n WHERE (before IS NULL OR (v - before) / (abs(before) + 1e-8) > 0) AND v >= 0.8 * top GROUP BY k""")
+def conservative_epoch(spark, d):
+    runs = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))), lambda s: s["l_extendedprice"]).alias("history"))
+    return runs.select("k", regression.conservative_epoch(F.col("history"), 0.8, 0.0).alias("epoch"))
+
+
 @query()
 def fixed_noise(spark, d):
     return splits.fixed_noise(eight(spark, d).select("id", "x"), [0.25, 1.0], seed=9)

@@ -202,3 +202,33 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.load(spark, str(tmp_path / "a")).count() == 5
     with pytest.raises(Exception):
         tables.save(df, str(tmp_path / "a"))
+
+
+def test_conservative_epoch(spark):
+    rows = [(0, [0.1, 0.5, 0.4, 0.9, 0.9005, 1.0]), (1, [-3.0, -1.0, -2.0]), (2, []), (3, [float("nan"), 0.2]), (4, [None, 0.3])]
+    found = spark.createDataFrame(rows, "k int, h array<double>").select("k", regression.conservative_epoch(F.col("h"), 0.85).alias("e")).collect()
+    assert {r["k"]: r["e"] for r in found} == {0: 3, 1: 1, 2: None, 3: 1, 4: 1}
+
+
+def test_transfer_with_histories(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=3000)
+    y = 0.8 * np.roll(x, 2) + 0.6 * rng.normal(size=3000)
+    series = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "idx long, x double, y double")
+    one, plain = modes.transfer_histories(series, 1).first(), modes.transfer(series).first()
+    assert one["te_xy"] == pytest.approx(plain["te_xy"], abs=1e-6) and one["te_yx"] == pytest.approx(plain["te_yx"], abs=1e-6)
+    two = modes.transfer_histories(series, 2).first()
+    assert one["te_xy"] < 0.02 and two["te_xy"] == pytest.approx(-np.log2(0.6), abs=0.05) and two["directionality"] > 0.9
+    past = np.stack([y[:-2], y[1:-1], x[:-2], x[1:-1], y[2:]], axis=1)
+    logdet = lambda c: np.linalg.slogdet(np.corrcoef(past[:, c].T))[1] if len(c) > 1 else 0.0
+    brute = 0.5 * (logdet([0, 1, 2, 3]) - logdet([0, 1, 2, 3, 4]) - logdet([0, 1]) + logdet([0, 1, 4])) / np.log(2)
+    assert two["te_xy"] == pytest.approx(brute, abs=1e-6)
+
+
+def test_circle_of_a_heatmap(spark):
+    heat = spark.createDataFrame([(w, lag, 0.0 if w < 4 else 1.0 if lag >= 0 else 0.1) for w in range(1, 9) for lag in range(-2, 5)], "window int, lag int, mi double")
+    points = {(r["lag"], round(r["window"], 3)) for r in modes.significant_contour(heat, 0.5).collect()}
+    assert (0.0, 3.5) in points and all(p[1] == 3.5 or -1 < p[0] < 0 for p in points)
+    r = modes.parsimonious_circle(heat, 0.5).first()
+    assert r["contour"] == 4 and r["length"] == pytest.approx(math.hypot(4 / 9, 0)) and r["radius"] == pytest.approx(r["length"] / 2 * 1.2)
+    assert modes.parsimonious_circle(heat, 5.0).count() == 0
