@@ -14,6 +14,7 @@ a pair has no more; the other half is then compared in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,10 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """A binary trie over sorted distinct 64-bit keys; a node is a range of keys with a common prefix."""
+    """A binary trie over sorted distinct 64-bit keys; a node is a range of keys with a common prefix.
+
+    Equal keys are for the caller to join (`crossed`): self_join tells keys apart by their bits alone.
+    """
 
     def __init__(self, keys: np.ndarray, root_depth: int):
         self.keys, self.root_depth = keys, root_depth
@@ -199,6 +203,17 @@ def _stars(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def crossed(i: np.ndarray, j: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a < b) of the members of leaves i and j, in bounded slices; leaf k holds rows starts[k] and on, sizes[k] of them."""
+    ends = np.cumsum(sizes[i] * sizes[j])
+    for low in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        at = np.arange(low, min(low + PAIRS_AT_ONCE, ends[-1]))
+        k = np.searchsorted(ends, at, "right")
+        off, width = at - ends[k] + sizes[i[k]] * sizes[j[k]], sizes[j[k]]
+        a, b = starts[i[k]] + off // width, starts[j[k]] + off % width
+        yield a[a < b], b[a < b]
+
+
 def _rotate(column: F.Column, by: int) -> F.Column:
     return column if not by else F.shiftleft(column, by).bitwiseOR(F.shiftrightunsigned(column, BITS - by))
 
@@ -229,12 +244,17 @@ def links(distinct: DataFrame, budget: int = 3, halves: int = 1) -> DataFrame:
     dealt = distinct.select("node", F.explode(F.array(*copies)).alias("x")).select("node", "x.*")
     dealt = dealt.withColumn("head", F.expr("shiftrightunsigned(key, 64 - size)"))
 
-    def near(trie: Trie, rest: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, j in trie.self_join(allowed_bits(part, start)):
-            if halves > 1:
-                close = _popcount(trie.keys[i] ^ trie.keys[j]).astype(np.int32) + _popcount(rest[i] ^ rest[j]) <= budget
-                i, j = i[close], j[close]
-            yield i, j
+    def near(keys: np.ndarray, rest: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        leaves, starts, sizes = np.unique(keys, return_index=True, return_counts=True)
+        shared = np.flatnonzero(sizes > 1)  # nodes that differ in the other half only
+        pairs = Trie(leaves, cuts[start + 1] - cuts[start]).self_join(allowed_bits(part, start))
+        for i, j in chain([(shared, shared)], pairs):
+            if halves == 1:
+                yield i, j
+                continue
+            for a, b in crossed(i, j, starts, sizes):
+                close = _popcount(keys[a] ^ keys[b]).astype(np.int32) + _popcount(rest[a] ^ rest[b]) <= budget
+                yield a[close], b[close]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = [[batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] for batch in batches]
@@ -245,8 +265,7 @@ def links(distinct: DataFrame, budget: int = 3, halves: int = 1) -> DataFrame:
             mine = np.flatnonzero(block == k)
             mine = mine[np.argsort(key[mine].astype(np.uint64), kind="stable")]
             start = k % (part + 1)
-            trie = Trie(key[mine].astype(np.uint64), cuts[start + 1] - cuts[start])
-            root = _stars(len(mine), near(trie, rest[mine].astype(np.uint64), start))
+            root = _stars(len(mine), near(key[mine].astype(np.uint64), rest[mine].astype(np.uint64), start))
             own = node[mine]
             least = own.copy()
             np.minimum.at(least, root, own)

@@ -374,6 +374,28 @@ def test_trie_finds_every_pair():
         assert pairs == brute and len(brute) > 40
 
 
+def test_nodes_that_share_a_half_are_linked(spark):
+    rng = random.Random(13)
+    text = [f"w{rng.randint(0, 10**6)}" for _ in range(700)]
+    variants = [" ".join(text[:k] + ["edit"] + text[k + 1 :]).encode() for k in range(700)]
+    prints = {tuple(map(int, r)) for r in simhash._fingerprints(iter(variants), 5, 2, True)}
+    for _ in range(4):  # groups in which every half is shared, some bits apart
+        one, two = (rng.getrandbits(63) for _ in range(2))
+        prints |= {(one ^ (1 << a), two ^ (1 << b)) for a in range(0, 60, 6) for b in range(0, 60, 6)}
+        prints |= {(one ^ (2**14 - 1), two ^ (2**14 - 1) ^ (1 << b)) for b in range(20)}
+    nodes = sorted(prints)
+    assert len(nodes) > 500
+    edges = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(i, *p) for i, p in enumerate(nodes)], "node long, fingerprint long, second long"), 22, 2).collect()}
+    mask = 2**64 - 1
+    brute = {(i, j) for i, (a, b) in enumerate(nodes) for j, (c, d) in enumerate(nodes[:i]) if ((a ^ c) & mask).bit_count() + ((b ^ d) & mask).bit_count() <= 22}
+    groups = []
+    for pairs in (brute, edges):
+        i, j = np.array(sorted(pairs)).T
+        root = simhash._stars(len(nodes), iter([(i, j)]))
+        groups.append(root.tolist())
+    assert groups[0] == groups[1] and 5 <= len(set(groups[0])) < len(nodes)
+
+
 def test_near_copies_go_and_others_stay(spark, empty):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
