@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import langid, line_dedup, mixture, packing, simhash
+from infospan.llm import jaccard, langid, line_dedup, mixture, packing
 from infospan.llm.shared import NOT_SPACE, written
 from infospan.llm.tokens import public_path
 
@@ -33,8 +33,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
-    return simhash.keep_firsts(docs, "doc_id", "text").select(*COLUMNS)
+    """Keeps the smallest doc_id of each group of texts that share 0.8 of their five-word shingles."""
+    return jaccard.keep_firsts(docs, "doc_id", "text").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

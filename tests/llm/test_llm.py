@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from infospan.llm import components, digest, exact_dedup, langid, line_dedup, mixture, packing, queries, rans, secrets, simhash, tokens, warc
+from infospan.llm import components, digest, exact_dedup, jaccard, langid, line_dedup, mixture, packing, queries, rans, secrets, simhash, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -431,6 +431,32 @@ def test_near_duplicates_against_jaccard(spark):
     assert not any(linked[i] for i in alike if alike[i] < 0.5) and len(set(found.values())) >= 200
 
 
+def test_pipeline_groups_are_those_of_the_exact_similarity(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = list(AWKWARD)
+    for i in range(120):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 40, 200]))]
+        for j in range(4):  # similarities on both sides of 0.8, chains among them
+            rows.append((1000 + 10 * i + j, " ".join(words)))
+            words = list(words)
+            for k in rng.sample(range(len(words)), max(1, len(words) * rng.choice([1, 2, 3, 4, 6]) // 100)):
+                words[k] = f"e{rng.randint(0, 10**6)}"
+    sets = {t: frozenset(jaccard.shingle_set((t or "").encode(), 5).tolist()) for _, t in rows}
+    distinct = sorted(set(sets.values()), key=sorted)
+    pairs = [(i, j) for i, a in enumerate(distinct) for j, b in enumerate(distinct[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    root = simhash._stars(len(distinct), iter([tuple(np.array(pairs).T)])).tolist()
+    group, least = {s: r for s, r in zip(distinct, root, strict=True)}, {}
+    for i, t in rows:
+        if i is not None:
+            least[group[sets[t]]] = min(i, least.get(group[sets[t]], i))
+    wanted = sorted(((i, least[group[sets[t]]]) for i, t in rows), key=repr)
+    for block in (jaccard.BLOCK, 300):  # 300: groups of several blocks
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert sorted(map(tuple, jaccard.near_duplicates(docs(spark, rows)).collect()), key=repr) == wanted
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, k in wanted if i == k}
+
+
 def test_a_shared_repeated_line_is_no_near_copy(spark):
     rng = random.Random(10)
     rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) + " all of these rights are reserved here today" * 40) for i in range(30)]
