@@ -402,12 +402,12 @@ def pr_eig(spark, d):
 
 @query()
 def spectrum_summary(spark, d):
-    return r6(spectra.spectrum_summary(spectra.singular_values(spectra.cross_covariance(eight(spark, d)))), "pr_eig", "pr_singular", "entropy", "effective_rank")
+    return r6(spectra.spectrum_summary(spectra.singular_values(spectra.cross_covariance(halves(spark, d)))), "pr_eig", "pr_singular", "entropy", "effective_rank")
 
 
 @query()
 def rotated_embeddings(spark, d):
-    return spectra.rotated(eight(spark, d))
+    return spectra.rotated(halves(spark, d))
 
 
 # ---------------------------------------------------------------- splits
@@ -648,7 +648,7 @@ def conservative_epoch(spark, d):
 
 @query()
 def fixed_noise(spark, d):
-    return splits.fixed_noise(eight(spark, d).select("id", "x"), [0.25, 1.0], seed=9)
+    return splits.fixed_noise(halves(spark, d).select("id", "x"), [0.25, 1.0], seed=9)
 
 
 @query()
@@ -668,7 +668,7 @@ def dimensionality(spark, d):
 def learned_estimate(spark, d):
     """A trained critic on the halves of the vectors."""
     training = critics.Training(n_epochs=5, learning_rate=2e-3, seed=1)
-    return critics.learned(eight(spark, d), training).select("train_mi", "test_mi", "best_epoch", "eval_size")
+    return critics.learned(halves(spark, d), training).select("train_mi", "test_mi", "best_epoch", "eval_size")
 
 
 @query()

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from infospan import queries
 from infospan.functions import bounds, regression, scalar, spectra
 from infospan.operators import align, splits
 from infospan.operators import windows as W
@@ -232,3 +233,17 @@ def test_circle_of_a_heatmap(spark):
     r = modes.parsimonious_circle(heat, 0.5).first()
     assert r["contour"] == 4 and r["length"] == pytest.approx(math.hypot(4 / 9, 0)) and r["radius"] == pytest.approx(r["length"] / 2 * 1.2)
     assert modes.parsimonious_circle(heat, 5.0).count() == 0
+
+
+def test_queries_without_sql_take_all_channels(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    e = np.array([r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("embedding").cast("array<double>")).collect()])
+    x, y = ((v - v.mean(0)) / v.std(0) for v in (e[:, :32], e[:, 32:]))
+    sigma = np.linalg.svd(x.T @ y / (len(e) - 1), compute_uv=False)
+    assert queries.spectrum_summary(spark, sf).first()["pr_singular"] == pytest.approx(sigma.sum() ** 2 / (sigma**2).sum(), rel=1e-4)
+    sizes = lambda df, *columns: {tuple(r) for r in df.select(*[F.size(c) for c in columns]).distinct().collect()}
+    assert sizes(queries.rotated_embeddings(spark, sf), "x", "y", "u", "v") == {(32,) * 4}
+    assert sizes(queries.fixed_noise(spark, sf), "x") == {(32,)}
+    real, taken = critics.learned, []
+    monkeypatch.setattr(critics, "learned", lambda samples, *a: taken.append(sizes(samples, "x", "y")) or real(samples, *a))
+    assert queries.learned_estimate(spark, sf).first()["eval_size"] > 0 and taken == [{(32, 32)}]
