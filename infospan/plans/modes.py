@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from infospan.functions import regression
 from infospan.functions.scalar import rounded
 from infospan.operators import align, splits
+from infospan.operators import windows as W
 
 #: Squared correlations are held below this, as no finite sample shows more.
 MOST = 1 - 1e-12
@@ -215,6 +216,21 @@ def significant_contour(heat: DataFrame, threshold: float = 0.2) -> DataFrame:
     return found.distinct()
 
 
+def windowed_pairs(series: DataFrame, sizes: list[int], lags: list[int]) -> DataFrame:
+    """(window, lag, idx, x, y): the mean of x over each whole window of `window` steps from idx on, and that of y over the window `lag` later.
+
+    series (idx, x, y) has a row a step; windows start at every step, and one with missing steps is the mean of the others.
+    """
+    low, high = series.agg(F.min("idx"), F.max("idx")).first()
+    if low is None:
+        low, high = 0, -1
+    starts = lambda n: W.Grid(n, low, high - n + 2, step_seconds=1.0).of(F.col("idx"))
+    covers = [F.transform(starts(n), lambda w: F.struct(F.lit(n).alias("window"), (w + low).alias("idx"))) for n in sizes]  # noqa: B023
+    cells = series.select("x", "y", F.explode(F.concat(*covers)).alias("c")).groupBy("c.window", "c.idx").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    x = cells.select("window", "idx", "x", F.explode(F.array(*map(F.lit, lags))).alias("lag")).withColumn("at", F.col("idx") + F.col("lag"))
+    return x.join(cells.select("window", F.col("idx").alias("at"), "y"), ["window", "at"]).select("window", "lag", "idx", "x", "y")
+
+
 def parsimonious_circle(heat: DataFrame, threshold: float = 0.2, multiple: float = 1.2) -> DataFrame:
     """(contour, lag, window, length, radius): the shortest bridge from the causal contour's line lag + window = contour to the significant contour.
 

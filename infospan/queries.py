@@ -620,8 +620,7 @@ def causal_contour(spark, d):
 @query()
 def parsimonious_circle(spark, d):
     s = daily(spark, d)
-    pairs = align.all_lags(s.select("idx", "x"), s.select("idx", "y"), list(range(-10, 41, 10))).withColumn("window", F.explode(F.array(*map(F.lit, [5, 10, 20, 40, 80]))))
-    heat = modes.estimate(pairs.where(F.col("idx") % F.col("window") < 4), ["window", "lag"])
+    heat = modes.estimate(modes.windowed_pairs(s, [5, 10, 20, 40, 80], list(range(-10, 41, 10))), ["window", "lag"])
     level = heat.agg(F.median("mi")).first()[0]
     return modes.parsimonious_circle(heat, level)
 

@@ -247,3 +247,17 @@ def test_queries_without_sql_take_all_channels(spark, monkeypatch):
     real, taken = critics.learned, []
     monkeypatch.setattr(critics, "learned", lambda samples, *a: taken.append(sizes(samples, "x", "y")) or real(samples, *a))
     assert queries.learned_estimate(spark, sf).first()["eval_size"] > 0 and taken == [{(32, 32)}]
+
+
+def test_windowed_pairs_take_every_step(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    days = [k for k in range(100, 160) if k not in (120, 121)]
+    v = {k: (float(a), float(b)) for k, (a, b) in zip(days, rng.normal(size=(len(days), 2)), strict=True)}
+    found = {tuple(r)[:3]: tuple(r)[3:] for r in modes.windowed_pairs(spark.createDataFrame([(k, *p) for k, p in v.items()], "idx long, x double, y double"), [2, 5, 80], [-3, 0, 4]).collect()}
+    mean = lambda a, n, c: np.mean([v[k][c] for k in range(a, a + n) if k in v] or [np.nan])
+    brute = {(n, lag, a): (mean(a, n, 0), mean(a + lag, n, 1)) for n in (2, 5) for lag in (-3, 0, 4) for a in range(100, 161 - n) if 100 <= a + lag <= 160 - n}
+    brute = {k: p for k, p in brute.items() if not np.isnan(p).any()}
+    assert found.keys() == brute.keys() and all(found[k] == pytest.approx(brute[k]) for k in brute)
+    real, rows = modes.estimate, []
+    monkeypatch.setattr(modes, "estimate", lambda t, keys: rows.append(t.where("window = 80 AND lag = 0").count()) or real(t, keys))
+    assert queries.parsimonious_circle(spark, "/root/testdata/sf0.001").count() == 1 and rows[0] > 2000
