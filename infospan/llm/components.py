@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infospan.llm.shared import written
-
-#: Keys over which the edges of a hub are dealt.
-SALTS = 16
+from infospan.llm.shared import spread_join, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In each round every node hooks to its smallest neighbour, the trees are flattened by pointer jumping, and each is
     contracted to its root, so only edges between trees are left; rounds and jumps follow the logarithm of the longest
-    path. Aggregates combine a hub's edges before the shuffle, and the join on a hub's end is salted. Each round's tables are written.
+    path. Aggregates combine a hub's edges before the shuffle, and the joins on its end are salted. Each round's tables are written.
     """
     edges, found = edges.select("src", "dst").where("src <> dst"), None
     while True:
@@ -27,9 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         else:
             further = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
             found = written(found.join(further, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
-        starts = edges.join(roots, edges["src"] == roots["node"]).select(F.col("component").alias("src"), "dst", F.pmod(F.xxhash64("src"), F.lit(SALTS)).cast("int").alias("salt"))
-        dealt = roots.select(F.col("node").alias("dst"), F.col("component").alias("end"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        edges = written(starts.join(dealt, ["dst", "salt"]).select("src", F.col("end").alias("dst")).where("src <> dst").distinct(), "contracted")
+        starts = spread_join(edges, roots.withColumnRenamed("node", "src"), ["src"], F.xxhash64("dst")).select(F.col("component").alias("src"), "dst")
+        ended = spread_join(starts, roots.select(F.col("node").alias("dst"), F.col("component").alias("end")), ["dst"], F.xxhash64("src"))
+        edges = written(ended.select("src", F.col("end").alias("dst")).where("src <> dst").distinct(), "contracted")
         if edges.isEmpty():
             return found
 

@@ -1,9 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of their sets of shingles.
+"""Near-duplicates by SimHash candidates and the exact Jaccard similarity of their sets of shingles.
 
-Candidates come from MinHash: BANDS keys a set, each of ROWS minima, and sets that share a key are candidates. Only the
-stars of candidates leave a task, so their components are taken first; the sets of each component are then compared
-in full, and only pairs at or over the wanted similarity link. A pair of similarity s is missed as a candidate with
-probability (1 - s^ROWS)^BANDS: 0.0006 at 0.8, less above, and less where other texts of its group join the two.
+Candidates are the pairs that the trie self-join finds over 128-bit fingerprints of the sets. Only the stars of candidates
+leave its tasks, so their components are taken first; the sets of each component are then compared
+in full, and only pairs at or over the wanted similarity link. Fingerprints of sets alike to 0.8 differ in 9.7 bits of each half on
+average with a deviation of 2.9: by the binomial law 0.93 of such pairs have a half within PART bits, more of those more alike.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from infospan.llm.components import connected_components
-from infospan.llm.shared import shuffle_partitions, written
-from infospan.llm.simhash import SALTS, _mixed, _stars, shingle_digests
+from infospan.llm.shared import release, shuffle_partitions, spread_join, whole_groups, written
+from infospan.llm.simhash import links, majority, mixed, named_components, shingle_digests
 
-BANDS, ROWS = 40, 8
-#: Shingles whose minima are taken at once.
-AT_ONCE = 4096
+#: Bits of 128 that may differ in candidates, and of the nearer half.
+BUDGET, PART = 30, 11
 #: Shingles of a block of sets; larger groups are cut into blocks, and every two blocks are compared.
 BLOCK = 250_000
 
@@ -33,61 +32,38 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text, words)), ">u8").astype(np.uint64))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS) keys: of the minima of ROWS permutations each, drawn once for all."""
-    rng = np.random.default_rng(42)
-    factors, moves = (rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint32) for _ in range(2))
-    factors |= np.uint32(1)
-    least = np.full((len(sets), BANDS * ROWS), 2**32 - 1, np.uint32)
-    for k, found in enumerate(sets):
-        low = found.astype(np.uint32)
-        for i in range(0, len(low), AT_ONCE):
-            np.minimum(least[k], (low[i : i + AT_ONCE] * factors + moves).min(axis=1), out=least[k])
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS))
-    for row in range(ROWS):
-        keys = _mixed(keys ^ least[:, row::ROWS].astype(np.uint64))
-    return keys.view(np.int64)
-
-
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), flat.view(np.int64))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, node, keys, shingles) of each row: node stands for the set; a text without words has no keys."""
+    """(id, node, fingerprint, second, shingles) of each row: node stands for the set, the two halves of its fingerprint for sets like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
                 sets = [shingle_set(x.as_py() or b"", words) for x in batch.column(1).cast(pa.large_binary())]
                 nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                keys = [k if len(s) else k[:0] for k, s in zip(band_keys(sets), sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), _lists(keys), _lists(sets)], ["id", "node", "keys", "shingles"])
+                flat, sizes = np.concatenate(sets), [len(s) for s in sets]
+                halves = [pa.array(majority(h, sizes)) for h in (flat, mixed(flat))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *halves, _lists(sets)], ["id", "node", "fingerprint", "second", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node long, keys array<long>, shingles array<long>")
-
+    return rows.mapInArrow(run, f"id {kind}, node long, fingerprint long, second long, shingles array<long>")
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Edges (src, dst) of nodes (node, keys), whose closure is that of all pairs with a key in common."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [[batch.column(c).to_numpy(zero_copy_only=False) for c in range(2)] for batch in batches]
-        if not read:
-            return
-        key, node = (np.concatenate(x) for x in zip(*read, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, (own, at) = key[order], np.unique(node[order], return_inverse=True)
-        same = np.flatnonzero(key[1:] == key[:-1])
-        root = _stars(len(own), iter([(at[same], at[same + 1])]))  # own is sorted: the smallest index is the smallest node
-        found = np.flatnonzero(root != np.arange(len(own)))
-        yield pa.RecordBatch.from_arrays([pa.array(own[found]), pa.array(own[root[found]])], ["src", "dst"])
-
-    n = shuffle_partitions(nodes.sparkSession)
-    return nodes.select(F.explode("keys").alias("key"), "node").repartition(n, "key").mapInArrow(run, "src long, dst long").distinct()
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the nodes (node, fingerprint, second) that candidates connect to another."""
+    prints = written(nodes.groupBy("fingerprint", "second").agg(F.min("node").alias("print"), F.count("*").alias("sets")), "set-fingerprints")
+    edges = links(prints.select(F.col("print").alias("node"), "fingerprint", "second"), BUDGET, 2, PART)
+    found = connected_components(written(edges, "candidates")).withColumnRenamed("node", "print")
+    # Sets with the same fingerprint are candidates, too.
+    grouped = prints.join(found, "print", "left").where("component IS NOT NULL OR sets > 1").select("fingerprint", "second", F.coalesce("component", "print").alias("component"))
+    return spread_join(nodes.select("node", "fingerprint", "second"), grouped, ["fingerprint", "second"], F.xxhash64("node")).select("node", "component")
 
 
 def alike(flat: np.ndarray, sizes: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -123,39 +99,26 @@ def confirmed(sets: DataFrame, least: float) -> DataFrame:
     """Edges (src, dst) of the sets (component, node, shingles) whose closure is that of the pairs of a component at or over `least`."""
     wanted = Fraction(str(least))
     blocks = sets.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = spread_join(sets, blocks, ["component"], F.xxhash64("node")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     # All blocks but the own one; a single block is compared with itself.
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != F.col("own")) | (F.col("blocks") == 1))
     dealt = dealt.withColumn("other", F.explode(others))
     dealt = dealt.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
 
-    def compared(table: pa.Table) -> pa.RecordBatch:
-        task, node = (table[c].to_numpy() for c in ("task", "node"))
-        lists = table["shingles"].combine_chunks()
-        sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
-        src, dst = [], []
-        for a, b in zip(starts, [*starts[1:], len(task)], strict=True):
-            i, j = alike(flat[ends[a] : ends[b]], sizes[a:b], wanted)
-            src.append(node[a + i])
-            dst.append(node[a + j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            task = held["task"].to_numpy()
-            cut = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
-            if cut:
-                yield compared(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield compared(held)
+        release()
+        for table in whole_groups(batches, "task"):
+            task, node = (table[c].to_numpy() for c in ("task", "node"))
+            lists = table["shingles"].combine_chunks()
+            sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
+            src, dst = [], []
+            for a, b in zip(starts, [*starts[1:], len(task)], strict=True):
+                i, j = alike(flat[ends[a] : ends[b]], sizes[a:b], wanted)
+                src.append(node[a + i])
+                dst.append(node[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
     n = shuffle_partitions(sets.sparkSession)
     return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long")
@@ -164,22 +127,16 @@ def confirmed(sets: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id_col, component_id): component_id is the smallest id reachable over pairs of texts whose sets of shingles are alike to `least`.
 
-    One row for each row of docs. Texts without words are one group. A null id keeps its row; it names a component only
-    if that has no other id. Empty input: no rows. Other columns of docs are not read.
+    One row for each row of docs. Texts of any length are read whole; those without words are one group. A null id keeps its row; it names a component only
+    if that has no other id. Empty input: no rows. Other columns of docs are not read. PART and BUDGET are fit for a similarity of 0.8 and more.
     """
     rows = written(shingle_sets(docs, id_col, text_col, words), "shingle-sets")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("first_id"), F.first("keys").alias("keys")), "shingle-nodes")
-    found = connected_components(written(candidates(nodes), "candidates"))
-    sets = rows.select("node", "shingles").join(found, "node").groupBy("component", "node").agg(F.first("shingles").alias("shingles"))
+    nodes = written(rows.groupBy("node", "fingerprint", "second").agg(F.min("id").alias("first_id"), F.max(F.size("shingles")).alias("size")), "shingle-nodes")
+    found = written(candidate_groups(nodes.where("size > 0")), "candidate-groups")
+    sets = spread_join(rows.select("node", "shingles"), found, ["node"], F.xxhash64("shingles")).groupBy("component", "node").agg(F.first("shingles").alias("shingles"))
     edges = written(confirmed(written(sets, "candidate-sets"), least), "alike")
-    firsts = nodes.select("node", "first_id")
-    grouped = connected_components(edges).join(firsts, "node")
-    named = grouped.join(grouped.groupBy("component").agg(F.min("first_id").alias("least")), "component").select("node", "least")
-    named = firsts.join(named, "node", "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
-    # A third of all rows may share a set: they are dealt over SALTS keys.
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.select("id", "node", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt"))
-    return dealt.join(salted, ["node", "salt"]).select(F.col("id").alias(id_col), "component_id")
+    named = written(named_components(edges, nodes.select("node", "first_id")), "named-sets")
+    return spread_join(rows.select("id", "node"), named, ["node"], F.xxhash64("id")).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

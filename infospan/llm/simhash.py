@@ -3,12 +3,13 @@
 The join compares distinct fingerprints only. Cut 64 bits into budget + 1 blocks: for a pair within `budget` differing
 bits there is a block to begin at, going round, so that the first l blocks always have at most l / (budget + 1) of the
 budget (the cycle lemma). The fingerprints are dealt out once for each block, rotated so that it comes first, by its
-value, as it must be equal; each task builds one binary trie over what it gets. From the block's nodes on the two sides
+value, as it must be equal; with many fingerprints also by further bits and by each way in which the two sides of a pair
+may differ in these. Each task builds a binary trie over what it gets. From there the nodes on the two sides
 of a pair are traversed together, a level at a time: a node pair splits into its child pairs, a differing branch costs
 one bit, and pairs over the budget so far are dropped. Work follows the node pairs alive, never the square of a block.
 
-Fingerprints of two halves (128 bits) are joined by a trie over either half with half the budget, since one half of
-a pair has no more; the other half is then compared in full.
+Fingerprints of two halves (128 bits) are joined by a trie over either half, which may differ in `part` bits; the whole
+is then held against the budget.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from infospan.llm.components import connected_components
-from infospan.llm.shared import SPACE, shuffle_partitions, written
+from infospan.llm.shared import release, shuffle_partitions, spread_join, whole_groups, written
 
 BITS = 64
 #: Shingles whose bits are counted at once, and node pairs traversed at once: bounds on a task's memory.
-SHINGLES_AT_ONCE = 1 << 19
-PAIRS_AT_ONCE = 1 << 20
-#: Keys over which the rows of one fingerprint are dealt.
-SALTS = 16
+SHINGLES_AT_ONCE = 1 << 15
+PAIRS_AT_ONCE = 1 << 19
+#: Key pairs of two nodes below which the keys are compared and the nodes no longer split.
+SMALL = 16
+#: Fingerprints with equal leading bits, on the average, above which they are dealt by more bits; rows that a task joins at once.
+KEYS_AT_ONCE = 1 << 19
+#: Leading bits by which fingerprints are dealt at most.
+DEALT_BITS = 24
 
 
 def shingle_digests(text: bytes, words: int) -> list[bytes]:
@@ -48,12 +52,7 @@ def shingle_digests(text: bytes, words: int) -> list[bytes]:
     return [digest(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def _majority(ones: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    bits = (2 * ones > counts[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(">u8").astype(np.int64)
-
-
-def _mixed(hashes: np.ndarray) -> np.ndarray:
+def mixed(hashes: np.ndarray) -> np.ndarray:
     """A second 64 bits of each hash, by the splitmix64 finaliser."""
     x = hashes + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,68 +60,41 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bits(digests: list[bytes], halves: int) -> np.ndarray:
-    first = np.frombuffer(b"".join(digests), ">u8")
-    both = [first] if halves == 1 else [first, _mixed(first.astype(np.uint64)).astype(">u8")]
-    return np.unpackbits(np.stack(both, axis=1).astype(">u8").view(np.uint8), axis=1)
-
-
-def _fingerprints(texts: Iterator[bytes | None], words: int, halves: int, distinct: bool) -> np.ndarray:
-    """(texts, halves) signed 64-bit fingerprints; the bits of a long text are counted in slices."""
-    out, digests, counts, held = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal held
-        if not counts:
-            return
-        n = np.array(counts)
-        ones = np.zeros((len(n), BITS * halves), np.int64)
-        if held:
-            bits = _bits(digests, halves)
-            full = np.flatnonzero(n)
-            firsts = (np.cumsum(n) - n)[full]
-            ones[full] = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
-        out.append(_majority(ones, n))
-        digests.clear()
-        counts.clear()
-        held = 0
-
-    for text in texts:
-        found = shingle_digests(text or b"", words)
-        if distinct:
-            found = list(set(found))
-        if len(found) > SHINGLES_AT_ONCE:
-            flush()
-            ones = np.zeros((1, BITS * halves), np.int64)
-            for i in range(0, len(found), SHINGLES_AT_ONCE):
-                ones += _bits(found[i : i + SHINGLES_AT_ONCE], halves).sum(axis=0, dtype=np.int64)
-            out.append(_majority(ones, np.array([len(found)])))
-            continue
-        digests.extend(found)
-        counts.append(len(found))
-        held += len(found)
-        if held >= SHINGLES_AT_ONCE:
-            flush()
-    flush()
-    return np.concatenate(out) if out else np.zeros((0, halves), np.int64)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, halves: int = 1, distinct: bool = False) -> DataFrame:
-    """(id_col, fingerprint, second): bit b is 1 if set in over half of the shingle hashes; no words or null text: 0.
-
-    second: 64 more bits by another hash where `halves` is 2, else 0. distinct: a shingle counts once, however often the text repeats it.
-    """
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The signed 64-bit fingerprint of each run of `counts` hashes: bit b is 1 if set in over half of them; none: 0. Whole runs are counted in slices."""
+    counts = np.asarray(counts, np.int64)
+    ones, ends = np.zeros((len(counts), BITS), np.int64), np.cumsum(counts)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, SHINGLES_AT_ONCE):
+        part = hashes[low : low + SHINGLES_AT_ONCE]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        first, last = np.searchsorted(ends, [low, low + len(part) - 1], "right")
+        own = first + np.flatnonzero(counts[first : last + 1])
+        ones[own] += np.add.reduceat(bits, np.maximum(ends[own] - counts[own] - low, 0), axis=0, dtype=np.int32)
+    return np.packbits((2 * ones > counts[:, None]).astype(np.uint8), axis=1).view(">u8").reshape(-1).astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """(id_col, fingerprint): bit b is 1 if set in over half of the hashes of the shingles, repeats included; no words or null text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            column = batch.column(1).cast(pa.large_binary())
-            found = _fingerprints((x.as_py() for x in column), words, halves, distinct)
-            second = found[:, 1] if halves > 1 else np.zeros(len(found), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0].copy()), pa.array(second.copy())], ["id", "fingerprint", "second"])
+            found = [np.zeros(0, np.int64)]
+            digests, counts, held = [], [], 0
+            for text in batch.column(1).cast(pa.large_binary()):
+                own = shingle_digests(text.as_py() or b"", words)
+                if held and held + len(own) > SHINGLES_AT_ONCE:
+                    found.append(majority(np.frombuffer(b"".join(digests), ">u8"), counts))
+                    digests, counts, held = [], [], 0
+                digests += own
+                counts.append(len(own))
+                held += len(own)
+            found.append(majority(np.frombuffer(b"".join(digests), ">u8"), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fingerprint long, second long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -130,15 +102,13 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """A binary trie over sorted distinct 64-bit keys; a node is a range of keys with a common prefix.
+    """A binary trie over distinct 64-bit keys, sorted within runs that share leading bits; a node is a range of keys with a common prefix.
 
-    Equal keys are for the caller to join (`crossed`): self_join tells keys apart by their bits alone.
+    Equal keys are for the caller to join: the trie tells keys apart by their bits alone.
     """
 
-    def __init__(self, keys: np.ndarray, root_depth: int):
-        self.keys, self.root_depth = keys, root_depth
-        heads = keys >> np.uint64(BITS - root_depth) if root_depth else np.zeros(len(keys), np.uint64)
-        self.roots = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
         self.zeros: dict[int, np.ndarray] = {}
 
     def split(self, low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
@@ -149,13 +119,14 @@ class Trie:
         z = self.zeros[depth]
         return low + z[high] - z[low]
 
-    def self_join(self, allowed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (i < j) of keys that share a root node; allowed: bits that may differ in the first d + 1 bits."""
+    def join(self, pairs: tuple[np.ndarray, ...], depth: int, allowed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs (i < j) of near keys below the node pairs (low, high, low, high, bits that differ so far) of this depth.
+
+        allowed: bits that may differ in the first d + 1 bits.
+        """
         budget = allowed[-1]
-        ends = np.append(self.roots[1:], len(self.keys))
-        wide = ends - self.roots > 1
-        low, high = self.roots[wide].astype(np.int32), ends[wide].astype(np.int32)
-        todo = [(self.root_depth, (low, high, low, high, np.zeros(len(low), np.int8)))]
+        kinds = (np.int32, np.int32, np.int32, np.int32, np.int8)
+        todo = [(depth, tuple(x.astype(t) for x, t in zip(pairs, kinds, strict=True)))]
         while todo:
             depth, pairs = todo.pop()
             if len(pairs[0]) > PAIRS_AT_ONCE:
@@ -163,14 +134,13 @@ class Trie:
                 todo += [(depth, tuple(x[:half] for x in pairs)), (depth, tuple(x[half:] for x in pairs))]
                 continue
             a, a_end, b, b_end, used = pairs
-            single = (a_end - a == 1) & (b_end - b == 1)
-            if single.any():
-                i, j = a[single], b[single]
-                near = _popcount(self.keys[i] ^ self.keys[j]) <= budget
-                near &= i < j
-                if near.any():
-                    yield i[near], j[near]
-                a, a_end, b, b_end, used = (x[~single] for x in pairs)
+            small = (a_end - a).astype(np.int64) * (b_end - b) <= SMALL
+            if small.any():
+                for i, j in crossed(a[small], a_end[small] - a[small], b[small], b_end[small] - b[small]):
+                    near = _popcount(self.keys[i] ^ self.keys[j]) <= budget
+                    if near.any():
+                        yield i[near], j[near]
+                a, a_end, b, b_end, used = (x[~small] for x in pairs)
             if not len(a) or depth == BITS:
                 continue
             a_mid, b_mid, same = self.split(a, a_end, depth), self.split(b, b_end, depth), a == b
@@ -182,12 +152,12 @@ class Trie:
                 if also is not None:
                     alive &= also
                 kept.append(tuple(v[alive] for v in (x, x_end, y, y_end, cost)))
-            merged = tuple(np.concatenate(v).astype(t) for v, t in zip(zip(*kept, strict=True), (np.int32, np.int32, np.int32, np.int32, np.int8), strict=True))
+            merged = tuple(np.concatenate(v).astype(t) for v, t in zip(zip(*kept, strict=True), kinds, strict=True))
             if len(merged[0]):
                 todo.append((depth + 1, merged))
 
 
-def _stars(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def stars(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest index reachable from each of n, by hooking and pointer jumping; edges come in bounded slices."""
     root = np.arange(n, dtype=np.int64)
     for i, j in edges:
@@ -198,20 +168,25 @@ def _stars(n: int, edges: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
                 break
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
             np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (jumped := root[root]).tobytes() != root.tobytes():
+            while not np.array_equal(jumped := root[root], root):
                 root = jumped
     return root
 
 
-def crossed(i: np.ndarray, j: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (a < b) of the members of leaves i and j, in bounded slices; leaf k holds rows starts[k] and on, sizes[k] of them."""
-    ends = np.cumsum(sizes[i] * sizes[j])
+def crossed(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of the members of ranges a and b, given by their firsts and sizes, in bounded slices."""
+    counts = a_size.astype(np.int64) * b_size
+    ends = np.cumsum(counts)
     for low in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
-        at = np.arange(low, min(low + PAIRS_AT_ONCE, ends[-1]))
-        k = np.searchsorted(ends, at, "right")
-        off, width = at - ends[k] + sizes[i[k]] * sizes[j[k]], sizes[j[k]]
-        a, b = starts[i[k]] + off // width, starts[j[k]] + off % width
-        yield a[a < b], b[a < b]
+        at = np.arange(low, min(low + PAIRS_AT_ONCE, int(ends[-1])))
+        first, last = np.searchsorted(ends, [low, at[-1]], "right")
+        inside = np.minimum(ends[first : last + 1], at[-1] + 1) - np.maximum(ends[first : last + 1] - counts[first : last + 1], low)
+        k = np.repeat(np.arange(first, last + 1), inside)
+        off, width = at - (ends - counts)[k], b_size[k]
+        i = a[k] + off // width
+        j = b[k] + off - off // width * width
+        keep = i < j
+        yield i[keep], j[keep]
 
 
 def _rotate(column: F.Column, by: int) -> F.Column:
@@ -232,79 +207,98 @@ def allowed_bits(budget: int, start: int) -> list[int]:
     return found
 
 
-def links(distinct: DataFrame, budget: int = 3, halves: int = 1) -> DataFrame:
-    """Edges (src, dst) of the distinct rows (node, fingerprint, second) whose closure is that of all pairs within `budget` bits.
+def differences(allowed: list[int], depth: int) -> list[int]:
+    """The ways, as `depth`-bit numbers, in which the leading bits of two near keys may differ."""
+    found = [0]
+    for d in range(depth):
+        found = [m << 1 | bit for m in found for bit in (0, 1) if m.bit_count() + bit <= allowed[d]]
+    return found
+
+
+def links(distinct: DataFrame, budget: int = 3, halves: int = 1, part: int | None = None) -> DataFrame:
+    """Edges (src, dst) of the distinct rows (node, fingerprint, second) whose closure is that of all pairs within `budget` bits, `part` of them in one half.
 
-    At most one edge a node and block: each task keeps only the star of each group that it found.
+    At most one edge a node and run of a task: it keeps only the star of each group that it found.
     """
-    part = budget // halves
-    cuts = ring(part)
+    part = budget if part is None else part
+    cuts, n_keys = ring(part), distinct.count()
     columns = [("fingerprint", "second"), ("second", "fingerprint")][:halves]
-    copies = [F.struct(F.lit(k + half * (part + 1)).alias("block"), _rotate(F.col(own), cuts[k]).alias("key"), F.col(other).alias("rest"), F.lit(cuts[k + 1] - cuts[k]).alias("size")) for half, (own, other) in enumerate(columns) for k in range(part + 1)]
-    dealt = distinct.select("node", F.explode(F.array(*copies)).alias("x")).select("node", "x.*")
-    dealt = dealt.withColumn("head", F.expr("shiftrightunsigned(key, 64 - size)"))
-
-    def near(keys: np.ndarray, rest: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        leaves, starts, sizes = np.unique(keys, return_index=True, return_counts=True)
-        shared = np.flatnonzero(sizes > 1)  # nodes that differ in the other half only
-        pairs = Trie(leaves, cuts[start + 1] - cuts[start]).self_join(allowed_bits(part, start))
+    allowed, depths = [allowed_bits(part, k) for k in range(part + 1)], []
+    for k in range(part + 1):
+        depth = cuts[k + 1] - cuts[k]
+        while n_keys >> depth > KEYS_AT_ONCE and depth < DEALT_BITS:
+            depth += 1
+        depths.append(depth)
+    copies = []
+    for own, other in columns:
+        for k in range(part + 1):
+            ways = F.array(*map(F.lit, differences(allowed[k], depths[k])))
+            copies.append(F.struct(F.lit(len(copies)).alias("block"), _rotate(F.col(own), cuts[k]).alias("key"), F.col(other).alias("rest"), F.lit(depths[k]).alias("depth"), ways.alias("ways")))
+    dealt = distinct.select("node", F.explode(F.array(*copies)).alias("x")).select("node", "x.*").select("*", F.explode("ways").alias("way"))
+    head = F.expr("shiftrightunsigned(key, 64 - depth)")
+    task = F.xxhash64("block", "way", F.least(head, head.bitwiseXOR(F.col("way"))))
+    dealt = dealt.select(task.alias("task"), "block", "way", "node", "key", "rest")
+
+    def near(task: np.ndarray, way: np.ndarray, keys: np.ndarray, rest: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows, which come by task and key."""
+        depth = depths[k]
+        new = np.flatnonzero(np.concatenate(([True], (task[1:] != task[:-1]) | (keys[1:] != keys[:-1]))))
+        leaves, sizes = keys[new], np.diff(np.append(new, len(keys)))
+        low = np.flatnonzero(np.concatenate(([True], task[new][1:] != task[new][:-1])))
+        high, differ = np.append(low[1:], len(new)), way[new][low]
+        heads = leaves >> np.uint64(BITS - depth)
+        middle = np.concatenate(([0], np.cumsum(heads != np.repeat(heads[low], high - low))))
+        middle = high - (middle[high] - middle[low])  # where the other side of a task begins
+        own = (differ == 0) & (high - low > 1)
+        two = (differ != 0) & (middle < high)
+        roots = [np.concatenate(x) for x in ((low[own], low[two]), (high[own], middle[two]), (low[own], middle[two]), (high[own], high[two]), (0 * low[own], np.bitwise_count(differ[two])))]
+        pairs = Trie(leaves).join(tuple(roots), depth, allowed[k])
+        shared = np.flatnonzero((sizes > 1) & (way[new] == 0))  # nodes that differ in the other half only
         for i, j in chain([(shared, shared)], pairs):
             if halves == 1:
-                yield i, j
+                yield new[i], new[j]
                 continue
-            for a, b in crossed(i, j, starts, sizes):
+            for a, b in crossed(new[i], sizes[i], new[j], sizes[j]):
                 close = _popcount(keys[a] ^ keys[b]).astype(np.int32) + _popcount(rest[a] ^ rest[b]) <= budget
                 yield a[close], b[close]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [[batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] for batch in batches]
-        if not read:
-            return
-        block, node, key, rest = (np.concatenate(x) for x in zip(*read, strict=True))
-        for k in np.unique(block).tolist():
-            mine = np.flatnonzero(block == k)
-            mine = mine[np.argsort(key[mine].astype(np.uint64), kind="stable")]
-            start = k % (part + 1)
-            root = _stars(len(mine), near(key[mine].astype(np.uint64), rest[mine].astype(np.uint64), start))
-            own = node[mine]
-            least = own.copy()
-            np.minimum.at(least, root, own)
-            centre = least[root]  # the smallest node of the group, so that tasks that see it give the same edges
-            found = np.flatnonzero(own != centre)
-            yield pa.RecordBatch.from_arrays([pa.array(own[found]), pa.array(centre[found])], ["src", "dst"])
+        release()
+        for table in whole_groups(batches, "task", KEYS_AT_ONCE):
+            task, block, way, node, key, rest = (table[c].to_numpy() for c in ("task", "block", "way", "node", "key", "rest"))
+            for k in np.unique(block).tolist():
+                mine = np.flatnonzero(block == k)
+                own, at = np.unique(node[mine], return_inverse=True)
+                pairs = near(task[mine], way[mine], key[mine].view(np.uint64), rest[mine].view(np.uint64), k % (part + 1))
+                root = stars(len(own), ((at[i], at[j]) for i, j in pairs))  # the smallest node, so that tasks that see a group give the same edges
+                found = np.flatnonzero(root != np.arange(len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[found]), pa.array(own[root[found]])], ["src", "dst"])
 
     n = shuffle_partitions(distinct.sparkSession)
-    return dealt.repartition(n, "block", "head").select("block", "node", "key", "rest").mapInArrow(run, "src long, dst long").distinct()
+    return dealt.repartition(n, "task").sortWithinPartitions("task", "key").mapInArrow(run, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 22, halves: int = 2, distinct: bool = True) -> DataFrame:
-    """(id_col, fingerprint, second, component_id): component_id is the smallest id reachable over links of at most `budget` bits.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+    """(id_col, fingerprint, component_id): component_id is the smallest id reachable over links of at most `budget` bits.
 
-    The defaults stand for a similarity of sets of five-word shingles of 0.8: of 128 bits, sets that alike differ in 19.5 on average
-    with a deviation of 4, unrelated ones in 64. One row for each row of docs. Texts without words have fingerprint 0
+    One row for each row of docs. Texts of any length are read whole; those without words, null among them, have fingerprint 0
     and are linked like any other. A null id keeps its row; it names a component only if that has no other
     id. Empty input: no rows. Other columns of docs are not read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, words, halves, distinct), "fingerprints")
-    node = F.col("fingerprint") if halves == 1 else F.xxhash64("fingerprint", "second")
-    nodes = prints.groupBy("fingerprint", "second").agg(F.min(id_col).alias("first_id")).withColumn("node", node)
-    edges = written(links(nodes.select("node", "fingerprint", "second"), budget, halves), "simhash-links")
-    firsts = nodes.select("node", "first_id")
+    prints = written(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "id"), "fingerprints")
+    firsts = written(prints.groupBy("fingerprint").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+    edges = written(links(firsts.select(F.col("fingerprint").alias("node"), "fingerprint", F.lit(0).cast("long").alias("second")), budget), "simhash-links")
+    named = named_components(edges, firsts.withColumnRenamed("fingerprint", "node")).withColumnRenamed("node", "fingerprint")
+    rows = spread_join(prints, named, ["fingerprint"], F.xxhash64("id"))
+    return rows.select(F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+def named_components(edges: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, component_id) of every row of firsts (node, first_id): the least first_id of its component."""
     grouped = connected_components(edges).join(firsts, "node")
     least = grouped.groupBy("component").agg(F.min("first_id").alias("least"))
-    joined = grouped.join(least, "component").select("node", "least")
-    named = firsts.join(joined, "node", "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
-    # A third of all rows may share a fingerprint: they are dealt over SALTS keys.
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = prints.withColumn("node", node).withColumn("salt", F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, ["node", "salt"]).select(id_col, "fingerprint", "second", "component_id")
-
-
-def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with the smallest id of their group, all columns; rows that agree in id stay together."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    joined = spread_join(grouped, least, ["component"], F.xxhash64("node")).select("node", "least")
+    return firsts.join(joined, "node", "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
 
 
 def hex16(fingerprint: F.Column) -> F.Column:

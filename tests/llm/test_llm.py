@@ -335,7 +335,7 @@ def test_simhash_equals_brute_force(spark):
         for _ in range(rng.choice([0, 0, 1, 1, 2])):
             words[rng.randrange(120)] = "Zz"
         rows.append((100 + i, " ".join(words)))
-    found = [tuple(r) for r in simhash.near_duplicates(docs(spark, rows), words=3, budget=3, halves=1, distinct=False).collect()]
+    found = [tuple(r) for r in simhash.near_duplicates(docs(spark, rows), words=3, budget=3).collect()]
     prints = [brute_print(t, 3) for _, t in rows]
     assert sorted((repr(r[0]), r[1] % 2**64) for r in found) == sorted((repr(i), p) for (i, _), p in zip(rows, prints, strict=True))
     distinct = sorted(set(prints))
@@ -354,7 +354,7 @@ def test_simhash_equals_brute_force(spark):
     for (i, _), p in zip(rows, prints, strict=True):
         if i is not None:
             least[find(p)] = min(i, least.get(find(p), i))
-    assert all(r[3] == least.get(find(r[1] % 2**64)) for r in found)
+    assert all(r[2] == least.get(find(r[1] % 2**64)) for r in found)
 
 
 def test_trie_finds_every_pair():
@@ -367,31 +367,38 @@ def test_trie_finds_every_pair():
             by = np.uint64(cuts[start])
             turned = (keys << by) | (keys >> np.uint64(64 - int(by))) if by else keys
             order = np.argsort(turned)
-            trie = simhash.Trie(turned[order], cuts[start + 1] - cuts[start])
-            for i, j in trie.self_join(simhash.allowed_bits(budget, start)):
+            depth = cuts[start + 1] - cuts[start]
+            heads = turned[order] >> np.uint64(64 - depth)
+            low = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
+            high = np.append(low[1:], len(keys))
+            for i, j in simhash.Trie(turned[order]).join((low, high, low, high, 0 * low), depth, simhash.allowed_bits(budget, start)):
                 pairs |= {tuple(sorted((int(order[a]), int(order[b])))) for a, b in zip(i, j, strict=True)}
         brute = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (int(keys[i]) ^ int(keys[j])).bit_count() <= budget}
         assert pairs == brute and len(brute) > 40
 
 
-def test_nodes_that_share_a_half_are_linked(spark):
+@pytest.mark.parametrize("keys_at_once", [simhash.KEYS_AT_ONCE, 8])  # 8: dealt by further bits, in many groups
+def test_nodes_that_share_a_half_are_linked(spark, monkeypatch, keys_at_once):
+    monkeypatch.setattr(simhash, "KEYS_AT_ONCE", keys_at_once)
     rng = random.Random(13)
     text = [f"w{rng.randint(0, 10**6)}" for _ in range(700)]
     variants = [" ".join(text[:k] + ["edit"] + text[k + 1 :]).encode() for k in range(700)]
-    prints = {tuple(map(int, r)) for r in simhash._fingerprints(iter(variants), 5, 2, True)}
+    sets = [jaccard.shingle_set(v, 5) for v in variants]
+    halves = [simhash.majority(h, [len(x) for x in sets]) for h in (np.concatenate(sets), simhash.mixed(np.concatenate(sets)))]
+    prints = {(int(a), int(b)) for a, b in zip(*halves, strict=True)}
     for _ in range(4):  # groups in which every half is shared, some bits apart
         one, two = (rng.getrandbits(63) for _ in range(2))
         prints |= {(one ^ (1 << a), two ^ (1 << b)) for a in range(0, 60, 6) for b in range(0, 60, 6)}
         prints |= {(one ^ (2**14 - 1), two ^ (2**14 - 1) ^ (1 << b)) for b in range(20)}
     nodes = sorted(prints)
     assert len(nodes) > 500
-    edges = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(i, *p) for i, p in enumerate(nodes)], "node long, fingerprint long, second long"), 22, 2).collect()}
+    edges = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame([(i, *p) for i, p in enumerate(nodes)], "node long, fingerprint long, second long"), 22, 2, 11).collect()}
     mask = 2**64 - 1
     brute = {(i, j) for i, (a, b) in enumerate(nodes) for j, (c, d) in enumerate(nodes[:i]) if ((a ^ c) & mask).bit_count() + ((b ^ d) & mask).bit_count() <= 22}
     groups = []
     for pairs in (brute, edges):
         i, j = np.array(sorted(pairs)).T
-        root = simhash._stars(len(nodes), iter([(i, j)]))
+        root = simhash.stars(len(nodes), iter([(i, j)]))
         groups.append(root.tolist())
     assert groups[0] == groups[1] and 5 <= len(set(groups[0])) < len(nodes)
 
@@ -406,9 +413,9 @@ def test_near_copies_go_and_others_stay(spark, empty):
         words[rng.randrange(300)] = "changed"
         rows.append((10 * i + 1, " ".join(words)))
         rows.append((10 * i + 2, " ".join(word() for _ in range(300))))
-    kept = {r["doc_id"] for r in simhash.keep_firsts(docs(spark, rows)).collect()}
+    kept = {r["doc_id"] for r in jaccard.keep_firsts(docs(spark, rows)).collect()}
     assert kept == {i for i, _ in rows if i % 10 != 1}
-    assert simhash.keep_firsts(empty).count() == 0
+    assert jaccard.keep_firsts(empty).count() == 0
 
 
 def test_near_duplicates_against_jaccard(spark):
@@ -423,12 +430,12 @@ def test_near_duplicates_against_jaccard(spark):
         rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(edited))]
         a, b = sets(words), sets(edited)
         alike[10 * i] = len(a & b) / len(a | b)
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, rows)).collect()}
     linked = {i: found[i] == found[i + 1] for i in alike}
     assert all(linked[i] for i in alike if alike[i] >= 0.9)
     near = [linked[i] for i in alike if 0.8 <= alike[i] < 0.9]
-    assert len(near) > 30 and sum(near) >= 0.7 * len(near)
-    assert not any(linked[i] for i in alike if alike[i] < 0.5) and len(set(found.values())) >= 200
+    assert len(near) > 30 and sum(near) >= 0.9 * len(near)
+    assert not any(linked[i] for i in alike if alike[i] < 0.8) and len(set(found.values())) >= 200
 
 
 def test_pipeline_groups_are_those_of_the_exact_similarity(spark, monkeypatch):
@@ -444,7 +451,7 @@ def test_pipeline_groups_are_those_of_the_exact_similarity(spark, monkeypatch):
     sets = {t: frozenset(jaccard.shingle_set((t or "").encode(), 5).tolist()) for _, t in rows}
     distinct = sorted(set(sets.values()), key=sorted)
     pairs = [(i, j) for i, a in enumerate(distinct) for j, b in enumerate(distinct[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
-    root = simhash._stars(len(distinct), iter([tuple(np.array(pairs).T)])).tolist()
+    root = simhash.stars(len(distinct), iter([tuple(np.array(pairs).T)])).tolist()
     group, least = {s: r for s, r in zip(distinct, root, strict=True)}, {}
     for i, t in rows:
         if i is not None:
@@ -460,7 +467,7 @@ def test_pipeline_groups_are_those_of_the_exact_similarity(spark, monkeypatch):
 def test_a_shared_repeated_line_is_no_near_copy(spark):
     rng = random.Random(10)
     rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) + " all of these rights are reserved here today" * 40) for i in range(30)]
-    assert simhash.keep_firsts(docs(spark, rows)).count() == 30
+    assert jaccard.keep_firsts(docs(spark, rows)).count() == 30
 
 
 def test_training_sample_of_a_very_large_language(spark):
