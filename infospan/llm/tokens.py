@@ -19,6 +19,8 @@ from infospan.llm.shared import held
 #: Chunks that a worker remembers before it starts afresh, and bytes of text handled at once.
 REMEMBERED = 600_000
 TEXT_AT_ONCE = 4_000_000
+#: Ids in a worker's table above which texts with added tokens, which are encoded whole, make it start afresh.
+WHOLE_IDS = 16_000_000
 #: Marks of a text's first chunk and of one that follows its neighbour without a space.
 FIRST, JOINED = "\x02", "\x03"
 #: A piece always ends between a letter or digit and what is neither one, nor space, nor a combining mark.
@@ -46,7 +48,8 @@ class ChunkedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cut, self.end_id = Tokenizer.from_file(path), cut, end_id
-        self.tokenizer.encode_special_tokens = True
+        added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.added = "|".join(map(re.escape, added))
         self.clear()
 
     def clear(self) -> None:
@@ -102,14 +105,20 @@ class ChunkedTokenizer:
             self._learn(new, self.runs, new)
         return np.fromiter(map(self.runs.__getitem__, chunks), np.int64, len(chunks))
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array([self._add(self.tokenizer.encode(text, add_special_tokens=False).ids)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, the end id after each text, and the number of ids of each text. Null: empty."""
         if len(self.known) + len(self.runs) > REMEMBERED:
             self.clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.zeros(len(texts), bool)
+        odd, whole = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        lower = pc.ascii_lower(texts)
+        if self.added:  # no chunk may be cut within an added token, nor lower-cased into one
+            whole = pc.match_substring_regex(lower, self.added).to_numpy(zero_copy_only=False)
         if self.cut == "words":
-            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), PIECE_END, r"\1 \2"))
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, PIECE_END, r"\1 \2"))
         else:
             odd = pc.match_substring_regex(texts, f"[{FIRST}{JOINED}]").to_numpy(zero_copy_only=False).copy()
             cut = pc.replace_substring_regex(texts, PIECE_END, rf"\1 {JOINED}\2")
@@ -123,8 +132,8 @@ class ChunkedTokenizer:
         bad = np.flatnonzero(self.sizes[entries] < 0)
         if len(bad):
             odd[np.searchsorted(bounds, bad, "right") - 1] = True
-        if odd.any():
-            pieces = [self._by_runs(texts[i].as_py()) if odd[i] else entries[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        if odd.any() or whole.any():
+            pieces = [self._whole(texts[i].as_py()) if whole[i] else self._by_runs(texts[i].as_py()) if odd[i] else entries[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
             counts, entries = np.array([len(p) for p in pieces]), np.concatenate(pieces)
             bounds = np.concatenate(([0], np.cumsum(counts)))
         entries = np.insert(entries, bounds[1:], 0)
@@ -132,7 +141,10 @@ class ChunkedTokenizer:
         sizes = self.sizes[entries].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         where = np.repeat(self.starts[entries] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.pool[where], ends[bounds[1:]] - ends[bounds[:-1]]
+        ids, counts = self.pool[where], ends[bounds[1:]] - ends[bounds[:-1]]
+        if whole.any() and self.used > WHOLE_IDS:
+            self.clear()
+        return ids, counts
 
 
 def tokenizer_of(path: str, cut: str, end_id: int) -> ChunkedTokenizer:
