@@ -37,23 +37,46 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), flat.view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, node, fingerprint, second, shingles) of each row: node stands for the set, the two halves of its fingerprint for sets like it."""
+def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of the texts, and for each a node: equal sets have equal nodes."""
+    sets = [shingle_set(x.as_py() or b"", words) for x in texts.cast(pa.large_binary())]
+    return sets, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, node, fingerprint, second, size) of each row's set of shingles: the two halves of its fingerprint stand for sets like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                sets = [shingle_set(x.as_py() or b"", words) for x in batch.column(1).cast(pa.large_binary())]
-                nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                flat, sizes = np.concatenate(sets), [len(s) for s in sets]
+                sets, nodes = _sets(batch.column(1), words)
+                flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets], np.int32)
                 halves = [pa.array(majority(h, sizes)) for h in (flat, mixed(flat))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *halves, _lists(sets)], ["id", "node", "fingerprint", "second", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *halves, pa.array(sizes)], ["id", "node", "fingerprint", "second", "size"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node long, fingerprint long, second long, shingles array<long>")
+    return rows.mapInArrow(run, f"id {kind}, node long, fingerprint long, second long, size int")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(component, node, shingles) for the nodes of wanted (first_id, node, component): the set of the row with that id and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                sets, nodes = _sets(batch.column(2), words)
+                found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(sets)], ["component", "node", "shingles"])
+                yield found.filter(pa.array(batch.column(1).to_numpy() == nodes))
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("component", "node", "text")
+    sets = rows.mapInArrow(run, "component long, node long, shingles array<long>")
+    return sets.groupBy("component", "node").agg(F.first("shingles").alias("shingles"))  # ids may repeat
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -130,11 +153,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row for each row of docs. Texts of any length are read whole; those without words are one group. A null id keeps its row; it names a component only
     if that has no other id. Empty input: no rows. Other columns of docs are not read. PART and BUDGET are fit for a similarity of 0.8 and more.
     """
-    rows = written(shingle_sets(docs, id_col, text_col, words), "shingle-sets")
-    nodes = written(rows.groupBy("node", "fingerprint", "second").agg(F.min("id").alias("first_id"), F.max(F.size("shingles")).alias("size")), "shingle-nodes")
+    rows = written(set_prints(docs, id_col, text_col, words), "set-prints")
+    nodes = written(rows.groupBy("node", "fingerprint", "second", "size").agg(F.min("id").alias("first_id")), "shingle-nodes")
     found = written(candidate_groups(nodes.where("size > 0")), "candidate-groups")
-    sets = spread_join(rows.select("node", "shingles"), found, ["node"], F.xxhash64("shingles")).groupBy("component", "node").agg(F.first("shingles").alias("shingles"))
-    edges = written(confirmed(written(sets, "candidate-sets"), least), "alike")
+    wanted = nodes.select("node", "first_id").join(found, "node")
+    sets = written(sets_of(docs, wanted, id_col, text_col, words), "candidate-sets")
+    edges = written(confirmed(sets, least), "alike")
     named = written(named_components(edges, nodes.select("node", "first_id")), "named-sets")
     return spread_join(rows.select("id", "node"), named, ["node"], F.xxhash64("id")).select(F.col("id").alias(id_col), "component_id")
 
