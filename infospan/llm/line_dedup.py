@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infospan.llm.shared import written
+from infospan.llm.shared import spread_join, written
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, lines: int = 3) -> DataFrame:
@@ -22,11 +22,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A window of `lines` consecutive lines that occurs again, anywhere in the table, loses its later occurrences, the
     order being id (null first) and position; lines covered by any of them go and the others are joined again by line
     ends. A text of fewer lines stays; null stays null with 0 lines; a text may become empty. Rows that agree in id and
-    text count as one document and get the same result. All other columns are kept.
+    text count as one document and get the same result. Texts of any length are cut whole. All other columns are kept,
+    but for an input's own n_lines and n_removed, which the new ones replace.
     """
     found = written(windows(docs, id_col, text_col, lines), "line-windows")
-    firsts = found.groupBy("k1", "k2").agg(F.min(F.struct("id", "version", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(firsts, ["k1", "k2"]).where(~F.struct("id", "version", "pos").eqNullSafe(F.col("first")))
+    firsts = found.groupBy("k1", "k2").agg(F.min(F.struct("id", "version", "pos")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    firsts = written(firsts, "repeated-windows")
+    later = spread_join(found, firsts.drop("rows"), ["k1", "k2"], F.xxhash64("id", "pos"), counts=firsts.select("k1", "k2", "rows")).where(~F.struct("id", "version", "pos").eqNullSafe(F.col("first")))
     covered = later.groupBy("id", "version").agg(F.sort_array(F.collect_set("pos")).alias("c"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"))
     joined = keyed.join(covered, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_version") == F.col("version")), "left")

@@ -79,15 +79,17 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 HOT_ROWS = 1_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left joined to right, which has a row for each key at most; the commonest keys of left are dealt over salts by the hash `by`.
 
     Commonest: the 4 times shuffle partitions with the most rows, so that any other key has under a quarter of a mean partition.
+    counts: the rows of left for each key (keys, rows), where they are known.
     """
     n = shuffle_partitions(left.sparkSession)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") >= HOT_ROWS)
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count("*").alias("rows"))
     salts = F.least(F.lit(n), F.ceil(F.col("rows") / HOT_ROWS)).cast("int")
-    hot = counts.orderBy(F.desc("rows")).limit(4 * n).select(*keys, salts.alias("_salts"))
+    hot = counts.where(F.col("rows") >= HOT_ROWS).orderBy(F.desc("rows")).limit(4 * n).select(*keys, salts.alias("_salts"))
     hot = F.broadcast(written(hot, "hot-keys"))
     dealt = left.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(by, F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
