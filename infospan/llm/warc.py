@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infospan.llm.shared import open_store, scratch, shuffle_partitions, written
+from infospan.llm.shared import open_store, scratch, shuffle_partitions, spread_join, written
 
 #: Unwanted bytes that a range may span between two records, and bytes after which a new range begins.
 GAP_BYTES, RANGE_BYTES = 65_536, 16_000_000
@@ -71,8 +71,9 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     """(id, url, payload, refers_to): of equal payloads of `least` bytes or more, all but those with the largest id refer to it."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("key", F.sha2(F.col("payload").cast("binary"), 256))
-    repeated = rows.where(F.octet_length("payload") >= least).groupBy("key").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(repeated, "key", "left")
+    repeated = rows.where(F.octet_length("payload") >= least).groupBy("key").agg(F.max("id").alias("response"), F.count("*").alias("rows")).where("rows > 1")
+    repeated = written(repeated, "repeated-payloads")
+    joined = spread_join(rows, repeated.drop("rows"), ["key"], F.xxhash64("id", "url"), "left", repeated.select("key", "rows"))
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
 
@@ -80,7 +81,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """Writes a record for every row to .warc.gz files in `folder`; returns the written index.
 
     Null payloads are empty; a null URL has no target field; a null id is empty and is never referred to. Rows that
-    share the largest id of equal payloads are all responses. A file is named by its task's attempt and indexed only if that ended well. Other columns
+    share the largest id of equal payloads are all responses. Payloads of any length are written whole; one is in memory at a time. A file is named by its task's attempt and indexed only if that ended well. Other columns
     are not read; an empty table gives an empty index.
     """
     rows = with_revisits(pages, id_col, url_col, payload_col, least)
