@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infospan.llm.shared import scratch, written
+from infospan.llm.shared import scratch, spread_join, written
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,8 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     """(id_col, blob, found) for every row: found is the sorted array of (start, rank of the kind, end, kind), maybe empty.
 
     ledger: a folder in the shared store that grows with each scan; a new one where it is None or absent. Null texts
-    count as empty. Repeated rows, repeated texts and null ids get the blob's spans like any other path.
+    count as empty. Repeated rows, repeated texts and null ids get the blob's spans like any other path. Texts of any length
+    are scanned whole. An empty table gives no rows. Other columns are not read.
     """
     spark = versions.sparkSession
     ledger = ledger or scratch(spark, "secret-ledger")
@@ -92,7 +93,8 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     each = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), ranks[F.col("kind")].alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("spans"))
     found = each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("found"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return rows.select("id", "blob").join(found, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("found", none).alias("found"))
+    paths = written(rows.select("id", "blob"), "secret-paths")
+    return spread_join(paths, found, ["blob"], F.xxhash64("id"), "left").select(F.col("id").alias(id_col), "blob", F.coalesce("found", none).alias("found"))
 
 
 def _current(rules: tuple[Rule, ...]) -> Column:
