@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from infospan.llm.shared import small, written
@@ -125,10 +125,10 @@ def _cuts(spark: SparkSession, docs: DataFrame, wanted: dict[int, int]) -> dict[
     return {p: ((prefix[p] << shift) - 1, None) for p in wanted} | {r["set"]: (r["u"], r["id"]) for r in last}
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, seed: str = "mix", id_col: str = "doc_id", size_col: str = "size", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2, seed: str = "mix", id_col: str = "doc_id", size_col: str | Column = "size", source_col: str = "source") -> DataFrame:
     """(docs' other columns, source_size, target, copies): how often the mix takes each row, 0 to `most`.
 
-    source_col holds a source or an array of sources; null and an empty array are a source of their own. source_size and target are sums over the
+    size_col: a column or an expression; null: 0. source_col holds a source or an array of sources; null and an empty array are a source of their own. source_size and target are sums over the
     row's sources. No row is taken in part; rows that agree in id stay together. The sets of sources that occur are gathered on
     the driver. Same rows, seed and parameters: same mix, however the table is partitioned. Empty table: no rows.
     """
@@ -136,7 +136,8 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2
     is_list = docs.schema[source_col].dataType.typeName() == "array"
     listed = F.sort_array(F.array_distinct(F.col(source_col).cast("array<string>"))) if is_list else F.array(F.col(source_col).cast("string"))
     listed = F.when(F.size(F.coalesce(listed, F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(listed)
-    narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"), listed.alias("sources"), seeded_order(id_col, seed).alias("u"))
+    size = F.col(size_col) if isinstance(size_col, str) else size_col
+    narrow = written(docs.select(F.col(id_col).alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), listed.alias("sources"), seeded_order(id_col, seed).alias("u")), "mix")
     totals = sorted(((tuple(r["sources"]), r["words"]) for r in narrow.groupBy("sources").agg(F.sum("size").alias("words")).collect()), key=lambda x: [(s is None, s or "") for s in x[0]])
     sizes: dict[str | None, int] = {}
     for sources, words in totals:
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: int = 2
     passes = {i: (f // w if w else 0, f % w if w else 0) for i, (f, (_, w)) in enumerate(zip(flow, totals, strict=True))}
     key = F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("")))
     numbers = small(spark, [(i, list(s)) for i, (s, _) in enumerate(totals)], "set int, sources array<string>").select("set", key.alias("key"))
-    table = written(narrow.withColumn("key", key).join(numbers, "key").select("id", "size", "set", "u"), "mix")
+    table = narrow.withColumn("key", key).join(numbers, "key").select("id", "size", "set", "u")
     cuts = _cuts(spark, table, {i: rest for i, (_, rest) in passes.items() if rest})
     plan = small(
         spark,

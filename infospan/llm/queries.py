@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infospan.llm import digest, exact_dedup, langid, line_dedup, mixture, packing, rans, secrets, simhash, warc
-from infospan.llm.shared import NOT_SPACE
+from infospan.llm.shared import NOT_SPACE, written
 from infospan.llm.tokens import public_path
 
 
@@ -110,7 +110,7 @@ FROM documents LEFT JOIN g USING (doc_id)
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("size"))
-    mixed = mixture.mix(sized, weights=[3, 1, 2], share=1.5, most=2)
+    mixed = mixture.mix(written(sized, "sizes"), weights=[3, 1, 2], share=1.5, most=2)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
