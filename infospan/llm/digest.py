@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infospan.llm.shared import shuffle_partitions, written
+from infospan.llm.shared import shuffle_partitions, spread_join, written
 
 #: White space that NFKC leaves; only runs that aren't one plain space are replaced.
 _SPACES = "\\t-\\r\\x{85}\\x{1680}\\x{2028}\\x{2029}"
@@ -43,11 +43,14 @@ def _hex(k1: Column, k2: Column, number: Column | None = None) -> Column:
     return digits if number is None else F.when(number > 0, F.concat(digits, F.lit("-"), number)).otherwise(digits)
 
 
-def clashes(forms: DataFrame) -> DataFrame:
-    """(k1, k2, form, number) of the hashes that stand for different forms; forms has (form, k1, k2).
+def clashes(hashed: DataFrame) -> DataFrame:
+    """(k1, k2, form, number) of the hashes that stand for different forms; hashed has (id, text, k1, k2).
 
-    Copies combine before the shuffle, so a hot hash costs a row a task.
+    Only texts whose hash occurs again are compared, by their forms; copies combine before the shuffle, so a hot hash costs a row a task.
     """
+    counts = written(hashed.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-hashes")
+    again = spread_join(hashed.select("id", "text", "k1", "k2"), counts.drop("rows"), ["k1", "k2"], F.xxhash64("id"), counts=counts)
+    forms = again.select("k1", "k2", canonical(F.col("text")).alias("form"))
     ends = forms.groupBy("k1", "k2").agg(F.min("form").alias("low"), F.max("form").alias("high"))
     mixed = written(ends.where("low <> high").select("k1", "k2"), "clashes")
     if mixed.isEmpty():
@@ -61,11 +64,11 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, hashes: Hash) -> DataFr
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("form", canonical(F.col("text")))
     k1, k2 = hashes(F.col("form"))
-    return rows.withColumns({"k1": k1, "k2": k2})
+    return written(rows.withColumns({"k1": k1, "k2": k2}).drop("form"), "hashed")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: Hash = wide_hash) -> DataFrame:
-    """(id_col, text, fingerprint) for every row; null counts as empty.
+    """(id_col, text, fingerprint) for every row; null counts as empty, texts of any length are read whole.
 
     A fingerprint is 32 hexadecimal digits; where different forms share them, all but the first form by code
     point get a number behind. Repeated rows and empty texts are rows like any other.
@@ -76,10 +79,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _numbered(hashed: DataFrame) -> tuple[Column | None, DataFrame]:
-    found = clashes(hashed.select("k1", "k2", "form"))
+    found = clashes(hashed)
     if found.isEmpty():
         return None, hashed
-    return F.coalesce("number", F.lit(0)), hashed.join(found, ["k1", "k2", "form"], "left")
+    return F.coalesce("number", F.lit(0)), hashed.withColumn("form", canonical(F.col("text"))).join(found, ["k1", "k2", "form"], "left")
 
 
 def _bounds(ids: DataFrame, buckets: int) -> list:
