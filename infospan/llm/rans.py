@@ -194,7 +194,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, cut: st
 
     Index: (shard, block, file, offset, size, start, n_ids): start counts the shard's ids before the block. A file is
     named by its task's attempt and the index names only files of attempts that ended well, so a lost executor leaves
-    at most an unused file. Null ids come first, equal ids keep any order. An empty table gives an empty index.
+    at most an unused file. Ids are cast to long, so that an id that is no number fails or, without ANSI mode, is null; null ids come first (the least
+    long stands for null and can't be an id), equal ids keep any order. Null texts are the end id alone. An empty table gives an empty index. Other columns are not read.
     """
     spark = docs.sparkSession
     wide = vocabulary > 1 << 16
