@@ -3,8 +3,9 @@
 A text's letters are scored word by word; a word is a run of lower-cased letters between two boundary marks, so the
 distinct words of a batch are scored once. One sorted array of 64-bit n-gram hashes serves all languages: beside each hash
 stand, for each language, the interpolated log2 probability of the n-gram's last character and the
-back-off weight of the n-gram as a context. The language with the least cross-entropy a character wins, and a text is rejected if that entropy
-is above what the training rows of the language reach.
+back-off weight of the n-gram as a context. The language with the least cross-entropy a character wins. Rows that are kept out of the fit calibrate
+the rest: how far a language's own texts of a given length lie from its mean entropy sets the bound above which a text is rejected, and the
+temperature of the scores is the one under which their languages are likeliest.
 """
 
 from __future__ import annotations
@@ -21,21 +22,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infospan.llm.shared import held
+from infospan.llm.shared import held, written
 from infospan.llm.tokens import slices
 
 UNKNOWN = "und"
 ORDER = 5
-#: Training rows of each language at most, chosen by a hash of the id; the model's size follows this, not the corpus.
-TRAINING_ROWS = 500
-#: Share of each language's training rows that may lie above its rejection threshold, and the slack in bits a character.
-REJECTED_SHARE, SLACK_BITS = 0.001, 1.5
+#: Rows of each language at most that the model is fitted on and that calibrate it, chosen by hashes of the id; the model's size follows this, not the corpus.
+TRAINING_ROWS, CALIBRATION_ROWS = 500, 250
+#: Share of a language's texts that may lie above its rejection bound, whatever their distribution (Cantelli's inequality).
+REJECTED_SHARE = 0.002
+#: Temperatures tried for the score.
+TEMPERATURES = tuple(2.0**-k for k in range(16))
 #: Words whose bits a worker remembers before it starts afresh.
 REMEMBERED = 500_000
 #: New words scored at once: a bound on the score matrices, which have a row for each character.
 WORDS_AT_ONCE = 20_000
-#: Characters after which more text adds nothing to the score's certainty.
-SURE_CHARS = 40
 BOUNDARY = 0x110000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,9 +102,15 @@ class Model:
     logp: list[np.ndarray]  # by order: (keys, languages), interpolated log2 probability; NaN if unseen in the language
     backoff: list[np.ndarray]  # by order: (keys, languages), log2 weight of the lower order after this context; 0 if unseen
     floor: np.ndarray  # log2 probability of a character never seen
-    limit: np.ndarray  # highest cross-entropy a character that isn't rejected
+    bounds: np.ndarray  # (languages, 3): mean entropy of the language's texts, the part of its variance that stays and the one that falls with 1 / characters
+    temperature: float
     name: str
 
+    def limit(self, language: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The highest cross-entropy a character at which texts of these languages and lengths aren't rejected."""
+        mean, stays, falls = self.bounds[language].T
+        return mean + np.sqrt((1 / REJECTED_SHARE - 1) * (stays + falls / np.maximum(1, chars)))
+
     def cross_entropy(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word by each language, and its number of characters (with the closing boundary)."""
         n_langs = len(self.languages)
@@ -212,7 +219,7 @@ def kneser_ney(counts: dict[str, dict[str, int]], order: int) -> Model:
         keys.append(hashes[order_of])
         logp.append(np.array([logs[size][g] for g in listed]).reshape(-1, len(languages))[order_of])
         backoff.append(np.array([weights[size][g] for g in listed]).reshape(-1, len(languages))[order_of])
-    return Model(languages, keys, logp, backoff, floor, np.full(len(languages), np.inf), uuid.uuid4().hex)
+    return Model(languages, keys, logp, backoff, floor, np.tile([np.inf, 0.0, 0.0], (len(languages), 1)), 1.0, uuid.uuid4().hex)
 
 
 class WordBits:
@@ -258,43 +265,63 @@ def word_bits(model: Model) -> WordBits:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
-    """(lang, text) of about `rows` rows of each language at most, by a hash of the id; all where there are fewer."""
+    """(lang, text, h) of about `rows` rows of each language at most, by a hash of the id; all where there are fewer."""
     named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where("lang is not null")
     share = {r["lang"]: min(1.0, rows / r["n"]) for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:
-        return named.select("lang", "text").limit(0)
+        return named.limit(0)
     # All 63 bits of the hash, as a language may have far more than a million times `rows` documents.
     cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, int(v * (1 << 63)))))])
-    return named.where(F.shiftrightunsigned("h", 1) <= cut[F.col("lang")]).where("text is not null").select("lang", "text")
+    return named.where(F.shiftrightunsigned("h", 1) <= cut[F.col("lang")]).where("text is not null")
+
+
+def spread(entropy: np.ndarray, chars: np.ndarray) -> tuple[float, float, float]:
+    """Mean of the entropies, and what of their variance stays in the longer half of the texts and what falls with 1 / characters in the others."""
+    mean = float(np.average(entropy, weights=chars))
+    off, long = (entropy - mean) ** 2, chars >= np.median(chars)
+    stays = float(off[long].mean())
+    falls = float(np.maximum(0, (off - stays) * chars)[~long].mean()) if not long.all() else 0.0
+    return mean, stays, falls
+
+
+def calibrate(model: Model, own: np.ndarray, bits: np.ndarray, chars: np.ndarray) -> None:
+    """Sets the model's bounds and temperature by rows of known language `own`; a language without one rejects nothing."""
+    for k in np.unique(own):
+        mine = own == k
+        model.bounds[k] = spread(bits[mine, k] / chars[mine], chars[mine])
+    if len(own):
+        behind = bits - bits[np.arange(len(own)), own][:, None]
+        loss = [np.logaddexp2.reduce(-t * behind, axis=1).sum() for t in TEMPERATURES]
+        model.temperature = TEMPERATURES[int(np.argmin(loss))]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows: int = TRAINING_ROWS) -> Model:
-    """Fits the models and their rejection limits on a bounded sample (`rows` a language) of the rows with a language.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows: int = TRAINING_ROWS, held_out: int = CALIBRATION_ROWS) -> Model:
+    """Fits the models on a bounded sample (`rows` a language) of the rows with a language and calibrates them on `held_out` others.
 
-    A limit lies SLACK_BITS above the entropy that all but REJECTED_SHARE of the language's sample stay under.
+    Rows that agree in id are in one of the two samples. Null languages and texts teach nothing.
     """
-    sample = training_rows(docs, id_col, text_col, lang_col, rows)
+    sample = written(training_rows(docs, id_col, text_col, lang_col, rows + held_out), "language-sample")
+    kept_out = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(rows + held_out)) < held_out
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in _gram_counts(sample, order).collect():
+    for r in _gram_counts(sample.where(~kept_out), order).collect():
         counts[r["lang"]][r["gram"]] = r["n"]
     if not counts:
-        return Model([], [], [], [], np.zeros(0), np.zeros(0), uuid.uuid4().hex)
+        return Model([], [], [], [], np.zeros(0), np.zeros((0, 3)), 1.0, uuid.uuid4().hex)
     model = kneser_ney(counts, order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = {lang: k for k, lang in enumerate(model.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_bits(shared.value)
         for batch in batches:
             for part in slices(batch, 1):
                 bits, chars = known.of_texts(part.column(1))
-                own = np.array([at.get(x, 0) for x in part.column(0).to_pylist()], np.int64)
-                some = chars > 0
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)), pa.array((bits[np.arange(len(own)), own] / np.maximum(1, chars))[some])], ["lang", "entropy"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(bits), pa.list_(pa.float64())), pa.array(chars)], ["lang", "bits", "chars"])
 
-    limits = sample.mapInArrow(run, "lang string, entropy double").groupBy("lang").agg(F.expr(f"percentile(entropy, {1 - REJECTED_SHARE})").alias("top")).collect()
-    for r in limits:
-        model.limit[at[r["lang"]]] = r["top"] + SLACK_BITS
+    rows_out = sample.where(kept_out & F.col("lang").isin(model.languages)).select("lang", "text")
+    found = rows_out.mapInArrow(run, "lang string, bits array<double>, chars long").where("chars > 0").collect()  # held_out rows a language
+    if found:
+        at = {lang: k for k, lang in enumerate(model.languages)}
+        calibrate(model, np.array([at[r["lang"]] for r in found]), np.array([r["bits"] for r in found]), np.array([r["chars"] for r in found], np.float64))
     return model
 
 
@@ -302,8 +329,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id_col, *keep, lang_pred, score, entropy, rejected) for every row, whole texts.
 
     Null texts and texts without a letter, and every text if nothing was learned, get `und`, score 0 and are rejected. score: the winner's share of
-    the languages' likelihoods over at most SURE_CHARS characters. Equal entropies: the first language by name.
+    the languages' likelihoods of the whole text, at the model's temperature. Equal entropies: the first language by name. Repeated rows are
+    predicted each. A column of `keep` must not have the name of a new one: ValueError.
     """
+    if clash := {"lang_pred", "score", "entropy", "rejected"} & {id_col, *(keep or [])}:
+        raise ValueError(f"columns have the names of new ones: {sorted(clash)}")
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *(keep or []))
     names = rows.columns[1:]
     languages = np.array([*model.languages, UNKNOWN], object)
@@ -319,9 +349,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     mean = bits / np.maximum(1, chars)[:, None]
                     best = mean.argmin(axis=1)
                     least = mean[np.arange(len(best)), best]
-                    share = 1 / np.exp2((least[:, None] - mean) * np.minimum(chars, SURE_CHARS)[:, None]).sum(axis=1)
+                    share = 1 / np.exp2(model.temperature * (bits.min(axis=1)[:, None] - bits)).sum(axis=1)
                     none = chars == 0
-                    rejected = none | (least > model.limit[best])
+                    rejected = none | (least > model.limit(best, chars))
                     best, share, least = np.where(none, len(languages) - 1, best), np.where(none, 0.0, share), np.where(none, 0.0, least)
                 else:
                     n = part.num_rows

@@ -182,39 +182,78 @@ def test_language_id_awkward(spark, real, awkward, empty):
     assert {r["lang_pred"] for r in langid.predict(awkward, none).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    words = {"abab": 3, "abba": 2, "bac": 1}
+def gram_counts(words, order):
     counts = Counter()
     for w, n in words.items():
         m = "\n" + w + "\n"
-        for size in range(2, 4):
+        for size in range(2, order + 1):
             for i in range(len(m) - size + 1):
                 counts[m[i : i + size]] += n
         for c in m[1:]:
             counts[c] += n
-    model = langid.kneser_ney({"x": dict(counts)}, 3)
-    for prefix in ("a", "ab", "b"):
-        total = 0.0
-        for c in "abc":
-            bits, _ = model.cross_entropy([prefix + c])
-            shorter, _ = model.cross_entropy([prefix])
-            # remove the closing boundary of both by the chain rule over one more letter
-            total += 2 ** -(bits[0, 0] - _end(model, prefix + c) - (shorter[0, 0] - _end(model, prefix)))
-        total += 2 ** -_end(model, prefix)
-        assert total == pytest.approx(1, abs=0.35)  # the never-seen share is held back
-        assert total <= 1 + 1e-9
-
-
-def _end(model, word):
-    """Bits of the closing boundary after a word."""
-    at, hashes, _ = langid.grams([word], 3)
-    value = model.floor[0]
-    for n in range(1, 4):
-        if n > 1 and hashes[n - 1, -2] if len(at) > 1 else n > 1:
-            value = value + model._rows(model.backoff[n - 2], model.keys[n - 2], hashes[n - 1, -2:-1], 0.0)[0, 0]
-        seen = model._rows(model.logp[n - 1], model.keys[n - 1], hashes[n, -1:], np.nan)[0, 0]
-        value = value if np.isnan(seen) else seen
-    return -value
+    return counts
+
+
+def brute_kneser_ney(counts, order, alphabet):
+    """p(c, context) by the textbook recursion over plain dictionaries."""
+    sizes = [None] + [{g: n for g, n in counts.items() if len(g) == size} for size in range(1, order + 1)]
+    for size in range(1, order):
+        before = Counter(g[1:] for g in sizes[size + 1])
+        sizes[size] = {g: n if g[0] == "\n" and size > 1 else before[g] or n for g, n in sizes[size].items()}
+    discounts = [None]
+    for size in range(1, order + 1):
+        ones, twos = (sum(n == k for n in sizes[size].values()) for k in (1, 2))
+        discounts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(c, context):
+        size = len(context) + 1
+        follow = {g: n for g, n in sizes[size].items() if g[:-1] == context}
+        lower = p(c, context[1:]) if context else 1 / alphabet
+        if not follow:
+            return lower
+        total, d = sum(follow.values()), discounts[size]
+        return max(0, follow.get(context + c, 0) - d) / total + d * len(follow) / total * lower
+
+    return p
+
+
+def test_kneser_ney_equals_plain_dictionaries():
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))): rng.randint(1, 5) for _ in range(60)}
+    for order in (2, 3, 5):
+        counts = gram_counts(words, order)
+        model = langid.kneser_ney({"x": dict(counts)}, order)
+        letters = {g for g in counts if len(g) == 1}
+        p = brute_kneser_ney(counts, order, len(letters) + 1)
+        for context in {w[:k] for w in words for k in range(len(w) + 1)} | {"zzz", "aza"}:
+            marked = ("\n" + context)[-(order - 1) :]
+            assert sum(p(c, marked) for c in letters | {"?"}) == pytest.approx(1, abs=1e-9)
+        tried = [*words, "zebra", "abz", "z", "ddddddddd"]
+        bits, chars = model.cross_entropy(tried)
+        for w, found, n in zip(tried, bits[:, 0], chars, strict=True):
+            m = "\n" + w + "\n"
+            wanted = -sum(np.log2(p(m[i], m[max(0, i - order + 1) : i])) for i in range(1, len(m)))
+            assert found == pytest.approx(wanted, abs=1e-9) and n == len(w) + 1
+
+
+def test_calibration_bounds_what_is_rejected():
+    rng = np.random.default_rng(12)
+    model = langid.kneser_ney({"x": dict(gram_counts({"ab": 2, "ba": 1}, 3)), "y": dict(gram_counts({"cd": 2}, 3))}, 3)
+    chars = rng.integers(3, 3000, 400).astype(float)
+    entropy = lambda: 2.5 + rng.standard_t(4, 400) * np.sqrt(0.01 + 4 / chars)
+    bits = np.stack([entropy() * chars, (entropy() + 4) * chars], axis=1)
+    langid.calibrate(model, np.zeros(400, int), bits, chars)
+    assert (entropy() > model.limit(np.zeros(400, int), chars)).mean() <= langid.REJECTED_SHARE
+    assert (9 > model.limit(np.zeros(400, int), chars))[chars > 100].all()
+    assert np.isinf(model.limit(np.ones(1, int), chars[:1])).all() and 0 < model.temperature <= 1
+
+
+def test_language_id_of_repeated_rows_and_names(spark, real):
+    model = langid.train(real)
+    twice = langid.predict(docs(spark, [(1, "the house and the garden"), (1, "the house and the garden")]), model, keep=["source"]).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+    with pytest.raises(ValueError):
+        langid.predict(docs(spark, []).withColumn("score", F.lit(1)), model, keep=["score"])
 
 
 # ---------------------------------------------------------------- 5 and 10
