@@ -3,7 +3,7 @@
 Each task first drops the copies within what it reads: an open-addressing table of bounded size compares complete
 normalised contents and keeps one representative of each. Representatives go to spill files, dealt into buckets by their digest; a bucket whose
 distinct contents are over the table's budget is dealt again by further bits of the digest, until every bucket fits. Each bucket then
-streams through one table, which holds each distinct content once.
+streams through one table, which holds each distinct content once. Contents that very many tasks have are combined over salts before.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from infospan.llm import shared
 from infospan.llm.shared import SPACE, shuffle_partitions, written
 
 #: Content bytes that one table holds, and parts into which a bucket over that is dealt again.
@@ -146,11 +147,14 @@ def _spill(reps: DataFrame, table_bytes: int) -> DataFrame:
     return reps.withColumn("bucket", bucket)
 
 
-def _resolve(spilled: DataFrame, kind: str) -> DataFrame:
-    """(row, keep_id, group_size) of every representative, bucket by bucket."""
+def _resolve(spilled: DataFrame, kind: str, combine: bool = False) -> DataFrame:
+    """(row, keep_id, group_size, leader, best_chars, digest, content) of every representative, bucket by bucket.
+
+    leader: the first row of the same content, which alone keeps digest and content.
+    """
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, best, counts, rows, entries = ContentTable(), [], [], [], []
+        table, best, counts, rows, entries, leaders, digests = ContentTable(), [], [], [], [], [], []
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("best_id").type
@@ -160,6 +164,8 @@ def _resolve(spilled: DataFrame, kind: str) -> DataFrame:
                 if new:
                     best.append((n_chars, best_id))
                     counts.append(n)
+                    leaders.append(row)
+                    digests.append(digest)
                 else:
                     counts[entry] += n
                     if _better((n_chars, best_id), best[entry]):
@@ -167,9 +173,27 @@ def _resolve(spilled: DataFrame, kind: str) -> DataFrame:
                 rows.append(row)
                 entries.append(entry)
         at = np.array(entries, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([best[e][1] for e in entries], id_type), pa.array(np.array(counts, np.int64)[at])], ["row", "keep_id", "group_size"])
+        own = [leaders[e] == row for e, row in zip(entries, rows, strict=True)]
+        once = lambda values: pa.array([values[e] if first else None for e, first in zip(entries, own, strict=True)], pa.binary())
+        arrays = [pa.array(rows, pa.int64()), pa.array([best[e][1] for e in entries], id_type), pa.array(np.array(counts, np.int64)[at]), pa.array(np.array(leaders, np.int64)[at]), pa.array([best[e][0] for e in entries], pa.int64())]
+        kept = [once(digests), once(table.contents)] if combine else [pa.nulls(len(rows), pa.binary())] * 2
+        yield pa.RecordBatch.from_arrays([*arrays, *kept], ["row", "keep_id", "group_size", "leader", "best_chars", "digest", "content"])
+
+    return spilled.select("bucket", "row", "digest", "content", "best_chars", "best_id", "n").groupBy("bucket").applyInArrow(run, f"row long, keep_id {kind}, group_size long, leader long, best_chars long, digest binary, content binary")
+
 
-    return spilled.select("bucket", "row", "digest", "content", "best_chars", "best_id", "n").groupBy("bucket").applyInArrow(run, f"row long, keep_id {kind}, group_size long")
+def _combined(reps: DataFrame, kind: str) -> tuple[DataFrame, DataFrame | None]:
+    """reps with one for each content and salt where very many tasks have a digest, and (row, leader) of those that others stand for now."""
+    n = shuffle_partitions(reps.sparkSession)
+    counts = reps.groupBy("digest").agg(F.count("*").alias("tasks")).where(F.col("tasks") >= shared.HOT_ROWS)
+    hot = written(counts.orderBy(F.desc("tasks")).limit(4 * n), "hot-contents")
+    if hot.isEmpty():
+        return reps, None
+    hot = F.broadcast(hot)  # 4 rows a partition at most
+    salt = F.pmod(F.xxhash64("row"), F.ceil(F.col("tasks") / shared.HOT_ROWS) + 1)
+    first = written(_resolve(reps.join(hot, "digest").withColumn("bucket", F.array(F.xxhash64("digest"), salt)), kind, combine=True), "combined")
+    leaders = first.where("row = leader").select("row", "digest", "content", "best_chars", F.col("keep_id").alias("best_id"), F.col("group_size").alias("n"))
+    return reps.join(hot, "digest", "left_anti").unionByName(leaders), first.select("row", "leader")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -182,7 +206,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tabl
     kind = docs.schema[id_col].dataType.simpleString()
     table = written(_partial(docs, id_col, text_col, kind, table_bytes), "partial")
     reps = table.where("content IS NOT NULL").select("row", "digest", "content", "best_chars", "best_id", "n")
-    found = _resolve(_spill(reps, table_bytes), kind)
+    reps, stood_for = _combined(reps, kind)
+    found = _resolve(_spill(reps, table_bytes), kind).select("row", "keep_id", "group_size")
+    if stood_for is not None:
+        others = stood_for.join(found.withColumnRenamed("row", "leader"), "leader").select("row", "keep_id", "group_size")
+        found = found.join(stood_for.select("row"), "row", "left_anti").unionByName(others)
     # A representative stands for the rows of one task only, so no key of this join has more rows than a task reads.
     joined = table.select("doc_id", "digest", "rep").join(found, F.col("rep") == F.col("row"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))

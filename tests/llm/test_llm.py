@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from infospan.llm import components, digest, exact_dedup, jaccard, langid, line_dedup, mixture, packing, queries, rans, secrets, simhash, tokens, warc
+from infospan.llm import components, digest, exact_dedup, jaccard, langid, line_dedup, mixture, packing, queries, rans, secrets, shared, simhash, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,6 +87,14 @@ def test_exact_dedup_deals_full_buckets_again(spark):
     assert sorted((tuple(r) for r in found), key=repr) == brute_groups(rows)
 
 
+def test_exact_dedup_combines_contents_of_many_tasks(spark, empty, monkeypatch):
+    monkeypatch.setattr(exact_dedup.shared, "HOT_ROWS", 5)
+    rows = [(i, f"hot {i % 3} " * 9 if i % 4 else f"cold {i}") for i in range(400)]
+    found = exact_dedup.groups(docs(spark, rows), table_bytes=300).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == brute_groups(rows)
+    assert exact_dedup.groups(empty).count() == 0
+
+
 def test_open_addressing_compares_contents():
     table = exact_dedup.ContentTable(2)
     same = b"\0" * 32
@@ -153,6 +161,12 @@ def test_warc_least_size_and_selection(spark):
     assert {r["url"]: r["payload"] for r in some} == {"u0": b"ab", "u5": b"longer text"}
 
 
+def test_warc_very_long_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "v", "x")], "page_id long, url string, html string")
+    found = {r["record_id"]: r for r in warc.round_trip(pages).collect()}
+    assert found["1"]["payload"].decode() == "é" * 3_000_000 and found["1"]["payload_bytes"] == 6_000_000 and found["2"]["payload"] == b"x"
+
+
 def test_warc_damage_is_found():
     data, _ = warc.record("1", "u", b"payload", None)
     with pytest.raises(ValueError):
@@ -309,6 +323,37 @@ def test_packing(awkward, empty):
     assert packing.pack(empty, BYTES).places.count() == 0
 
 
+def one_by_one(sizes, capacity):
+    """The packing rule for single pieces: the largest piece over a third takes the largest other that fits; the rest, in falling length, go where least room is left."""
+    large, bins = sorted((s for s in sizes if 3 * s > capacity), reverse=True), []
+    while large:
+        s = large.pop(0)
+        partner = next((p for p in large if p + s <= capacity), None)
+        if partner:
+            large.remove(partner)
+        bins.append(capacity - s - (partner or 0))
+    for s in sorted((s for s in sizes if 3 * s <= capacity), reverse=True):
+        fit = min((b for b in bins if b >= s), default=None)
+        if fit is None:
+            bins.append(capacity - s)
+        else:
+            bins[bins.index(fit)] -= s
+    return sorted(bins)
+
+
+def test_plan_equals_single_pieces():
+    rng = random.Random(14)
+    for low, high in ((1, 100), (20, 60), (1, 34), (34, 100)):
+        sizes = [rng.randint(low, high) for _ in range(300)]
+        gaps = sorted(b.gap for b in packing.plan(dict(Counter(sizes)), 100) for _ in range(b.count))
+        assert gaps == one_by_one(sizes, 100)
+
+
+def test_packing_ignores_other_columns(spark):
+    places = packing.pack(docs(spark, [(1, "a b"), (2, "c")]).withColumn("piece", F.lit("x")).withColumn("length", F.lit(-1)), BYTES).places
+    assert sorted(r["doc_id"] for r in places.collect()) == [1, 2] and places.schema["length"].dataType.typeName() == "long"
+
+
 def test_plan_is_near_the_bound():
     rng = random.Random(3)
     for low, high in ((1, 1023), (300, 700), (1, 200)):
@@ -552,6 +597,30 @@ def test_ledger_scans_only_what_is_new(spark):
     assert found == {1: [(0, 14, "assign")], 2: []} and spark.read.parquet(ledger).count() == 8
 
 
+def test_secrets_empty_and_very_long(spark, empty):
+    assert secrets.scan(empty).count() == 0
+    found = secrets.scan(docs(spark, [(1, "x " * 400_000 + "token=abcdefgh " * 2000)])).collect()
+    assert len(found[0]["found"]) == 2000 and found[0]["found"][0]["start"] == 800_000
+
+
+def largest_share(join, key):
+    """The share of the rows of the largest partition that a join's output has."""
+    sizes = [r["count"] for r in join.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_a_hot_key_is_dealt_over_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = spark.range(40_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"))
+        right = left.select("k").distinct().withColumn("v", F.lit(1))
+        found = shared.spread_join(left, right.hint("merge"), ["k"], F.xxhash64("id"), "left")
+        assert found.count() == 40_000 and largest_share(found, "k") < 0.5
+        assert largest_share(left.join(right.hint("merge"), "k"), "k") > 0.85
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 # ---------------------------------------------------------------- 8
 
 
@@ -633,6 +702,34 @@ def test_digest_awkward(awkward, empty):
 # ---------------------------------------------------------------- pipeline
 
 
+def firsts_by_similarity(rows):
+    """The smallest id of each group of texts that share 0.8 of their five-word shingles, by comparing all pairs."""
+    sets = [(i, frozenset(jaccard.shingle_set((t or "").encode(), 5).tolist())) for i, t in rows]
+    edges = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a][1] & sets[b][1]) >= 4 * len(sets[a][1] | sets[b][1])]
+    root = simhash.stars(len(sets), iter([tuple(np.array(edges).T)])).tolist() if edges else list(range(len(sets)))
+    least = {}
+    for (i, _), r in zip(sets, root, strict=True):
+        least[r] = min(i, least.get(r, i))
+    return set(least.values())
+
+
+def mixed_by_hand(rows):
+    """How often each document is used: whole passes, then the first in the seeded order, as near the target as whole documents come."""
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    used = {}
+    for s, target in mixture.targets(dict(sizes), [3, 1, 2], 1.5, 2).items():
+        passes, left = divmod(round(target), sizes[s])
+        before = 0
+        for _, i, n in sorted((int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:15], 16), i, n) for i, source, n in rows if source == s):
+            copies = passes + (2 * before + n < 2 * left)
+            before += n
+            if copies:
+                used[i] = copies
+    return used
+
+
 def test_pipeline_stages(spark, real):
     held = real
     for name, stage in corpus_pipeline.STAGES:
@@ -644,9 +741,11 @@ def test_pipeline_stages(spark, real):
         elif name == "line_dedup":
             assert {(r.doc_id, r.text) for r in out.itertuples()} == {(r[0], r[3]) for r in brute_lines([(x.doc_id, x.text) for x in held.toPandas().itertuples()])}
         elif name == "near_dedup":
-            assert set(out["doc_id"]) <= {r["doc_id"] for r in held.collect()} and out["doc_id"].is_unique
+            wanted = firsts_by_similarity([(r["doc_id"], r["text"]) for r in held.collect()])
+            assert set(out["doc_id"]) == wanted and out["doc_id"].is_unique
         elif name == "mix":
-            assert set(out["doc_id"].value_counts()) <= {1, 2}
+            rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in held.collect()]
+            assert dict(out["doc_id"].value_counts()) == mixed_by_hand(rows)
         else:
             assert set(out["doc_id"]) == {r["doc_id"] for r in held.collect()}
         if name != "pack":
