@@ -49,18 +49,18 @@ def clear(first: int = 0, keep: tuple[str, ...] = ()) -> None:
 
 
 @contextmanager
-def cleared() -> Iterator[list[str]]:
-    """Deletes at its end what was written inside, but for the paths added to the list it gives."""
-    first, keep = len(_PATHS), []
+def cleared(keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Deletes at its end the scratch paths made inside, but for those to keep."""
+    first = len(_PATHS)
     try:
-        yield keep
+        yield
     finally:
-        clear(first, tuple(keep))
+        clear(first, keep)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends here and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder, or to `path`, and reads it again: lineage ends here and lost executors cost nothing."""
+    path = path or scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -752,6 +752,25 @@ def test_pipeline_stages(spark, real):
             held = spark.createDataFrame(out, SCHEMA)
 
 
+def test_scratch_tables_are_deleted(spark):
+    outer = shared.written(spark.range(3), "outer")
+    with shared.cleared():
+        inner = shared.written(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        shared.written(inner, "again")
+    many = len(shared._PATHS)
+    assert corpus_pipeline.run(spark, SF).count() > 0 and len(shared._PATHS) <= many + 6  # the stages' results and what the last one reads
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    context = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: {}, "getCheckpointDir": lambda self: None})()
+    session = type("S", (), {"sparkContext": context})()
+    with pytest.raises(ValueError):
+        shared.shared_dir(session)
+
+
 def test_pipeline_of_awkward_rows(spark, awkward, empty):
     for rows in (awkward, empty):
         held = rows
