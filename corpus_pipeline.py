@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from infospan.llm import jaccard, langid, line_dedup, mixture, packing
-from infospan.llm.shared import NOT_SPACE, written
+from infospan.llm.shared import NOT_SPACE, cleared, scratch, written
 from infospan.llm.tokens import public_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,14 +33,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of texts that share 0.8 of their five-word shingles."""
+    """Keeps the smallest doc_id of each group of texts that share 0.8 of their five-word shingles; candidates come from the SimHash trie join."""
     return jaccard.keep_firsts(docs, "doc_id", "text").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents to the sources' target weights; one that is used twice stands there twice."""
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)))
-    mixed = mixture.mix(sized, weights=[3, 1, 2], share=1.5, most=2)
+    mixed = mixture.mix(docs, weights=[3, 1, 2], share=1.5, most=2, size_col=F.regexp_count("text", F.lit(NOT_SPACE)))
     used = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("use")
     return mixed.where("copies > 0").select(*COLUMNS, used).select(*COLUMNS)
 
@@ -64,8 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each stage's rows are written and read again before the next."""
+    """Applies the stages to `documents`; each stage's rows are written and read again before the next, and what the stage wrote besides is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}")
+        with cleared():
+            docs = written(stage(spark, docs, sf_dir), name, path=path)
     return STAGES[-1][1](spark, docs, sf_dir)
