@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ class ChunkedTokenizer:
         self.tokenizer, self.cut, self.end_id = Tokenizer.from_file(path), cut, end_id
         added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.added = "|".join(map(re.escape, added))
+        self.mark = added[0] if added and self.tokenizer.token_to_id(added[0]) is not None else None
+        self.mark_id = self.tokenizer.token_to_id(added[0]) if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -60,23 +63,24 @@ class ChunkedTokenizer:
         self.starts, self.sizes, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 1
         self.sizes[0] = 1  # entry 0: the end id
 
-    def _add(self, ids: list[int] | None) -> int:
-        """None: not to be used by itself."""
-        if self.count == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * self.count), np.resize(self.sizes, 2 * self.count)
-        n = len(ids or ())
-        while self.used + n > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.starts[self.count], self.sizes[self.count] = self.used, -1 if ids is None else n
-        if n:
-            self.pool[self.used : self.used + n] = ids
-        self.used += n
-        self.count += 1
-        return self.count - 1
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """New entries with these numbers of ids; -1: not to be used by itself."""
+        n, at = len(sizes), self.count
+        for name in ("starts", "sizes"):
+            if at + n > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * (at + n)))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
+        own = np.maximum(sizes, 0)
+        self.starts[at : at + n], self.sizes[at : at + n] = self.used + np.cumsum(own) - own, sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.count += n
+        return range(at, at + n)
 
     def _chunk(self, part: str) -> str | None:
-        if self.cut == "words":
-            return part
+        if part.isalnum():
+            return " " + part
         if part.startswith((FIRST, JOINED)):
             chunk = core = part[1:]
             if part == FIRST:
@@ -87,16 +91,38 @@ class ChunkedTokenizer:
             chunk, core = " " + part, part
         return None if not core or core[0].isspace() or core[-1].isspace() else chunk
 
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks end to end, and their numbers.
+
+        An added token splits a text before anything else does, so chunks joined by one are encoded in one call, each by itself.
+        """
+        if self.mark is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) == len(chunks) - 1:
+                return np.delete(ids, at), np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found])
+
     def _learn(self, keys: list[str], table: dict[str, int], chunks: list[str | None]) -> None:
-        encoded = iter(self.tokenizer.encode_batch_fast([c for c in chunks if c is not None], add_special_tokens=False))
-        for key, chunk in zip(keys, chunks, strict=True):
-            table[key] = self._add(None if chunk is None else next(encoded).ids)
+        some = [c for c in chunks if c is not None]
+        ids, found = self._ids(some) if some else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        sizes = np.full(len(chunks), -1)
+        if len(some) < len(chunks):
+            sizes[[c is not None for c in chunks]] = found
+        else:
+            sizes = found
+        table.update(zip(keys, self._add(ids, sizes), strict=True))
 
     def _entries(self, parts: list[str]) -> np.ndarray:
-        new = [p for p in parts if p not in self.known]
-        if new:
-            self._learn(new, self.known, [self._chunk(p) for p in new])
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [parts[k] for k in missing.tolist()]
+            first = self.count
+            self._learn(new, self.known, new if self.cut == "words" else [self._chunk(p) for p in new])
+            at[missing] = first + np.arange(len(new))
+        return at
 
     def _by_runs(self, text: str) -> np.ndarray:
         chunks = EDGE.split(text)
@@ -106,7 +132,8 @@ class ChunkedTokenizer:
         return np.fromiter(map(self.runs.__getitem__, chunks), np.int64, len(chunks))
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array([self._add(self.tokenizer.encode(text, add_special_tokens=False).ids)])
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self._add(ids, np.array([len(ids)])))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, the end id after each text, and the number of ids of each text. Null: empty."""
@@ -116,12 +143,18 @@ class ChunkedTokenizer:
         odd, whole = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         lower = pc.ascii_lower(texts)
         if self.added:  # no chunk may be cut within an added token, nor lower-cased into one
-            whole = pc.match_substring_regex(lower, self.added).to_numpy(zero_copy_only=False)
+            found = pc.match_substring_regex(lower, self.added)
+            whole = found.to_numpy(zero_copy_only=False)
+        if whole.any():
+            none = pa.scalar("", pa.large_string())
+            kept, lower = pc.if_else(found, none, texts), pc.if_else(found, none, lower)
+        else:
+            kept = texts
         if self.cut == "words":
             lists = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, PIECE_END, r"\1 \2"))
         else:
-            odd = pc.match_substring_regex(texts, f"[{FIRST}{JOINED}]").to_numpy(zero_copy_only=False).copy()
-            cut = pc.replace_substring_regex(texts, PIECE_END, rf"\1 {JOINED}\2")
+            odd = pc.match_substring_regex(kept, f"[{FIRST}{JOINED}]").to_numpy(zero_copy_only=False).copy()
+            cut = pc.replace_substring_regex(kept, PIECE_END, rf"\1 {JOINED}\2")
             none = pa.scalar("", pa.large_string())
             marked = pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), pc.replace_substring(cut, "\n", " \n"), none)
             lists = pc.split_pattern(marked, " ")
