@@ -14,11 +14,13 @@ class Common:
 
     def __post_init__(self) -> None:
         _one_of("output_units", self.output_units, ("bits", "nats"))
-        _one_of("critic", self.critic, ("gaussian", "mlp"))
+        _one_of("critic", self.critic, ("gaussian", "mlp") if isinstance(self, (Estimate, Sweep)) else ("gaussian",))
 
 
 @dataclass(frozen=True)
-class Estimate(Common):
+class Learned(Common):
+    """Parameters of the learned critic."""
+
     estimator: str = "infonce"
     n_epochs: int = 50
     learning_rate: float = 5e-4
@@ -35,7 +37,26 @@ class Estimate(Common):
 
 
 @dataclass(frozen=True)
-class Sweep(Common):
+class Estimate(Learned):
+    pass
+
+
+@dataclass(frozen=True)
+class Sweep(Learned):
+    grid: dict[str, list] = field(default_factory=dict)
+    prepare: Any = None
+    repeats: int = 1
+    fraction: float = 1.0
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        _least("repeats", self.repeats, 1)
+
+
+@dataclass(frozen=True)
+class Gridded(Common):
+    """grid: values of columns that `prepare` reads; the analysis runs once for each combination and repeat and is summed up over repeats."""
+
     grid: dict[str, list] = field(default_factory=dict)
     prepare: Any = None
     repeats: int = 1
@@ -63,7 +84,7 @@ class Rigorous(Common):
 
 
 @dataclass(frozen=True)
-class Lag(Common):
+class Lag(Gridded):
     lags: tuple[int, ...] = tuple(range(-10, 11))
     equalize_n: bool = False
 
@@ -72,15 +93,27 @@ class Lag(Common):
 class Precision(Common):
     tau_grid: tuple[float, ...] = (0.1, 0.5, 1.0)
     threshold_ratio: float | list[float] = 0.9
+    corruption_method: str = "rounding"
+    corrupt_target: str = "x"
+    n_noise_samples: int = 10
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        _one_of("corruption_method", self.corruption_method, ("rounding", "noise"))
+        _one_of("corrupt_target", self.corrupt_target, ("x", "y", "both"))
+        _least("n_noise_samples", self.n_noise_samples, 1)
 
 
 @dataclass(frozen=True)
-class Conditional(Common):
-    pass
+class Conditional(Gridded):
+    rigorous: bool = False
+    gammas: int = 10
 
 
 @dataclass(frozen=True)
 class Transfer(Common):
+    rigorous: bool = False
+    gammas: int = 10
     history_window: int = 1
     prediction_horizon: int = 1
 
@@ -91,7 +124,7 @@ class Transfer(Common):
 
 
 @dataclass(frozen=True)
-class Pairwise(Common):
+class Pairwise(Gridded):
     columns: tuple[str, ...] = ()
     others: tuple[str, ...] | None = None
     pairs: tuple[tuple[str, str], ...] | None = None
@@ -102,19 +135,27 @@ class Dimensionality(Common):
     n_splits: int = 5
     split_method: str = "random"
     whitening: str = "std"
+    lag: int | None = None
+    indices: tuple[int, ...] | None = None
+    shape: tuple[int, int] | None = None
+    levels: tuple[float, ...] = ()
 
     def __post_init__(self) -> None:
         super().__post_init__()
-        _one_of("split_method", self.split_method, ("random", "spatial"))
-        _one_of("whitening", self.whitening, ("std", "none"))
+        _one_of("split_method", self.split_method, ("random", "spatial", "temporal", "index", "horizontal", "vertical", "col_interleaved", "row_interleaved", "diagonal", "antidiagonal"))
+        _one_of("whitening", self.whitening, ("std", "zca", "none"))
+        if self.split_method == "temporal" and not (isinstance(self.lag, int) and self.lag >= 1):
+            raise ValueError("a temporal split needs a lag of 1 or more")
 
 
 @dataclass(frozen=True)
 class Permutation(Common):
     n_permutations: int = 100
+    of: str = "estimate"
 
     def __post_init__(self) -> None:
         super().__post_init__()
+        _one_of("of", self.of, ("estimate", "conditional"))
         _least("n_permutations", self.n_permutations, 1)
 
 

@@ -1,16 +1,49 @@
-"""Lower bounds of mutual information from a table of scores (keys..., i, j, s); the true pairs have i = j.
+"""Lower bounds of mutual information from scores; the true pairs have i = j.
 
-All bounds come from one aggregation by row and one over rows, so a score is read once and never kept.
+A bound reads either a table of scores (keys..., i, j, s) or what scored_rows() leaves of them: the sums of each row of a
+batch's score matrix. The matrices are made in the workers a few rows at a time and never become rows of a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from infospan.functions.scalar import clamped, softplus
+from infospan.operators.splits import ranked
+
+#: Rows of a score matrix that a worker holds at once.
+ROWS_AT_ONCE = 256
+ROW = "top double, all_e double, off_e double, own double, own_sp double, off_sp double"
+
+
+def scored_rows(samples: DataFrame, batch: int = 5_000, seed: int = 0, key: str = "id", clip: float | None = None) -> DataFrame:
+    """(batch, i, sums of row i): inner products of x_i with every y_j of its batch of `batch` rows, dealt by a seeded order of the key.
+
+    clip: scores are cut to +-clip first, as smile() wants them. The last batch has what is left.
+    """
+    rows = ranked(samples, key, seed, "_n").select(F.floor(F.col("_n") / batch).alias("batch"), F.col(key).alias("i"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(part["x"].to_list()), np.stack(part["y"].to_list())
+        found = []
+        for low in range(0, len(x), ROWS_AT_ONCE):
+            s = x[low : low + ROWS_AT_ONCE] @ y.T
+            if clip is not None:
+                s = np.clip(s, -clip, clip)
+            at = np.arange(len(s))
+            top, own = s.max(axis=1), s[at, low + at]
+            e = np.exp(s - top[:, None])
+            sp = np.logaddexp(0, s)
+            found.append(np.stack([top, e.sum(axis=1), e.sum(axis=1) - e[at, low + at], own, np.logaddexp(0, -own), sp.sum(axis=1) - sp[at, low + at]], axis=1))
+        names = [c.split()[0] for c in ROW.split(", ")]
+        return pd.DataFrame({"batch": part["batch"].iloc[0], "i": part["i"].to_numpy()} | dict(zip(names, np.concatenate(found).T, strict=True)))
+
+    return rows.groupBy("batch").applyInPandas(score, f"batch long, i {rows.schema['i'].dataType.simpleString()}, {ROW}")
 
 
 def _by_row(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,7 +58,7 @@ def _by_row(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _means(scores: DataFrame, keys: list[str]) -> DataFrame:
-    rows = _by_row(scores, keys)
+    rows = scores if "off_e" in scores.columns else _by_row(scores, keys)
     if keys:
         rows = rows.withColumn("most", F.max("top").over(Window.partitionBy(*keys)))
     else:
@@ -54,7 +87,7 @@ def tuba(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def nwj(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """TUBA of the scores less one."""
-    return tuba(scores.withColumn("s", F.col("s") - 1), keys)
+    return _one(scores, keys or [], F.col("own") - F.exp(F.col("lme") - 1))
 
 
 def js(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -63,8 +96,10 @@ def js(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def smile(scores: DataFrame, keys: list[str] | None = None, clip: float | None = 5.0) -> DataFrame:
-    """mean(s_ii) - log mean exp(s_ij) over i != j, of scores clipped to +-clip."""
-    return _one(scores.withColumn("s", clamped(F.col("s"), clip)), keys or [], F.col("own") - F.col("lme"))
+    """mean(s_ii) - log mean exp(s_ij) over i != j, of scores clipped to +-clip; scored_rows() must have clipped its own."""
+    if "s" in scores.columns:
+        scores = scores.withColumn("s", clamped(F.col("s"), clip))
+    return _one(scores, keys or [], F.col("own") - F.col("lme"))
 
 
 def log_mean_exp_off_diagonal(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:

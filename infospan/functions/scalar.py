@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,3 +90,19 @@ def hash_order(column: Column, seed: int) -> Column:
     prime = 2147483647
     once = F.pmod(F.pmod(column.cast("long"), F.lit(prime)) * 48271 + F.lit(seed % prime), F.lit(prime))
     return F.pmod(once * 69621 + F.pmod(once, F.lit(1009)) * 16807, F.lit(prime))
+
+
+def hash_bits(*parts: Column | str | int) -> Column:
+    """The first 52 bits of the MD5 sum of the parts, joined by colons."""
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def hash_uniform(*parts: Column | str | int) -> Column:
+    """A number between 0 and 1 for each different row of parts, however the table is partitioned."""
+    return (hash_bits(*parts) + 0.5) / float(1 << 52)
+
+
+def hash_normal(*parts: Column | str | int) -> Column:
+    """A standard normal number by the Box-Muller rule."""
+    return F.sqrt(-2 * F.log(hash_uniform(0, *parts))) * F.cos(2 * math.pi * hash_uniform(1, *parts))

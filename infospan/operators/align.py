@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from infospan.functions.scalar import hash_order
+from infospan.functions.scalar import hash_order, seed_of
 
 
 def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
@@ -55,6 +55,17 @@ def shifted_spikes(spikes: DataFrame, seconds: float) -> DataFrame:
     return spikes.withColumn("t", F.col("t") + seconds)
 
 
+def epoch_shift(size: float, epoch: int, seed: int) -> float:
+    """The shift of a stream in a training epoch: uniform, up to the window's size from the fifth epoch on."""
+    most = size * min(1.0, epoch / 5)
+    return most * seed_of(seed, epoch) / float(1 << 31)
+
+
+def randomly_shifted(points: DataFrame, size: float, epoch: int, seed: int) -> DataFrame:
+    """Points of any kind at t less the epoch's shift, so that windows begin elsewhere in each epoch."""
+    return points.withColumn("t", F.col("t") - epoch_shift(size, epoch, seed))
+
+
 def histories(series: DataFrame, past: int, future: int = 1, index: str = "idx", value: str = "v") -> DataFrame:
     """(idx, past, future): arrays of the `past` values from idx on and of the `future` ones after them; T - past - future + 1 rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from infospan.functions.scalar import hash_order
+from infospan.functions.scalar import hash_bits, hash_normal, hash_order, seed_of
 from infospan.operators.align import numbered
 
 
@@ -97,6 +97,45 @@ def permuted(df: DataFrame, column: str, key: str = "id", seed: int = 0) -> Data
     return place.join(values, "rank").select(key, column)
 
 
+def permutations(df: DataFrame, key: str, trials: int, seed: int = 0, parts: int = 64) -> DataFrame:
+    """df with (trial, rank) for every trial: ranks from 0 by a hash of (seed, trial, key), so each trial has an order of its own.
+
+    A hash's leading bits deal a trial's rows to ranges of about equal size, which are ranked side by side.
+    """
+    tasks = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_h", hash_bits(seed, F.col("trial"), F.col(key)))
+    dealt = tasks.withColumn("_part", F.floor(F.col("_h") / F.lit((1 << 52) // parts)).cast("int"))
+    sizes = dealt.groupBy("trial", "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("trial").orderBy("_part")) - F.col("_n")).drop("_n")  # `parts` rows a trial
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("trial", "_part").orderBy("_h", key)) - 1)
+    return ranked.join(before, ["trial", "_part"]).withColumn("rank", F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before", "_h")
+
+
+def positions(method: str, n: int, seed: int = 0, split: int = 0, first: list[int] | None = None, shape: tuple[int, int] | None = None) -> tuple[list[int], list[int]]:
+    """The entries of an array of n channels that go to the two sides.
+
+    random, spatial (first half), index (those of `first`), or a rule of PIXEL_SIDES over an image of `shape` whose rows follow each other.
+    """
+    if method == "random":
+        order = sorted(range(n), key=lambda k: (seed_of(seed, split, k), k))
+        return order[: n // 2], order[n // 2 :]
+    if method == "spatial":
+        return list(range(n // 2)), list(range(n // 2, n))
+    if method == "index":
+        own = list(first or [])
+        if not own or len(set(own)) != len(own) or not all(0 <= k < n for k in own) or len(own) == n:
+            raise ValueError("indices are some of the channels, each once")
+        return own, [k for k in range(n) if k not in set(own)]
+    height, width = shape or (0, 0)
+    if method not in PIXEL_SIDES or height * width != n:
+        raise ValueError(f"{method} needs the shape (height, width) of {n} pixels")
+    side = {
+        "horizontal": lambda h, w: w >= width // 2, "vertical": lambda h, w: h >= height // 2, "col_interleaved": lambda h, w: w % 2,
+        "row_interleaved": lambda h, w: h % 2, "diagonal": lambda h, w: h > w, "antidiagonal": lambda h, w: h + w > width - 1,
+    }[method]
+    sides = [bool(side(k // width, k % width)) for k in range(n)]
+    return [k for k in range(n) if not sides[k]], [k for k in range(n) if sides[k]]
+
+
 def gamma_chunks(df: DataFrame, key: str = "id", gammas: int = 10, seed: int = 0) -> DataFrame:
     """(gamma, chunk, key...): for each gamma, one seeded order cut into gamma parts of nearly equal size, the larger first."""
     n = df.count()
@@ -109,13 +148,12 @@ def gamma_chunks(df: DataFrame, key: str = "id", gammas: int = 10, seed: int = 0
 def fixed_noise(samples: DataFrame, levels: list[float], seed: int, units: str = "relative", key: str = "id", column: str = "x") -> DataFrame:
     """(sigma_add, key, column): at each level the same normal noise, scaled by the level and, if `relative`, the channel's deviation.
 
-    The noise is a hash of (seed, id, channel) by the Box-Muller rule, so no order or partitioning changes it.
+    The noise is a hash of (seed, id, channel), so no order or partitioning changes it.
     """
     cells = samples.select(key, F.posexplode(column).alias("channel", "v")).withColumn("v", F.col("v").cast("double"))
     sd = cells.groupBy("channel").agg(F.stddev_pop("v").alias("sd"))
     cells = cells.join(F.broadcast(sd), "channel")  # a row for each channel
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), F.col(key), F.col("channel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
+    noise = hash_normal(seed, F.col(key), F.col("channel"))
     scale = F.col("sd") if units == "relative" else F.lit(1.0)
     cells = cells.withColumn("sigma_add", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).withColumn("v", F.col("v") + F.col("sigma_add") * scale * noise)
     return cells.groupBy("sigma_add", key).agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "v"))), lambda s: s["v"]).alias(column))

@@ -7,6 +7,7 @@ by a range join. Orders along time are cut into buckets of time, so no task hold
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -137,9 +138,14 @@ def gaps(signal: DataFrame, bucket: float) -> DataFrame:
     return lagged.join(before, ["channel", "b"]).select("channel", "t", (F.col("t") - F.coalesce("prev", "before")).alias("gap"))
 
 
-def period(signal: DataFrame, bucket: float = 86_400.0) -> DataFrame:
-    """(channel, period): the median gap between samples."""
-    return gaps(signal, bucket).groupBy("channel").agg(F.median("gap").alias("period"))
+def period(signal: DataFrame, bucket: float = 86_400.0, sample_rate: float | None = None) -> DataFrame:
+    """(channel, period): the median gap between samples, or 1 / sample_rate; a warning if the first gap differs from that by over 5 %."""
+    if sample_rate is None:
+        return gaps(signal, bucket).groupBy("channel").agg(F.median("gap").alias("period"))
+    first = [r["t"] for r in signal.select("t").distinct().orderBy("t").limit(2).collect()]
+    if len(first) == 2 and abs((first[1] - first[0]) * sample_rate - 1) > 0.05:
+        warnings.warn(f"the first gap is {first[1] - first[0]} s, not 1 / {sample_rate} s", stacklevel=2)
+    return signal.select("channel").distinct().withColumn("period", F.lit(1 / sample_rate))
 
 
 def slots_of(size: float, seconds: float, categorical: bool = False) -> int:
@@ -158,14 +164,15 @@ def interpolated(signal: DataFrame, targets: DataFrame, bucket: float = 86_400.0
     wanted = targets.withColumn("b", b)
     all_b = wanted.select("channel", "b").distinct()
     ends = all_b.join(ends, ["channel", "b"], "full")
-    along = Window.partitionBy("channel").orderBy("b")
-    ends = ends.select("channel", "b", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("in"), F.first("first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("out"))
+    along, back = (Window.partitionBy("channel").orderBy(o) for o in ("b", F.desc("b")))
+    ends = ends.select("channel", "b", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("in"), F.last("first", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("out"))
     own = F.struct("t", "value")
     others = [c for c in targets.columns if c not in ("channel", "t")]
     both = samples.select("channel", "b", "t", own.alias("s"), F.lit(None).cast(targets.select(F.struct(*others) if others else F.struct(F.lit(0).alias("_")) ).schema[0].dataType).alias("o"), F.lit(False).alias("target"))
     both = both.unionByName(wanted.select("channel", "b", "t", F.lit(None).cast(both.schema["s"].dataType).alias("s"), (F.struct(*others) if others else F.struct(F.lit(0).alias("_"))).alias("o"), F.lit(True).alias("target")))
-    order = Window.partitionBy("channel", "b").orderBy("t")
-    both = both.withColumns({"left": F.last("s", True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "right": F.first("s", True).over(order.rangeBetween(0, Window.unboundedFollowing))})
+    # Both frames grow from the partition's start, so that each row is added to them once.
+    up, down = (Window.partitionBy("channel", "b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in ("t", F.desc("t")))
+    both = both.withColumns({"left": F.last("s", True).over(up), "right": F.last("s", True).over(down)})
     found = both.where("target").join(ends, ["channel", "b"], "left").select("channel", "t", *[F.col(f"o.`{c}`").alias(c) for c in others], F.coalesce("left", "in").alias("l"), F.coalesce("right", "out").alias("r"))
     slope = F.try_divide(F.col("r.value") - F.col("l.value"), F.col("r.t") - F.col("l.t"))
     value = F.when(F.col("l").isNull() | F.col("r").isNull(), 0.0).when(F.col("l.t") == F.col("t"), F.col("l.value")).otherwise(F.col("l.value") + slope * (F.col("t") - F.col("l.t")))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from infospan.config import as_dict, configured
 from infospan.errors import DataShapeError
 from infospan.functions import regression, spectra
-from infospan.functions.scalar import NATS_IN_BIT, seed_of
-from infospan.operators import align
+from infospan.functions.scalar import NATS_IN_BIT
+from infospan.operators import align, splits
 from infospan.plans import critics, modes
 from infospan.results import Results
 
@@ -33,18 +33,20 @@ def run(data: DataFrame, mode: str = "estimate", **options) -> Results:
     """Runs an analysis over a table of aligned samples.
 
     estimate, sweep, rigorous, precision, permutation: (id, x, y); lag, transfer: (idx, x, y); conditional: (id, x, y, z);
-    pairwise: any numeric columns; dimensionality: (id, x array). x and y are numbers for the Gaussian critic and
-    arrays for `critic='mlp'`, which estimate and sweep offer.
+    pairwise: any numeric columns; dimensionality: (id, x array). x and y are numbers for the Gaussian critic (estimate and conditional take arrays, too) and
+    arrays for `critic='mlp'`, which estimate and sweep offer; other modes refuse it. lag, conditional and pairwise take a
+    `grid` like sweep.
     """
     c = configured(mode, options)
     details: dict[str, DataFrame] = {}
-    if mode == "estimate" and c.critic == "mlp":
-        t = critics.Training(c.n_epochs, c.learning_rate, c.batch_size, c.hidden_dim, c.embedding_dim, estimator=c.estimator, max_eval_samples=c.max_eval_samples, seed=c.seed)
+    t = critics.Training(c.n_epochs, c.learning_rate, c.batch_size, c.hidden_dim, c.embedding_dim, estimator=c.estimator, max_eval_samples=c.max_eval_samples, seed=c.seed) if c.critic == "mlp" else None
+    if mode == "estimate" and t:
         table = critics.learned(_need(data, "id", "x", "y"), t).withColumn("mi", F.col("train_mi"))
     elif mode == "estimate":
         table = modes.estimate_arrays(data) if data.schema["x"].dataType.typeName() == "array" else modes.estimate(_need(data, "x", "y"))
     elif mode == "sweep":
-        runs = modes.sweep(_need(data, "id", "x", "y"), c.grid, c.prepare or (lambda t: t), c.repeats, c.fraction, c.seed)
+        by = (lambda table, keys: critics.learned(table, t, keys).withColumn("mi", F.col("train_mi"))) if t else None
+        runs = modes.sweep(_need(data, "id", "x", "y"), c.grid, c.prepare, c.repeats, c.fraction, c.seed, by)
         table, details["runs"] = modes.summary(runs, list(c.grid)), runs
     elif mode == "rigorous":
         runs = modes.rigorous_runs(_need(data, "id", "x", "y"), gammas=c.gammas, seed=c.seed)
@@ -52,34 +54,80 @@ def run(data: DataFrame, mode: str = "estimate", **options) -> Results:
         details["runs"] = runs
     elif mode == "lag":
         _need(data, "idx", "x", "y")
-        table = modes.lag_curve(data.select("idx", "x"), data.select("idx", "y"), list(c.lags), c.equalize_n)
+        if c.grid:
+            pairs = modes.lag_pairs(data.select("idx", "x"), data.select("idx", "y"), list(c.lags), c.equalize_n)
+            table, details["runs"] = _gridded(pairs, c, modes.estimate, ["lag"], "idx")
+        else:
+            table = modes.lag_curve(data.select("idx", "x"), data.select("idx", "y"), list(c.lags), c.equalize_n)
     elif mode == "precision":
-        table = modes.precision_curve(_need(data, "x", "y"), list(c.tau_grid))
+        if c.corruption_method == "noise":
+            table = modes.noise_curve(_need(data, "id", "x", "y"), list(c.tau_grid), c.n_noise_samples, c.corrupt_target, c.seed)
+        else:
+            table = modes.precision_curve(_need(data, "x", "y"), list(c.tau_grid), c.corrupt_target)
         ratios = c.threshold_ratio if isinstance(c.threshold_ratio, (list, tuple)) else [c.threshold_ratio]
         details["thresholds"] = _units(regression.precision_threshold(table, list(ratios)), c.output_units)
     elif mode == "conditional":
-        table = modes.joint_gaussian(_need(data, "x", "y", "z"))
+        _need(data, "x", "y", "z")
+        by = modes.conditional_arrays if data.schema["x"].dataType.typeName() == "array" else modes.joint_gaussian
+        if c.rigorous:
+            details["runs"] = modes.rigorous_conditional_runs(_need(data, "id"), gammas=c.gammas, seed=c.seed)
+            table = modes.rigorous_scalar(details["runs"])
+        elif c.grid:
+            table, details["runs"] = _gridded(_need(data, "id"), c, lambda rows, keys: by(rows, keys).withColumn("mi", F.col("cmi")), [], "id")
+        else:
+            table = by(data)
     elif mode == "transfer":
         _need(data, "idx", "x", "y")
-        table = modes.transfer(data) if c.history_window == c.prediction_horizon == 1 else modes.transfer_histories(data, c.history_window, c.prediction_horizon)
+        if c.rigorous:
+            details["runs"] = modes.rigorous_transfer_runs(data, c.prediction_horizon, gammas=c.gammas, seed=c.seed)
+            table = modes.rigorous_scalar(details["runs"], ["way"])
+        else:
+            table = modes.transfer(data) if c.history_window == c.prediction_horizon == 1 else modes.transfer_histories(data, c.history_window, c.prediction_horizon)
     elif mode == "pairwise":
-        table = modes.pairwise(_need(data, *c.columns, *(c.others or ())), list(c.columns), list(c.others) if c.others else None, list(c.pairs) if c.pairs else None)
+        listed = (list(c.columns), list(c.others) if c.others else None, list(c.pairs) if c.pairs else None)
+        _need(data, *c.columns, *(c.others or ()))
+        if c.grid:
+            table, details["runs"] = _gridded(_need(data, "id"), c, lambda rows, keys: modes.pairwise(rows, *listed, keys), ["a", "b"], "id", population=True)
+        else:
+            table = modes.pairwise(data, *listed)
     elif mode == "permutation":
-        table = modes.permutation_null(_need(data, "id", "x", "y"), c.n_permutations, seed=c.seed)
-        details["observed"] = _units(modes.estimate(data), c.output_units)
+        if c.of == "conditional":
+            table = modes.permuted_runs(_need(data, "id", "x", "y", "z"), c.n_permutations, modes.joint_gaussian, seed=c.seed)
+        else:
+            table = modes.permutation_null(_need(data, "id", "x", "y"), c.n_permutations, seed=c.seed)
+        details["observed"] = _units(modes.joint_gaussian(data) if c.of == "conditional" else modes.estimate(data), c.output_units)
     else:
-        table = dimensionality(_need(data, "id", "x"), c.n_splits, c.split_method, c.whitening, c.seed)
+        table = dimensionality(_need(data, "id", "x"), c.n_splits, c.split_method, c.whitening, c.seed, c.lag, c.indices, c.shape, c.levels)
+        details["summary"] = modes.dimensionality_summary(table, ["sigma_add"] if c.levels else [])
     return Results(mode, as_dict(c), _units(table, c.output_units), {k: v if k in ("thresholds", "observed") else _units(v, c.output_units) for k, v in details.items()})
 
 
-def dimensionality(samples: DataFrame, n_splits: int, method: str, whitening: str, seed: int) -> DataFrame:
-    """(split, pr_eig, pr_singular, entropy, effective_rank) of the cross-covariance between two halves of the channels."""
+def _gridded(tasks: DataFrame, c, by, keys: list[str], key: str, population: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Summary by keys and grid, and the runs."""
+    own = [k for k in keys if k in tasks.columns]
+    runs = modes.sweep(tasks, c.grid, c.prepare, c.repeats, c.fraction, c.seed, by, own, key)
+    return modes.summary(runs, [*keys, *c.grid], population=population), runs
+
+
+def view_pairs(samples: DataFrame, n_splits: int, method: str, seed: int, lag: int | None = None, indices: tuple | None = None, shape: tuple | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, split, x, y): two halves of the channels of every sample, or, if `temporal`, sample id and the one at id + lag."""
+    keys = keys or []
+    v = samples.select(*keys, "id", F.col("x").cast("array<double>").alias("v"))
+    if method == "temporal":
+        later = v.select(*keys, (F.col("id") - lag).alias("id"), F.col("v").alias("y"))
+        return v.join(later, [*keys, "id"]).select(*keys, F.lit(0).alias("split"), F.col("v").alias("x"), "y")
     n = samples.select(F.size("x")).first()[0]
-    v = samples.select("id", F.col("x").cast("array<double>").alias("v"))
     parts = []
     for split in range(n_splits if method == "random" else 1):
-        order = sorted(range(n), key=lambda k: (seed_of(seed, split, k), k)) if method == "random" else list(range(n))  # noqa: B023
-        parts.append(F.struct(F.lit(split).alias("split"), align.picked("v", order[: n // 2]).alias("x"), align.picked("v", order[n // 2 :]).alias("y")))
-    halves = v.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-    sigma = spectra.singular_values(spectra.cross_covariance(halves, whitening, ["split"]), ["split"])
-    return spectra.spectrum_summary(sigma, ["split"])
+        a, b = splits.positions(method, n, seed, split, list(indices) if indices else None, shape)
+        parts.append(F.struct(F.lit(split).alias("split"), align.picked("v", a).alias("x"), align.picked("v", b).alias("y")))
+    return v.select(*keys, F.explode(F.array(*parts)).alias("p")).select(*keys, "p.*")
+
+
+def dimensionality(samples: DataFrame, n_splits: int, method: str, whitening: str, seed: int, lag: int | None = None, indices: tuple | None = None, shape: tuple | None = None, levels: tuple[float, ...] = ()) -> DataFrame:
+    """(sigma_add, split, pr_eig, pr_singular, entropy, effective_rank) of the cross-covariance between two views; sigma_add: the added noise where `levels` are given."""
+    keys = ["sigma_add"] if levels else []
+    noisy = splits.fixed_noise(samples.select("id", "x"), list(levels), seed) if levels else samples
+    pairs = view_pairs(noisy, n_splits, method, seed, lag, indices, shape, keys)
+    keys = [*keys, "split"]
+    return spectra.spectrum_summary(spectra.singular_values(spectra.cross_covariance(pairs, whitening, keys), keys), keys)

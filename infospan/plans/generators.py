@@ -57,6 +57,21 @@ def _moving_mean(noise: DataFrame, column: str, width: int) -> DataFrame:
     return dealt.withColumn("m", mean).where(F.floor(F.col("idx") / BLOCK) == F.col("_b")).drop("_b")
 
 
+def _autoregressive(noise: DataFrame, column: str, timescale: float) -> DataFrame:
+    """noise (idx, ...) with `m`: a process of unit variance that keeps exp(-1 / timescale) of itself each step.
+
+    A sample is the weighted sum of the noise of its last 8 timescales, whose weights fall to exp(-8) of the first.
+    """
+    keep = math.exp(-1 / timescale)
+    width = math.ceil(8 * timescale)
+    b = F.floor(F.col("idx") / BLOCK)
+    near = F.when(F.col("idx") % BLOCK >= BLOCK - width, F.array(b, b + 1)).otherwise(F.array(b))
+    dealt = noise.withColumn("_b", F.explode(near))
+    last = F.collect_list(column).over(Window.partitionBy("_b").orderBy("idx").rowsBetween(-(width - 1), 0))
+    m = F.aggregate(last, F.lit(0.0), lambda total, v: total * keep + v) * math.sqrt(1 - keep * keep)
+    return dealt.withColumn("m", m).where(F.floor(F.col("idx") / BLOCK) == F.col("_b")).drop("_b")
+
+
 def _behind(df: DataFrame, column: str, lag: int, name: str) -> DataFrame:
     """df with the value of `column` at idx - lag, 0 before the start."""
     old = df.select((F.col("idx") + lag).alias("idx"), F.col(column).alias(name))
@@ -140,12 +155,12 @@ def full(spark: SparkSession, n: int, lag: int = 10, duration: int = 20, noise:
 
 
 def windowed_dependency(spark: SparkSession, n: int, channels: int = 1, timescale: float = 20.0, window: int = 50, noise: float = 0.1, seed: int = 0) -> DataFrame:
-    """(idx, channel, x, y): noise smoothed at two timescales, and its causal mean over `window`."""
+    """(idx, channel, x, y): the sum of two autoregressive processes with the time constants `timescale` and a quarter of it, and its causal mean over `window`."""
     found = None
     for c in range(channels):
         base = _noise(spark, n, seed + 10 * c)
-        fast = _moving_mean(base, "e", max(1, int(timescale / 4))).withColumnRenamed("m", "fast")
-        slow = _moving_mean(fast, "e", max(1, int(timescale))).withColumn("x", F.col("fast") + F.col("m")).select("idx", "x", "e2")
+        fast = _autoregressive(base, "e", timescale / 4).withColumnRenamed("m", "fast")
+        slow = _autoregressive(fast, "e", timescale).withColumn("x", F.col("fast") + F.col("m")).select("idx", "x", "e2")
         part = _moving_mean(slow, "x", window).select("idx", F.lit(c).alias("channel"), "x", (F.col("m") + noise * F.col("e2")).alias("y"))
         found = part if found is None else found.union(part)
     return found
@@ -166,18 +181,28 @@ def timing_code(spark: SparkSession, neurons: int, duration: float, signal: floa
 
 
 def oscillatory(spark: SparkSession, windows: int, channels: int = 1, size: int = 64, hertz: list[float] | None = None, rate: float = 256.0, latent_mi: float = 1.0, snr: float = 4.0, distractor: float = 0.0, seed: int = 0) -> DataFrame:
-    """(w, channel, x, y): latents that share `latent_mi` bits a channel as amplitudes of carriers, with noise and, if asked, a second independent carrier."""
+    """(w, channel, x, y): latents that share `latent_mi` bits a channel as amplitudes of carriers, with noise of deviation 1 / snr and, if asked, a second independent carrier."""
     rho, hertz = rho_of(latent_mi, 1), hertz or [20.0] * channels
     rows = spark.range(windows).select(F.col("id").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("channel"))
     rows = rows.withColumns({"a": F.randn(seed), "e": F.randn(seed + 1), "d1": F.randn(seed + 2), "d2": F.randn(seed + 3), "hz": F.get(F.array(*map(F.lit, hertz)), F.col("channel"))})
     rows = rows.withColumn("b", rho * F.col("a") + math.sqrt(1 - rho * rho) * F.col("e")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     wave = F.sin(2 * math.pi * F.col("hz") * F.col("k") / rate)
     other = distractor * F.sin(2 * math.pi * 1.7 * F.col("hz") * F.col("k") / rate)
-    rows = rows.withColumns({"vx": F.col("a") * wave + F.col("d1") * other + F.randn(seed + 4) / math.sqrt(snr), "vy": F.col("b") * wave + F.col("d2") * other + F.randn(seed + 5) / math.sqrt(snr)})
+    rows = rows.withColumns({"vx": F.col("a") * wave + F.col("d1") * other + F.randn(seed + 4) / snr, "vy": F.col("b") * wave + F.col("d2") * other + F.randn(seed + 5) / snr})
     pick = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda s: s[c])
     return rows.groupBy("w", "channel").agg(pick("vx").alias("x"), pick("vy").alias("y"))
 
 
+def oscillatory_mi(channels: int = 1, size: int = 64, hertz: list[float] | None = None, rate: float = 256.0, latent_mi: float = 1.0, snr: float = 4.0) -> float:
+    """Bits that x and y of oscillatory() share, without a second carrier: a channel's amplitudes are seen through its carrier's energy and the noise."""
+    total = 0.0
+    for hz in hertz or [20.0] * channels:
+        energy = sum(math.sin(2 * math.pi * hz * k / rate) ** 2 for k in range(size))
+        rho = min(rho_of(latent_mi, 1) * energy / (energy + 1 / snr**2), 1 - 1e-8)
+        total -= 0.5 * math.log2(1 - rho * rho)
+    return total
+
+
 def bandpower_interference(spark: SparkSession, windows: int, **options) -> DataFrame:
     return oscillatory(spark, windows, distractor=options.pop("distractor", 1.0), **options)
 

@@ -6,6 +6,7 @@ them in one aggregation. With `critics.learned()` a task's rows go to a trained
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from infospan.functions import regression
-from infospan.functions.scalar import rounded
+from infospan.functions.scalar import hash_uniform, rounded
 from infospan.operators import align, splits
 from infospan.operators import windows as W
 
@@ -28,9 +29,16 @@ def gaussian_mi(rho: Column) -> Column:
     return -0.5 * F.log2(1 - F.when(F.isnan(r2), 0.0).otherwise(r2))
 
 
+def corr(x: str, y: str) -> Column:
+    """Pearson's correlation of rows with both; null where one of them is constant, which F.corr takes for an error in ANSI mode."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def estimate(pairs: DataFrame, keys: list[str] | None = None, x: str = "x", y: str = "y") -> DataFrame:
     """(keys, n, mi) of scalar columns x and y."""
-    return pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), gaussian_mi(F.corr(x, y)).alias("mi"))
+    return pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), gaussian_mi(corr(x, y)).alias("mi"))
 
 
 def estimate_arrays(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -65,23 +73,34 @@ def joint_arrays(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 def lag_curve(x: DataFrame, y: DataFrame, lags: list[int], equalize: bool = False) -> DataFrame:
     """(lag, n, mi) of series (idx, x) and (idx, y); equalize: all lags use the indices that all of them have."""
+    return estimate(lag_pairs(x, y, lags, equalize), ["lag"])
+
+
+def lag_pairs(x: DataFrame, y: DataFrame, lags: list[int], equalize: bool = False) -> DataFrame:
     pairs = align.all_lags(x, y, lags)
     if equalize:
         full = pairs.groupBy("idx").agg(F.count("*").alias("c")).where(F.col("c") == len(lags))
         pairs = pairs.join(full.select("idx"), "idx", "left_semi")
-    return estimate(pairs, ["lag"])
+    return pairs
 
 
-def sweep(pairs: DataFrame, values: dict[str, list], prepare, repeats: int = 1, fraction: float = 1.0, seed: int = 0) -> DataFrame:
-    """(names..., run_id, n, mi) for each combination of values; `prepare(pairs)` reads the combination's columns and returns x and y.
+def sweep(pairs: DataFrame, values: dict[str, list], prepare=None, repeats: int = 1, fraction: float = 1.0, seed: int = 0, by: Callable[[DataFrame, list[str]], DataFrame] | None = None, keys: list[str] | None = None, key: str = "id") -> DataFrame:
+    """(keys, names..., run_id, n, mi) for each combination of values; `prepare(pairs)` reads the combination's columns and returns x and y.
 
-    repeats: runs on seeded subsamples of `fraction` of the rows.
+    repeats: runs on seeded subsamples of `fraction` of the rows. by: the estimate of a table by keys, estimate() if none. keys: tasks that pairs have already.
     """
+    keys = keys or []
+    tasks = sweep_tasks(pairs, values, repeats, fraction, seed, key)
+    return (by or estimate)(prepare(tasks) if prepare else tasks, [*keys, *values, "run_id"])
+
+
+def sweep_tasks(pairs: DataFrame, values: dict[str, list], repeats: int = 1, fraction: float = 1.0, seed: int = 0, key: str = "id") -> DataFrame:
+    """pairs once for each combination of values and run."""
     grid = align.parameter_grid(pairs.sparkSession, values | {"run_id": list(range(repeats))}).drop("task")
     tasks = pairs.crossJoin(F.broadcast(grid))  # the grid is given by parameters
     if fraction < 1:
-        tasks = tasks.where(F.pmod(F.xxhash64("id", "run_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
-    return estimate(prepare(tasks), [*values, "run_id"])
+        tasks = tasks.where(F.pmod(F.xxhash64(key, "run_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return tasks
 
 
 def summary(runs: DataFrame, keys: list[str], value: str = "mi", population: bool = False) -> DataFrame:
@@ -102,32 +121,81 @@ def rigorous_runs(pairs: DataFrame, key: str = "id", gammas: int = 10, seed: int
     return estimate(chunks, ["gamma", "chunk"]).select("gamma", "chunk", "n", F.col("mi").alias("train_mi"))
 
 
-def precision_curve(pairs: DataFrame, taus: list[float]) -> DataFrame:
-    """(tau, n, mi) with x rounded to multiples of each tau, and tau 0."""
+def precision_curve(pairs: DataFrame, taus: list[float], target: str = "x") -> DataFrame:
+    """(tau, n, mi) with x, y or both rounded to multiples of each tau, and tau 0."""
     listed = sorted({0.0, *map(float, taus)})
-    rows = pairs.withColumn("tau", F.explode(F.array(*map(F.lit, listed)))).withColumn("x", rounded(F.col("x"), F.col("tau")))
-    return estimate(rows, ["tau"])
+    rows = pairs.withColumn("tau", F.explode(F.array(*map(F.lit, listed))))
+    return estimate(rows.withColumns({c: rounded(F.col(c), F.col("tau")) for c in ("x", "y") if target in (c, "both")}), ["tau"])
+
+
+def noise_curve(pairs: DataFrame, taus: list[float], samples: int = 10, target: str = "x", seed: int = 0, key: str = "id") -> DataFrame:
+    """(tau, mi, mi_std, n_runs) with noise over (-tau/2, tau/2) added to x, y or both: mean and population deviation over `samples` draws, one at tau 0."""
+    listed = sorted({0.0, *map(float, taus)})
+    draws = F.flatten(F.array(*[F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(k).alias("draw")) for k in range(samples if t > 0 else 1)]) for t in listed]))
+    rows = pairs.withColumn("_d", F.explode(draws)).withColumns({"tau": F.col("_d.tau"), "draw": F.col("_d.draw")}).drop("_d")
+    moved = {c: F.col(c) + F.col("tau") * (hash_uniform(seed, c, F.col("draw"), F.col(key)) - 0.5) for c in ("x", "y") if target in (c, "both")}
+    return summary(estimate(rows.withColumns(moved), ["tau", "draw"]), ["tau"], population=True).withColumnRenamed("mi_mean", "mi")
 
 
 def joint_gaussian(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, n, mi_xz_y, mi_z_y, cmi) of scalar columns x, y, z: I(XZ;Y), I(Z;Y) and their difference."""
-    r = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.corr("x", "y").alias("xy"), F.corr("z", "y").alias("zy"), F.corr("x", "z").alias("xz"))
+    r = pairs.groupBy(*(keys or [])).agg(F.count("*").alias("n"), corr("x", "y").alias("xy"), corr("z", "y").alias("zy"), corr("x", "z").alias("xz"))
     r2 = F.try_divide(F.col("xy") * F.col("xy") + F.col("zy") * F.col("zy") - 2 * F.col("xy") * F.col("zy") * F.col("xz"), 1 - F.col("xz") * F.col("xz"))
     both, alone = gaussian_mi(F.sqrt(F.greatest(F.coalesce(r2, F.col("zy") * F.col("zy")), F.lit(0.0)))), gaussian_mi(F.col("zy"))
     return r.select(*(keys or []), "n", both.alias("mi_xz_y"), alone.alias("mi_z_y"), (both - alone).alias("cmi"))
 
 
+def conditional_arrays(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n, mi_xz_y, mi_z_y, cmi) of array columns x, y, z, taken as jointly Gaussian."""
+    keys = keys or []
+    terms = [F.struct(F.lit(joint).alias("_joint"), (F.concat("x", "z") if joint else F.col("z")).alias("x"), F.col("y")) for joint in (True, False)]
+    found = joint_arrays(samples.select(*keys, F.explode(F.array(*terms)).alias("_r")).select(*keys, "_r.*"), [*keys, "_joint"])
+    both = found.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(F.col("_joint"), F.col("mi"))).alias("mi_xz_y"), F.max(F.when(~F.col("_joint"), F.col("mi"))).alias("mi_z_y"))
+    return both.withColumn("cmi", F.col("mi_xz_y") - F.col("mi_z_y"))
+
+
+def rigorous_conditional_runs(samples: DataFrame, key: str = "id", gammas: int = 10, seed: int = 0) -> DataFrame:
+    """(gamma, chunk, n, train_mi): I(X;Y|Z) of every chunk, numbers or arrays."""
+    by = conditional_arrays if samples.schema["x"].dataType.typeName() == "array" else joint_gaussian
+    return by(splits.gamma_chunks(samples, key, gammas, seed), ["gamma", "chunk"]).select("gamma", "chunk", "n", F.col("cmi").alias("train_mi"))
+
+
+def rigorous_transfer_runs(series: DataFrame, horizon: int = 1, index: str = "idx", gammas: int = 10, seed: int = 0) -> DataFrame:
+    """(way, gamma, chunk, n, train_mi): the transfer both ways in every chunk of the pairs of now and then."""
+    chunks = splits.gamma_chunks(_ahead(series, horizon, index), index, gammas, seed)
+    return joint_gaussian(_both_ways(chunks, ["gamma", "chunk"]), ["way", "gamma", "chunk"]).select("way", "gamma", "chunk", "n", F.col("cmi").alias("train_mi"))
+
+
+def rigorous_scalar(runs: DataFrame, keys: list[str] | None = None, delta: float = 0.1, least: int = 5, **options) -> DataFrame:
+    """regression.extrapolated(); where fewer than `least` gammas stay in the linear region, the line is through all of them."""
+    keys = keys or []
+    pruned = regression.extrapolated(runs, keys, delta, least, **options)
+    every = regression.extrapolated(runs, keys, float("inf"), least, **options)
+    short = pruned.where(F.col("n_gammas") < least).select(*keys, F.lit(True).alias("_short"))
+    if keys:
+        kept, again = pruned.where(F.col("n_gammas") >= least), every.join(short.drop("_short"), keys, "left_semi")
+    else:
+        kept, again = pruned.where(F.col("n_gammas") >= least), every.crossJoin(F.broadcast(short)).drop("_short")  # one row each
+    return kept.withColumn("all_gammas", F.lit(False)).unionByName(again.withColumn("all_gammas", F.lit(True)))
+
+
 def conditional(x: DataFrame, y: DataFrame, z: DataFrame, key: str = "id") -> DataFrame:
     """I(X;Y|Z) of three tables (id, x), (id, y), (id, z)."""
     return joint_gaussian(x.join(y, key).join(z, key))
 
 
+def _ahead(series: DataFrame, horizon: int, index: str) -> DataFrame:
+    return series.join(series.select((F.col(index) - horizon).alias(index), F.col("x").alias("fx"), F.col("y").alias("fy")), index)
+
+
+def _both_ways(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    way = lambda name, x, y, z: F.struct(F.lit(name).alias("way"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))
+    return rows.select(*(keys or []), F.explode(F.array(way("xy", "x", "fy", "y"), way("yx", "y", "fx", "x"))).alias("r")).select(*(keys or []), "r.*")
+
+
 def transfer(series: DataFrame, horizon: int = 1, index: str = "idx") -> DataFrame:
     """(te_xy, te_yx, directionality) of a table (idx, x, y): what one's past tells of the other's future beyond its own past."""
-    ahead = series.select((F.col(index) - horizon).alias(index), F.col("x").alias("fx"), F.col("y").alias("fy"))
-    rows = series.join(ahead, index)
-    both = rows.select(F.explode(F.array(F.struct(F.lit("xy").alias("way"), F.col("x"), F.col("fy").alias("y"), F.col("y").alias("z")), F.struct(F.lit("yx").alias("way"), F.col("y").alias("x"), F.col("fx").alias("y"), F.col("x").alias("z")))).alias("r")).select("r.*")
-    te = joint_gaussian(both, ["way"]).agg(F.max(F.when(F.col("way") == "xy", F.col("cmi"))).alias("te_xy"), F.max(F.when(F.col("way") == "yx", F.col("cmi"))).alias("te_yx"))
+    te = joint_gaussian(_both_ways(_ahead(series, horizon, index)), ["way"]).agg(F.max(F.when(F.col("way") == "xy", F.col("cmi"))).alias("te_xy"), F.max(F.when(F.col("way") == "yx", F.col("cmi"))).alias("te_yx"))
     size = F.abs("te_xy") + F.abs("te_yx")
     return te.select("te_xy", "te_yx", F.when(size <= 1e-10, 0.0).otherwise((F.col("te_xy") - F.col("te_yx")) / F.nullif(size, F.lit(0.0))).alias("directionality"))
 
@@ -146,10 +214,21 @@ def transfer_histories(series: DataFrame, history: int, horizon: int = 1, index:
     return found.agg(te("xy"), te("yx")).select("te_xy", "te_yx", F.when(size <= 1e-10, 0.0).otherwise((F.col("te_xy") - F.col("te_yx")) / F.nullif(size, F.lit(0.0))).alias("directionality"))
 
 
-def pairwise(table: DataFrame, columns: list[str], others: list[str] | None = None, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(a, b, mi) of unordered pairs of columns, of all of columns x others, or of those listed; one pass over the table."""
+#: Pairs of columns that are aggregates of one plan; more are rows.
+PAIRS_IN_PLAN = 500
+
+
+def pairwise(table: DataFrame, columns: list[str], others: list[str] | None = None, pairs: list[tuple[str, str]] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, a, b, mi) of unordered pairs of columns, of all of columns x others, or of those listed; one pass over the table."""
     listed = pairs or (list(combinations(columns, 2)) if others is None else [(a, b) for a in columns for b in others])
-    one = table.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{k}") for k, (a, b) in enumerate(listed)])
+    if keys or len(listed) > PAIRS_IN_PLAN:
+        keys, names = keys or [], sorted({c for pair in listed for c in pair})
+        at = {c: k + 1 for k, c in enumerate(names)}
+        wide = table.select(*keys, F.array(*[F.col(c).cast("double") for c in names]).alias("v"))
+        places = table.sparkSession.createDataFrame([(a, b, at[a], at[b]) for a, b in listed], "a string, b string, i int, j int")
+        cells = wide.crossJoin(F.broadcast(places)).select(*keys, "a", "b", F.expr("v[i - 1]").alias("x"), F.expr("v[j - 1]").alias("y"))  # pairs are parameters; sums combine before the shuffle
+        return estimate(cells, [*keys, "a", "b"]).drop("n")
+    one = table.agg(*[corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(listed)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("rho")) for k, (a, b) in enumerate(listed)])
     return one.select(F.explode(rows).alias("x")).select("x.a", "x.b", gaussian_mi(F.col("x.rho")).alias("mi"))
 
@@ -162,16 +241,15 @@ def matrix(found: DataFrame, names: list[str]) -> DataFrame:
 
 
 def permutation_null(pairs: DataFrame, trials: int, key: str = "id", seed: int = 0) -> DataFrame:
-    """(trial, n, mi) with y dealt anew in each trial, negative values cut to 0 by the estimator itself.
+    """(trial, n, mi) with y dealt anew in each trial by an order of its own, negative values cut to 0 by the estimator itself."""
+    return permuted_runs(pairs, trials, estimate, key, seed)
 
-    Trial k shifts the ranks of one seeded order by its own offset, so all trials come from one ranking and one join.
-    """
-    n = pairs.count()
-    ranked = splits.ranked(pairs.select(key, "x", "y"), key, seed)
-    moved = ranked.select("rank", "y").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    step = F.pmod((F.col("trial") + 1) * F.lit(7919), F.lit(max(1, n - 1))) + 1
-    moved = moved.select("trial", F.pmod(F.col("rank") + step, F.lit(max(1, n))).alias("rank"), "y")
-    return estimate(ranked.select("rank", "x").join(moved, "rank"), ["trial"])
+
+def permuted_runs(pairs: DataFrame, trials: int, by: Callable[[DataFrame, list[str]], DataFrame], key: str = "id", seed: int = 0, column: str = "y") -> DataFrame:
+    """`by(table, ["trial"])` of pairs whose `column` is permuted in each trial; the other columns stay together."""
+    moved = splits.permutations(pairs.select(key, column), key, trials, seed).select("trial", "rank", column)
+    fixed = align.numbered(pairs.drop(column), key, "rank")
+    return by(fixed.join(moved, "rank"), ["trial"])
 
 
 def noise_ladder(runs: DataFrame, margin: float = 0.75, collapse: float = 0.05) -> DataFrame:
@@ -185,6 +263,13 @@ def regime(mi: Column, ceiling: Column, margin: float = 0.75, collapse: float =
     return F.when(~bad & (mi >= ceiling - margin), "pinned").when(bad | (mi <= collapse * ceiling), "collapsed").otherwise("detached")
 
 
+def dimensionality_summary(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, <metric>_mean, <metric>_std, n_runs) of the columns pr_eig and pr_singular that runs have, and mi as mi_mean; a single run's deviation is 0."""
+    found = [c for c in ("mi", "pr_eig", "pr_singular") if c in runs.columns]
+    means = [m for c in found for m in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))]
+    return runs.groupBy(*keys).agg(*means, F.count("*").alias("n_runs"))
+
+
 def suggested_level(ladder: DataFrame) -> DataFrame:
     """(level): the geometric middle of the detached levels."""
     levels = ladder.where(F.col("regime") == "detached")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.functions import bounds, regression, scalar, spectra
+from infospan.functions import bounds, corrupt, regression, scalar, spectra
 from infospan.operators import align, splits
 from infospan.operators import windows as W
-from infospan.plans import critics, generators, modes
+from infospan.plans import api, critics, generators, modes
 from infospan.sources import tables
 from infospan.streaming import binned
 
@@ -18,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Window size and step in seconds of the event queries, and rows scored against each other.
-SIZE, STEP, BATCH = 7200.0, 3600.0, 500
+SIZE, STEP, BATCH = 7200.0, 3600.0, 5000
 
 
 def query(sql: str | None = None):
@@ -39,6 +39,23 @@ def r6(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+HASH = "((({k} % 2147483647) * 48271 + {seed}) % 2147483647)"
+ORDER = "(({h} * 69621 + ({h} % 1009) * 16807) % 2147483647)".format(h=HASH)
+
+
+def order_sql(key: str, seed: int) -> str:
+    return ORDER.format(k=key, seed=seed)
+
+
+def hash_sql(*parts) -> str:
+    """SQL of scalar.hash_bits()."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 13))::BIGINT"
+
+
+def uniform_sql(*parts) -> str:
+    return f"(({hash_sql(*parts)} + 0.5) / 4503599627370496.0)"
+
+
 # ---------------------------------------------------------------- bounds over score matrices
 
 
@@ -47,7 +64,7 @@ def halves(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCORES = f"""
-v AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // {BATCH} AS batch, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT vec_id, (row_number() OVER (ORDER BY {order_sql('vec_id', 0)}, vec_id) - 1) // {BATCH} AS batch, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT a.batch, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.e[1:32], b.e[33:64]) AS s FROM v a JOIN v b USING (batch))"""
 STATS = """
 t AS (SELECT batch, i, max(s) AS top FROM s GROUP BY batch, i),
@@ -60,7 +77,7 @@ b AS (SELECT batch, count(*) AS n, avg(own) AS own, avg(own - top - ln(e)) AS nc
 
 def _bound(name: str, expression: str, change: str = "s") -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        scores = align.all_pairs(halves(spark, d), BATCH)
+        scores = bounds.scored_rows(halves(spark, d), BATCH)
         found = bounds.log_mean_exp_off_diagonal(scores, ["batch"]) if name == "logmeanexp_offdiag" else bounds.BOUNDS[name](scores, ["batch"])
         return r6(found, "mi")
 
@@ -74,7 +91,7 @@ _bound("nwj", "1 + own - exp(lme)", "s - 1")
 _bound("js", "-own_sp / n - off_sp / (n * (n - 1.0))")
 _bound("logmeanexp_offdiag", "lme")
 ORACLES["smile"] = f"WITH {SCORES.replace('AS s FROM v a', 'AS s0 FROM v a').replace('s AS (', 's0 AS (')}, s AS (SELECT batch, i, j, least(greatest(s0, -5.0), 5.0) AS s FROM s0), {STATS} SELECT batch, n, round(own - lme, 6) AS mi FROM b"
-QUERIES["smile"] = lambda spark, d: r6(bounds.smile(align.all_pairs(halves(spark, d), BATCH), ["batch"], 5.0), "mi")
+QUERIES["smile"] = lambda spark, d: r6(bounds.smile(bounds.scored_rows(halves(spark, d), BATCH, clip=5.0), ["batch"], 5.0), "mi")
 
 
 # ---------------------------------------------------------------- windows over events
@@ -279,9 +296,9 @@ def te_history(spark, d):
     return align.histories(daily(spark, d), 5, 1, value="x").select("idx", text("past"), text("future"))
 
 
-@query("SELECT a.k AS a, b.k AS b FROM (SELECT unnest(range(0, 8)) AS k) a JOIN (SELECT unnest(range(0, 8)) AS k) b ON a.k < b.k")
+@query("WITH c AS (SELECT DISTINCT unnest(range(0, len(embedding))) AS k FROM embeddings) SELECT a.k AS a, b.k AS b FROM c a JOIN c b ON a.k < b.k")
 def self_pairs(spark, d):
-    return align.self_pairs(read(spark, d, "embeddings").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("channel")))
+    return align.self_pairs(read(spark, d, "embeddings").select(F.explode(F.sequence(F.lit(0).cast("long"), (F.size("embedding") - 1).cast("long"))).alias("channel")))
 
 
 @query("SELECT DISTINCT o.o_orderpriority AS a, r.r_name AS b FROM orders o, region r")
@@ -336,14 +353,6 @@ def finite_values(spark, d):
     return align.require_finite(read(spark, d, "lineitem").select("l_quantity"), "l_quantity").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
 
-HASH = "((({k} % 2147483647) * 48271 + {seed}) % 2147483647)"
-ORDER = "(({h} * 69621 + ({h} % 1009) * 16807) % 2147483647)".format(h=HASH)
-
-
-def order_sql(key: str, seed: int) -> str:
-    return ORDER.format(k=key, seed=seed)
-
-
 @query(f"SELECT vec_id AS id FROM embeddings ORDER BY {order_sql('vec_id', 5)}, vec_id LIMIT 100")
 def random_subsample(spark, d):
     return align.subsample(halves(spark, d), 100, 5).select("id")
@@ -381,23 +390,19 @@ def channel_std(spark, d):
 
 
 COV = """
-a AS (SELECT vec_id, unnest(range(0, 8))::INT AS i, unnest(embedding[1:8])::DOUBLE AS a FROM embeddings),
-b AS (SELECT vec_id, unnest(range(0, 8))::INT AS j, unnest(embedding[33:40])::DOUBLE AS b FROM embeddings),
+a AS (SELECT vec_id, unnest(range(0, 32))::INT AS i, unnest(embedding[1:32])::DOUBLE AS a FROM embeddings),
+b AS (SELECT vec_id, unnest(range(0, 32))::INT AS j, unnest(embedding[33:64])::DOUBLE AS b FROM embeddings),
 c AS (SELECT i, j, covar_samp(a, b) / (stddev_pop(a) * stddev_pop(b)) AS c FROM a JOIN b USING (vec_id) GROUP BY i, j)"""
 
 
-def eight(spark: SparkSession, d: str) -> DataFrame:
-    return halves(spark, d).select("id", F.slice("x", 1, 8).alias("x"), F.slice("y", 1, 8).alias("y"))
-
-
 @query(f"WITH {COV} SELECT i, j, round(c, 6) AS c FROM c")
 def cross_covariance(spark, d):
-    return r6(spectra.cross_covariance(eight(spark, d)), "c")
+    return r6(spectra.cross_covariance(halves(spark, d)), "c")
 
 
 @query(f"WITH {COV}, g AS (SELECT p.j, q.j AS k, sum(p.c * q.c) AS g FROM c p JOIN c q ON p.i = q.i GROUP BY p.j, q.j) SELECT round((SELECT sum(c * c) ^ 2 FROM c) / (SELECT sum(g * g) FROM g), 5) AS pr_eig")
 def pr_eig(spark, d):
-    return spectra.pr_eig(spectra.cross_covariance(eight(spark, d))).select(F.round("pr_eig", 5).alias("pr_eig"))
+    return spectra.pr_eig(spectra.cross_covariance(halves(spark, d))).select(F.round("pr_eig", 5).alias("pr_eig"))
 
 
 @query()
@@ -457,7 +462,7 @@ def label_permutation(spark, d):
 
 CHUNKS = f"""
 r AS (SELECT vec_id AS id, embedding, row_number() OVER (ORDER BY {order_sql('vec_id', 1)}, vec_id) AS k FROM embeddings),
-k AS (SELECT g AS gamma, ntile(g) OVER (PARTITION BY g ORDER BY k) - 1 AS chunk, id, embedding[1]::DOUBLE AS x, (embedding[1] + 0.5 * embedding[2])::DOUBLE AS y FROM r, (SELECT unnest(range(1, 11))::INT AS g))"""
+k AS (SELECT g AS gamma, ntile(g) OVER (PARTITION BY g ORDER BY k) - 1 AS chunk, id, list_sum(embedding[1:32]::DOUBLE[]) AS x, list_sum(embedding[1:32]::DOUBLE[]) + 0.5 * list_sum(embedding[33:64]::DOUBLE[]) AS y, list_sum(embedding[17:48]::DOUBLE[]) AS z FROM r, (SELECT unnest(range(1, 11))::INT AS g))"""
 CHUNKS = CHUNKS.replace("ntile(g) OVER (PARTITION BY g ORDER BY k) - 1", "CASE WHEN k - 1 < (n % g) * (n // g + 1) THEN (k - 1) // (n // g + 1) ELSE n % g + (k - 1 - (n % g) * (n // g + 1)) // (n // g) END").replace("AS k FROM embeddings", "AS k, count(*) OVER () AS n FROM embeddings")
 
 
@@ -470,12 +475,13 @@ def gamma_chunks(spark, d):
 
 
 def scalars(spark: SparkSession, d: str) -> DataFrame:
-    """(id, x, y): one entry of the vectors and a mixture of it with another."""
-    e = F.col("embedding")
-    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), e[0].cast("double").alias("x"), (e[0] + 0.5 * e[1]).cast("double").alias("y"))
+    """(id, x, y, z): the sum of the vectors' first half, that with half the sum of the second, and the sum of the middle."""
+    total = lambda start: F.aggregate(F.slice(F.col("embedding").cast("array<double>"), start, 32), F.lit(0.0), lambda a, b: a + b)
+    parts = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), total(1).alias("a"), total(33).alias("b"), total(17).alias("z"))
+    return parts.select("id", F.col("a").alias("x"), (F.col("a") + 0.5 * F.col("b")).alias("y"), "z")
 
 
-SCALARS = "p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, (embedding[1] + 0.5 * embedding[2])::DOUBLE AS y FROM embeddings)"
+SCALARS = "p AS (SELECT vec_id AS id, list_sum(embedding[1:32]::DOUBLE[]) AS x, list_sum(embedding[1:32]::DOUBLE[]) + 0.5 * list_sum(embedding[33:64]::DOUBLE[]) AS y, list_sum(embedding[17:48]::DOUBLE[]) AS z FROM embeddings)"
 
 
 @query(f"WITH {SCALARS} SELECT count(*) AS n, {GMI.format(x='x', y='y')} AS mi FROM p")
@@ -563,17 +569,21 @@ def transfer_entropy(spark, d):
     return r6(modes.transfer(daily(spark, d)), "te_xy", "te_yx", "directionality")
 
 
-@query(f"""WITH r AS (SELECT embedding[1]::DOUBLE AS x, (embedding[1] + 0.5 * embedding[2])::DOUBLE AS y, row_number() OVER (ORDER BY {order_sql('vec_id', 6)}, vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings),
-t AS (SELECT unnest(range(0, 20))::INT AS trial) SELECT trial, count(*) AS n, {GMI.format(x='a.x', y='b.y')} AS mi FROM t, r a JOIN r b ON a.k = (b.k + (trial + 1) * 7919 % greatest(1, b.n - 1) + 1) % b.n GROUP BY trial""")
+PERMUTED = f"""r AS (SELECT *, row_number() OVER (ORDER BY id) AS k FROM p), t AS (SELECT unnest(range(0, 20))::INT AS trial),
+m AS (SELECT trial, y, row_number() OVER (PARTITION BY trial ORDER BY {hash_sql(6, 'trial', 'id')}, id) AS k FROM p, t)"""
+
+
+@query(f"WITH {SCALARS}, {PERMUTED} SELECT trial, count(*) AS n, {GMI.format(x='r.x', y='m.y')} AS mi FROM r JOIN m USING (k) GROUP BY trial")
 def permutation_null(spark, d):
     return r6(modes.permutation_null(scalars(spark, d), 20, seed=6), "mi")
 
 
 @query(f"""WITH {SCALARS}, t AS (SELECT tau, run FROM (SELECT unnest([0.05, 0.5])::DOUBLE AS tau), (SELECT unnest([0, 1])::BIGINT AS run)),
-q AS (SELECT tau, run, {GMI.format(x='tau * round_even(x / tau, 0)', y='y')} AS mi FROM p, t WHERE id % 2 = run GROUP BY tau, run)
+q AS (SELECT tau, run, {GMI.format(x='tau * round_even((x + run * tau / 2) / tau, 0)', y='y')} AS mi FROM p, t GROUP BY tau, run)
 SELECT tau, round(avg(mi), 5) AS mi_mean, round(coalesce(stddev_samp(mi), 0), 5) AS mi_std, count(*) AS n_runs FROM q GROUP BY tau""")
 def sweep_summary(spark, d):
-    prepare = lambda t: t.where(F.col("id") % 2 == F.col("run_id")).withColumn("x", scalar.rounded(F.col("x"), F.col("tau")))
+    # Runs differ in where the steps of the rounding begin.
+    prepare = lambda t: t.withColumn("x", scalar.rounded(F.col("x") + F.col("run_id") * F.col("tau") / 2, F.col("tau")))
     runs = r6(modes.sweep(scalars(spark, d), {"tau": [0.05, 0.5]}, prepare, repeats=2), "mi")
     return modes.summary(runs, ["tau"]).withColumns({c: F.round(c, 5) for c in ("mi_mean", "mi_std")})
 
@@ -606,15 +616,26 @@ def negative_guard(spark, d):
     return regression.guarded(runs).select("k", "train_mi", "raw_train_mi", "all_mi_negative")
 
 
-@query(f"""WITH {DAILY}, t AS (SELECT w, lag FROM (SELECT unnest([5, 10, 20, 40, 80])::INT AS w), (SELECT unnest([-1, 0, 1])::INT AS lag)),
-h AS (SELECT w AS "window", lag, {GMI.format(x='a.x', y='b.y')} AS mi FROM t, p a JOIN p b ON b.idx = a.idx + lag WHERE a.idx % w < 4 GROUP BY w, lag),
-z AS (SELECT * FROM h WHERE lag = 0), f AS (SELECT median(mi) AS floor FROM (SELECT mi FROM z ORDER BY "window" LIMIT 3)), k AS (SELECT max(mi) AS peak FROM z)
-SELECT "window", mi FROM z, f, k WHERE mi > floor + 0.1 * (peak - floor) ORDER BY "window" LIMIT 1""")
+CONTOUR_SIZES, CONTOUR_LAGS = [5, 10, 20, 40, 80], [-1, 0, 1]
+HEAT = f"""{DAILY}, e AS (SELECT min(idx) AS lo, max(idx) AS hi FROM p), s AS (SELECT unnest({CONTOUR_SIZES})::INT AS w),
+k AS (SELECT w AS "window", i AS idx, avg(x) AS x, avg(y) AS y FROM (SELECT w, x, y, idx, lo, hi, unnest(range(greatest(idx - w + 1, lo), least(idx, hi - w + 1) + 1)) AS i FROM p, s, e) GROUP BY w, i),
+t AS (SELECT unnest({CONTOUR_LAGS})::INT AS lag),
+h AS (SELECT a."window", lag, {GMI.format(x='a.x', y='b.y')} AS mi FROM t, k a JOIN k b ON b."window" = a."window" AND b.idx = a.idx + lag GROUP BY a."window", lag)"""
+
+
+def heat(spark: SparkSession, d: str) -> DataFrame:
+    return r6(modes.estimate(modes.windowed_pairs(daily(spark, d), CONTOUR_SIZES, CONTOUR_LAGS), ["window", "lag"]), "mi")
+
+
+@query(f"WITH {HEAT} SELECT * FROM h")
+def window_lag_heat(spark, d):
+    return heat(spark, d).drop("n")
+
+
+@query(f"""WITH {HEAT}, z AS (SELECT * FROM h WHERE lag = 0), f AS (SELECT median(mi) AS floor FROM (SELECT mi FROM z ORDER BY "window" LIMIT 3)), c AS (SELECT max(mi) AS peak FROM z)
+SELECT "window", mi FROM z, f, c WHERE mi > floor + 0.1 * (peak - floor) ORDER BY "window" LIMIT 1""")
 def causal_contour(spark, d):
-    s = daily(spark, d)
-    pairs = align.all_lags(s.select("idx", "x"), s.select("idx", "y"), [-1, 0, 1]).withColumn("window", F.explode(F.array(*map(F.lit, [5, 10, 20, 40, 80]))))
-    heat = r6(modes.estimate(pairs.where(F.col("idx") % F.col("window") < 4), ["window", "lag"]), "mi")
-    return modes.causal_contour(heat)
+    return modes.causal_contour(heat(spark, d))
 
 
 @query()
@@ -645,22 +666,58 @@ def conservative_epoch(spark, d):
     return runs.select("k", regression.conservative_epoch(F.col("history"), 0.8, 0.0).alias("epoch"))
 
 
-@query()
+NOISE = f"sqrt(-2 * ln({uniform_sql(0, 9, 'id', 'channel')})) * cos(2 * pi() * {uniform_sql(1, 9, 'id', 'channel')})"
+
+
+@query(f"""WITH c AS (SELECT vec_id AS id, unnest(range(0, 32))::INT AS channel, unnest(embedding[1:32])::DOUBLE AS v FROM embeddings), d AS (SELECT channel, stddev_pop(v) AS sd FROM c GROUP BY channel)
+SELECT level AS sigma_add, id, channel, round(v + level * sd * {NOISE}, 5) + 0.0 AS v FROM c JOIN d USING (channel), (SELECT unnest([0.25, 1.0])::DOUBLE AS level)""")
 def fixed_noise(spark, d):
-    return splits.fixed_noise(halves(spark, d).select("id", "x"), [0.25, 1.0], seed=9)
+    noisy = splits.fixed_noise(halves(spark, d).select("id", "x"), [0.25, 1.0], seed=9)
+    return noisy.select("sigma_add", "id", F.posexplode("x").alias("channel", "v")).withColumn("v", F.round("v", 5) + 0.0)  # no negative zero
 
 
-@query()
+SPLITS = [splits.positions("random", 64, 3, k) for k in range(3)]
+SPLIT_SQL = " UNION ALL ".join(f"SELECT {k} AS split, {[c + 1 for c in a]} AS a, {[c + 1 for c in b]} AS b" for k, (a, b) in enumerate(SPLITS))
+
+
+@query(f"""WITH o AS ({SPLIT_SQL}), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+a AS (SELECT split, vec_id, unnest(range(0, 32)) AS i, unnest(list_transform(a, lambda c: e[c])) AS a FROM v, o), b AS (SELECT split, vec_id, unnest(range(0, 32)) AS j, unnest(list_transform(b, lambda c: e[c])) AS b FROM v, o),
+c AS (SELECT split, i, j, covar_samp(a, b) / (stddev_pop(a) * stddev_pop(b)) AS c FROM a JOIN b USING (split, vec_id) GROUP BY split, i, j),
+g AS (SELECT p.split, p.j, q.j AS k, sum(p.c * q.c) AS g FROM c p JOIN c q USING (split, i) GROUP BY p.split, p.j, q.j)
+SELECT x.split::INT AS split, round(s2 * s2 / s4, 5) AS pr_eig FROM (SELECT split, sum(c * c) AS s2 FROM c GROUP BY split) x JOIN (SELECT split, sum(g * g) AS s4 FROM g GROUP BY split) y USING (split)""")
 def dimensionality(spark, d):
-    """Participation ratios of the cross-covariance between random halves of the channels, for three splits."""
-    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    """Participation ratios of the cross-covariance between random halves of all channels, for three splits."""
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    return api.run(vectors, "dimensionality", n_splits=3, seed=3).table.select("split", F.round("pr_eig", 5).alias("pr_eig"))
+
+
+@query()
+def dimensionality_ladder(spark, d):
+    """The same with fixed noise added at two levels, the channels halved as an image of 8 x 8."""
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    return r6(api.run(vectors, "dimensionality", split_method="diagonal", shape=(8, 8), levels=(0.5, 2.0), whitening="zca").table, "pr_eig", "pr_singular", "entropy", "effective_rank")
+
+
+@query("SELECT count(*) AS n, round(sum(a.embedding[1]::DOUBLE * b.embedding[64]::DOUBLE), 5) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3")
+def temporal_views(spark, d):
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    pairs = api.view_pairs(vectors, 1, "temporal", 0, lag=3)
+    return pairs.agg(F.count("*").alias("n"), F.round(F.sum(F.get("x", F.lit(0)) * F.get("y", F.lit(63))), 5).alias("total"))
+
+
+SIDE_LISTS = {m: splits.positions(m, 64, shape=(8, 8), first=[1, 5, 9]) for m in ("index", *SIDES)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, vec_id AS id, round(list_sum(list_transform({[k + 1 for k in a]}, lambda c: embedding[c]::DOUBLE)), 5) AS x, round(list_sum(list_transform({[k + 1 for k in b]}, lambda c: embedding[c]::DOUBLE)), 5) AS y FROM embeddings" for m, (a, b) in SIDE_LISTS.items()))
+def image_views(spark, d):
+    """The sums of both views of every vector, taken as an image of 8 x 8."""
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), 5).alias(c)
     found = None
-    for split in range(3):
-        order = sorted(range(64), key=lambda k: (scalar.seed_of("split", split, k), k))
-        part = v.select("id", F.lit(split).alias("split"), align.picked("v", order[:32]).alias("x"), align.picked("v", order[32:]).alias("y"))
+    for m, (a, b) in SIDE_LISTS.items():
+        part = vectors.select(F.lit(m).alias("method"), "id", align.picked("x", a).alias("x"), align.picked("x", b).alias("y")).select("method", "id", total("x"), total("y"))
         found = part if found is None else found.union(part)
-    cov = spectra.cross_covariance(found, keys=["split"])
-    return r6(spectra.pr_eig(cov, ["split"]), "pr_eig")
+    return found
 
 
 @query()
@@ -678,3 +735,92 @@ def synthetic_gaussians(spark, d):
 @query(f"""WITH {EV} SELECT event_type AS neuron, floor(t / 3600)::BIGINT AS hour, count(*) AS n FROM e GROUP BY 1, 2""")
 def stream_binned(spark, d):
     return binned.run_once(spark, d)
+
+
+# ---------------------------------------------------------------- streams in pairs, corruption, grids and rigorous scalars
+
+
+@query(f"""WITH {EV}, v AS (SELECT w FROM (SELECT DISTINCT w, t FROM x) GROUP BY w HAVING count(*) >= 25), i AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS id FROM v)
+SELECT id AS w, 5 AS slots, count(*) AS events FROM i JOIN x USING (w) GROUP BY id""")
+def paired_streams(spark, d):
+    """A signal and spikes on one grid: only windows with 25 times or more stay."""
+    options = {"seconds": 1800.0, "min_coverage": 5.0}
+    wx, wy = tables.paired(event_signal(spark, d), event_spikes(spark, d), "continuous", "spike", SIZE, STEP, options, {"bin_size": 1800.0})
+    y = wy.groupBy("w").agg(F.round(F.sum("value") * 1800.0).cast("long").alias("events"))
+    return wx.groupBy("w").agg(F.count("*").cast("int").alias("slots")).join(y, "w")
+
+
+@query(f"WITH {EV} SELECT event_type AS neuron, round(sum(0.5 * round_even((t - t0) / 0.5, 0)), 4) AS rounded, round(sum((t - t0) + 0.2 * ({uniform_sql(4, 'event_id')} - 0.5)), 4) AS jittered FROM (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS t FROM events), g GROUP BY event_type")
+def corrupted_spikes(spark, d):
+    ev = read(spark, d, "events").select("event_id", F.col("event_type").alias("neuron"), tables.seconds("ts").alias("t"))
+    first = ev.agg(F.min("t").alias("t0"))
+    cells = ev.crossJoin(F.broadcast(first)).select("event_id", "neuron", (F.col("t") - F.col("t0")).alias("value"))  # one row
+    noisy = corrupt.apply_noise(cells, "spike", 0.2, 4, ["event_id"]).select("event_id", F.col("value").alias("noisy"))
+    both = corrupt.apply_precision(cells, "spike", 0.5).join(noisy, "event_id")
+    return both.groupBy("neuron").agg(F.round(F.sum("value"), 4).alias("rounded"), F.round(F.sum("noisy"), 4).alias("jittered"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN v <> 0 THEN v + 0.1 * sqrt(-2 * ln({uniform_sql(0, 5, 'l_orderkey', 'l_linenumber')})) * cos(2 * pi() * {uniform_sql(1, 5, 'l_orderkey', 'l_linenumber')}) ELSE v END, 5) + 0.0 AS continuous,
+round(CASE WHEN v > 0 THEN greatest(v + 0.1 * ({uniform_sql(5, 'l_orderkey', 'l_linenumber')} - 0.5), 0) ELSE v END, 5) + 0.0 AS binned FROM (SELECT *, l_discount AS v FROM lineitem)""")
+def noisy_cells(spark, d):
+    keys = ["l_orderkey", "l_linenumber"]
+    cells = read(spark, d, "lineitem").select(*keys, F.col("l_discount").alias("continuous"), F.col("l_discount").alias("binned"))
+    noisy = corrupt.apply_noise(corrupt.apply_noise(cells, "continuous", 0.1, 5, keys, "continuous"), "binned", 0.1, 5, keys, "binned")
+    return noisy.withColumns({c: F.round(c, 5) + 0.0 for c in ("continuous", "binned")})  # no negative zero
+
+
+@query(f"""WITH {SCALARS}, t AS (SELECT 0.0::DOUBLE AS tau, 0 AS draw UNION ALL SELECT tau, draw FROM (SELECT unnest([0.5, 2.0])::DOUBLE AS tau), (SELECT unnest(range(0, 4))::INT AS draw)),
+q AS (SELECT tau, draw, {GMI.format(x='xx', y='y').replace('round(', '(').replace(', 6)', ')')} AS mi FROM (SELECT *, x + tau * ({uniform_sql(2, "'x'", 'draw', 'id')} - 0.5) AS xx FROM p, t) GROUP BY tau, draw)
+SELECT tau, round(avg(mi), 5) AS mi, round(stddev_pop(mi), 5) AS mi_std, count(*) AS n_runs FROM q GROUP BY tau""")
+def noise_precision(spark, d):
+    found = modes.noise_curve(scalars(spark, d), [0.5, 2.0], samples=4, seed=2)
+    return found.withColumns({c: F.round(c, 5) for c in ("mi", "mi_std")})
+
+
+@query(f"""WITH {DAILY}, t AS (SELECT lag, tau FROM (SELECT unnest([-1, 0, 1])::INT AS lag), (SELECT unnest([2.0, 20.0])::DOUBLE AS tau)),
+q AS (SELECT lag, tau, {GMI.format(x='tau * round_even(a.x / tau, 0)', y='b.y')} AS mi FROM t, p a JOIN p b ON b.idx = a.idx + lag GROUP BY lag, tau)
+SELECT lag, tau, mi + 0.0 AS mi_mean, 0.0::DOUBLE AS mi_std, 2::BIGINT AS n_runs FROM q""")
+def lag_grid(spark, d):
+    prepare = lambda t: t.withColumn("x", scalar.rounded(F.col("x"), F.col("tau")))
+    return r6(api.run(daily(spark, d), "lag", lags=(-1, 0, 1), grid={"tau": [2.0, 20.0]}, prepare=prepare, repeats=2).table, "mi_mean", "mi_std")
+
+
+@query("WITH t AS (SELECT unnest([0.5, 1.0])::DOUBLE AS power), q AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, power, {GMI.format(x=f'(({a} + 1) ^ power)', y=b)} AS mi FROM lineitem, t GROUP BY power" for a, b in [("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax")]) + ") SELECT a, b, power, mi AS mi_mean, 0.0::DOUBLE AS mi_std, 1::BIGINT AS n_runs FROM q")
+def pairwise_grid(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber"))
+    prepare = lambda t: t.withColumn("l_quantity", F.pow(F.col("l_quantity") + 1, F.col("power")))
+    found = api.run(rows, "pairwise", columns=("l_quantity", "l_extendedprice", "l_tax"), pairs=(("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax")), grid={"power": [0.5, 1.0]}, prepare=prepare)
+    return r6(found.table, "mi_mean", "mi_std")
+
+
+@query(f"""WITH {CHUNKS.replace('unnest(range(1, 11))', 'unnest(range(1, 6))').replace('r AS (SELECT vec_id', 'o AS (SELECT vec_id').replace('FROM r,', 'FROM o,')}, q AS (SELECT * FROM k), {JOINT.format(k='gamma, chunk, ', g='GROUP BY gamma, chunk')}
+SELECT gamma, chunk, n, round(b - a, 6) AS train_mi FROM m""")
+def rigorous_conditional_runs(spark, d):
+    return r6(modes.rigorous_conditional_runs(scalars(spark, d), gammas=5, seed=1), "train_mi")
+
+
+@query()
+def rigorous_conditional(spark, d):
+    return api.run(scalars(spark, d), "conditional", rigorous=True, seed=1).table
+
+
+@query(f"""WITH {DAILY}, f AS (SELECT a.idx, a.x, a.y, b.x AS fx, b.y AS fy FROM p a JOIN p b ON b.idx = a.idx + 1),
+oo AS (SELECT *, row_number() OVER (ORDER BY {order_sql('idx', 1)}, idx) AS k, count(*) OVER () AS nn FROM f),
+c AS (SELECT g AS gamma, CASE WHEN k - 1 < (nn % g) * (nn // g + 1) THEN (k - 1) // (nn // g + 1) ELSE nn % g + (k - 1 - (nn % g) * (nn // g + 1)) // (nn // g) END AS chunk, x, y, fx, fy FROM oo, (SELECT unnest(range(1, 6))::INT AS g)),
+q AS (SELECT 'xy' AS way, gamma, chunk, x, fy AS y, y AS z FROM c UNION ALL SELECT 'yx', gamma, chunk, y, fx, x FROM c), {JOINT.format(k='way, gamma, chunk, ', g='GROUP BY way, gamma, chunk')}
+SELECT way, gamma, chunk, n, round(b - a, 6) AS train_mi FROM m""")
+def rigorous_transfer_runs(spark, d):
+    return r6(modes.rigorous_transfer_runs(daily(spark, d), gammas=5, seed=1), "train_mi")
+
+
+@query()
+def conditional_arrays(spark, d):
+    """The vectors' first and last thirds, given the middle."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.slice(F.col("embedding").cast("array<double>"), at, 21).alias(c) for c, at in (("x", 1), ("z", 22), ("y", 43))])
+    return r6(modes.conditional_arrays(v), "mi_xz_y", "mi_z_y", "cmi")
+
+
+@query(f"""WITH {SCALARS}, {PERMUTED.replace('SELECT trial, y,', 'SELECT trial, y,')}, q AS (SELECT trial, r.x, m.y, r.z FROM r JOIN m USING (k)), {JOINT.format(k='trial, ', g='GROUP BY trial').replace('r AS (SELECT trial', 'rr AS (SELECT trial').replace('FROM r)', 'FROM rr)')}
+SELECT trial, n, round(b - a, 6) AS cmi FROM m2""".replace('m AS (SELECT *, -0.5', 'm2 AS (SELECT *, -0.5'))
+def conditional_null(spark, d):
+    return r6(api.run(scalars(spark, d), "permutation", of="conditional", n_permutations=20, seed=6).table.select("trial", "n", "cmi"), "cmi")

@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; in a local folder only where the session names none."""
+    """A new path in spark.checkpoint.dir; in local mode in a local folder where the session names none, on a cluster an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="infospan-"))
         folder = context.getCheckpointDir()
     return f"{folder.rstrip('/')}/infospan-{name}-{uuid.uuid4().hex}"

@@ -53,14 +53,14 @@ def vector_halves(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 def single(df: DataFrame, kind: str, grid=None, **options) -> DataFrame:
     """One stream as windows: `static` as it is; `continuous`, `spike` and `categorical` by their encodings on a grid.
 
-    options: seconds (continuous), bin_size (spike: binned), encoding and slots and categories (categorical).
+    options: seconds or sample_rate (continuous), bin_size (spike: binned), encoding and slots and categories (categorical).
     """
     from infospan.operators import windows as W
 
     if kind == "static":
         return df
     if kind == "continuous":
-        return W.signal_windows(df, grid, options["seconds"])
+        return W.signal_windows(df, grid, options.get("seconds") or 1 / options["sample_rate"])
     if kind == "spike":
         return W.binned_spikes(df, grid, options["bin_size"]) if options.get("bin_size") else W.spike_windows(df, grid, options.get("cap"))
     if kind == "categorical":
@@ -71,6 +71,22 @@ def single(df: DataFrame, kind: str, grid=None, **options) -> DataFrame:
     raise DataShapeError(f"kind is one of {', '.join(KINDS)}")
 
 
+def valid_windows(df: DataFrame, kind: str, grid, **options) -> DataFrame:
+    """(w): windows of the grid with enough of the stream: a spike, or distinct times for `min_coverage` (0.2) of the slots.
+
+    seconds, or sample_rate, gives the slots of continuous and categorical streams; categorical ones may name `slots`.
+    """
+    from infospan.operators import windows as W
+
+    if kind == "spike":
+        return W.spike_coverage(df, grid)
+    if kind == "static":
+        return df.select("w").distinct()
+    seconds = options.get("seconds") or (1 / options["sample_rate"] if options.get("sample_rate") else None)
+    slots = options.get("slots") or (W.slots_of(grid.size, seconds, kind == "categorical") if seconds else 1)
+    return W.covered(df, grid, slots, options.get("min_coverage", 0.2)).select("w")
+
+
 def paired(x: DataFrame, y: DataFrame, kind_x: str, kind_y: str | None = None, size: float = 1.0, step: float | None = None, options_x: dict | None = None, options_y: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Two streams on the grid of their common time, windows valid in both, renumbered from 0; y takes x's kind and options if it has none."""
     from infospan.operators import align
@@ -80,7 +96,7 @@ def paired(x: DataFrame, y: DataFrame, kind_x: str, kind_y: str | None = None, s
     options_y = options_x if options_y is None else options_y
     grid = W.grid_for(size, x, y, step=step)
     wx, wy = single(x, kind_x, grid, **options_x), single(y, kind_y, grid, **options_y)
-    both = align.paired_windows(wx, wy)
+    both = align.paired_windows(valid_windows(x, kind_x, grid, **options_x), valid_windows(y, kind_y, grid, **options_y))
     return tuple(w.join(both, "w").drop("w").withColumnRenamed("id", "w") for w in (wx, wy))
 
 
