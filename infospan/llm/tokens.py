@@ -19,7 +19,7 @@ from infospan.llm.shared import held
 
 #: Chunks that a worker remembers before it starts afresh, and bytes of text handled at once.
 REMEMBERED = 600_000
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 6_000_000
 #: Ids in a worker's table above which texts with added tokens, which are encoded whole, make it start afresh.
 WHOLE_IDS = 16_000_000
 #: Marks of a text's first chunk and of one that follows its neighbour without a space.
@@ -171,9 +171,11 @@ class ChunkedTokenizer:
             bounds = np.concatenate(([0], np.cumsum(counts)))
         entries = np.insert(entries, bounds[1:], 0)
         bounds = bounds + np.arange(len(bounds))
-        sizes = self.sizes[entries].astype(np.int64)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        where = np.repeat(self.starts[entries] - ends[:-1], sizes) + np.arange(ends[-1])
+        sizes = self.sizes[entries]
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        kind = np.int32 if max(self.used, ends[-1]) < 1 << 31 else np.int64
+        where = np.repeat((self.starts[entries] - ends[:-1]).astype(kind), sizes)
+        where += np.arange(ends[-1], dtype=kind)
         ids, counts = self.pool[where], ends[bounds[1:]] - ends[bounds[:-1]]
         if whole.any() and self.used > WHOLE_IDS:
             self.clear()
