@@ -1,21 +1,23 @@
 """A small learned critic: two multilayer encoders whose inner products score pairs, trained on a lower bound.
 
-Tasks are rows of a table; Spark groups a task's samples and hands them to train(), which holds at most
-`max_rows` of them, the documented bound of one training.
+Training is data-parallel. A task's rows are dealt by a seeded hash into shards of about `shard_rows`; in each epoch every
+shard takes its gradient steps from the task's weights, and the shards' weights are averaged by their rows. The bound is
+evaluated on groups of about `max_eval_samples` test rows, all of them, and averaged. The driver holds a task's weights, whose
+number depends on the layers alone. A task of one shard is trained as on one machine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from infospan.errors import TrainingError
-from infospan.functions.scalar import NATS_IN_BIT, hash_order
+from infospan.functions.scalar import NATS_IN_BIT, hash_order, seed_of
+from infospan.sources.store import scratch
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,7 @@ class Training:
     min_improvement: float = 0.001
     estimator: str = "infonce"
     clip: float = 5.0
-    max_rows: int = 20_000
+    shard_rows: int = 20_000
     max_eval_samples: int = 5_000
     seed: int = 0
 
@@ -77,10 +79,25 @@ class Encoder:
         at = 0
         for group in (self.w, self.b):
             for k, p in enumerate(group):
-                group[k] = flat[at : at + p.size].reshape(p.shape)
+                group[k] = flat[at : at + p.size].reshape(p.shape).copy()
                 at += p.size
         return self
 
+    def state(self) -> np.ndarray:
+        """Weights and both of Adam's moments."""
+        return np.concatenate([self.flat(), *[p.ravel() for p in self.m + self.v]])
+
+    def restore(self, state: np.ndarray, step: int) -> Encoder:
+        n = len(state) // 3
+        self.load(state[:n])
+        at = n
+        for group in (self.m, self.v):
+            for k, q in enumerate(group):
+                group[k] = state[at : at + q.size].reshape(q.shape).copy()
+                at += q.size
+        self.step = step
+        return self
+
     def learn(self, grad: np.ndarray, rate: float) -> None:
         """One ascent step for the gradient of the last output."""
         gw, gb = [], []
@@ -96,74 +113,166 @@ class Encoder:
             p += rate * (self.m[i] / (1 - 0.9**self.step)) / (np.sqrt(self.v[i] / (1 - 0.999**self.step)) + 1e-8)
 
 
-def train(x: np.ndarray, y: np.ndarray, t: Training) -> dict:
-    """Trains on the first rows, tests on the last; reports the epoch with the best test bound, in nats."""
+def encoders(inputs: tuple[int, int], t: Training, states: list[np.ndarray] | None = None, step: int = 0) -> tuple[Encoder, Encoder]:
     rng = np.random.default_rng(t.seed)
-    scales = [(v.mean(0), np.maximum(v.std(0), 1e-8)) for v in (x, y)]
-    x, y = ((v - m) / d for v, (m, d) in zip((x, y), scales, strict=True))
-    cut = int(len(x) * t.train_fraction)
-    if min(cut, len(x) - cut) < 2:
-        raise TrainingError("too few rows to train on")
-    f, g = Encoder(x.shape[1], t, rng), Encoder(y.shape[1], t, rng)
-    scale = 1 / np.sqrt(t.embedding_dim)
-    evaluate = lambda a, b: bound_and_gradient(scale * f(a) @ g(b).T, t.estimator, t.clip)[0]
-    history, best, missed, kept = [], (-np.inf, 0, 0.0), 0, None
-    part = min(cut, len(x) - cut, t.max_eval_samples)
-    for epoch in range(t.n_epochs):
-        order = rng.permutation(cut)
-        for i in range(0, cut - 1, t.batch_size):
-            rows = order[i : i + t.batch_size]
-            if len(rows) < 2:
-                continue
+    pair = Encoder(inputs[0], t, rng), Encoder(inputs[1], t, rng)
+    return pair if states is None else tuple(e.restore(np.asarray(s), step) for e, s in zip(pair, states, strict=True))
+
+
+def steps(x: np.ndarray, y: np.ndarray, f: Encoder, g: Encoder, t: Training, seed: int) -> None:
+    """One epoch's gradient steps over the rows, in batches of a seeded order."""
+    scale, order = 1 / np.sqrt(t.embedding_dim), np.random.default_rng(seed).permutation(len(x))
+    for i in range(0, len(x) - 1, t.batch_size):
+        rows = order[i : i + t.batch_size]
+        if len(rows) > 1:
             a, b = f(x[rows]), g(y[rows])
             _, grad = bound_and_gradient(scale * a @ b.T, t.estimator, t.clip)
             f.learn(scale * grad @ b, t.learning_rate)
             g.learn(scale * grad.T @ a, t.learning_rate)
-        score = evaluate(x[cut : cut + t.max_eval_samples], y[cut : cut + t.max_eval_samples])
-        if not np.isfinite(score):
-            raise TrainingError(f"the bound is {score} in epoch {epoch}")
-        history.append(score)
-        if best[0] == -np.inf or (score - best[0]) / (abs(best[0]) + 1e-8) > t.min_improvement:
-            best, missed = (score, epoch, evaluate(x[:part], y[:part])), 0
-            kept = [[*m, *d, *e.flat()] for e, (m, d) in zip((f, g), scales, strict=True)]
-        elif (missed := missed + 1) >= t.patience:
-            break
-    negative = max(history) <= 0
-    return {"train_mi": 0.0 if negative else best[2], "raw_train_mi": best[2], "test_mi": best[0], "best_epoch": best[1], "all_mi_negative": negative, "eval_size": min(len(x) - cut, t.max_eval_samples), "test_mi_history": history, "x_weights": kept[0], "y_weights": kept[1]}
+
+
+def evaluated(x: np.ndarray, y: np.ndarray, f: Encoder, g: Encoder, t: Training) -> float:
+    return bound_and_gradient(f(x) @ g(y).T / np.sqrt(t.embedding_dim), t.estimator, t.clip)[0]
 
 
 RUN = "train_mi double, raw_train_mi double, test_mi double, best_epoch int, all_mi_negative boolean, eval_size int, test_mi_history array<double>, x_weights array<double>, y_weights array<double>, error string"
 
 
+@dataclass
+class _Task:
+    """What the driver knows of a task: scales, weights, the best epoch so far."""
+
+    scales: list[tuple[np.ndarray, np.ndarray]]
+    states: list[np.ndarray]
+    step: int = 0
+    history: list[float] = field(default_factory=list)
+    best: tuple[float, int, float] = (-np.inf, 0, 0.0)
+    kept: list | None = None
+    missed: int = 0
+    eval_size: int = 0
+    error: str | None = None
+    over: bool = False
+
+    def note(self, epoch: int, score: float, own: float, size: int, t: Training) -> None:
+        if not np.isfinite(score):
+            self.error, self.over = f"the bound is {score} in epoch {epoch}", True
+            return
+        self.history.append(score)
+        self.eval_size = size
+        if self.best[0] == -np.inf or (score - self.best[0]) / (abs(self.best[0]) + 1e-8) > t.min_improvement:
+            self.best, self.missed = (score, epoch, own), 0
+            self.kept = [[*m, *d, *s[: len(s) // 3]] for s, (m, d) in zip(self.states, self.scales, strict=True)]
+        else:
+            self.missed += 1
+            self.over = self.missed >= t.patience
+
+    def row(self, unit: float) -> tuple:
+        if self.error or not self.history:
+            return (*[None] * 9, self.error or "too few rows to train on")
+        negative = max(self.history) <= 0
+        score, epoch, own = self.best
+        return (0.0 if negative else own / unit, own / unit, score / unit, epoch, negative, self.eval_size, [h / unit for h in self.history], [float(w) for w in self.kept[0]], [float(w) for w in self.kept[1]], None)
+
+
 def learned(samples: DataFrame, training: Training, keys: list[str] | None = None, key: str = "id", bits: bool = True) -> DataFrame:
-    """(keys, run columns) of samples (keys, id, x array, y array): one training for each task.
+    """(keys, run columns) of samples (keys, id, x array, y array): one training for each task, over all its rows.
 
-    A task with more than max_rows rows is trained on a seeded sample of that size. A failed training gives a row with
-    its error and null results.
+    A share `train_fraction` of the rows, the first by a seeded hash, trains; the rest tests. A failed training gives a row with its
+    error and null results. The tasks are those of parameters, so their weights fit the driver.
     """
-    keys = keys or []
-    table = samples.select(*keys, F.col(key).alias("_id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
-    sizes = table.groupBy(*keys).agg(F.count("*").alias("_n"))
-    table = table.join(sizes, keys) if keys else table.crossJoin(F.broadcast(sizes))  # one row
-    h = hash_order(F.col("_id"), training.seed)
-    table = table.withColumn("_h", h).where(F.col("_h") < F.lit(2147483647.0) * training.max_rows / F.col("_n"))
-    group = keys or ["_one"]
-    table = table if keys else table.withColumn("_one", F.lit(0))
+    keys, t, spark = keys or [], training, samples.sparkSession
+    table = samples.select(F.struct(*keys).alias("task") if keys else F.lit(0).alias("task"), F.col(key).alias("_id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+    table = table.withColumn("u", hash_order(F.col("_id"), t.seed) / 2147483647.0)
+    sizes = table.groupBy("task").agg(F.count("*").alias("rows"), F.first(F.size("x")).alias("dx"), F.first(F.size("y")).alias("dy"))
+    listed = [r.asDict() for r in sizes.collect()]
+    number = {_name(r["task"]): k for k, r in enumerate(listed)}
+    plan = spark.createDataFrame([(k, max(1, -(-int(r["rows"] * t.train_fraction) // t.shard_rows)), max(1, -(-int(r["rows"] * (1 - t.train_fraction)) // t.max_eval_samples)), int(min(1.0, min(t.max_eval_samples, r["rows"] * (1 - t.train_fraction)) / max(1.0, r["rows"] * t.train_fraction)) * 1_000_000)) for k, r in enumerate(listed)] or [(0, 1, 1, 0)], "k int, shards int, evals int, shown int")
+    named = spark.createDataFrame([(k, r["task"]) for k, r in enumerate(listed)], "k int, task " + table.schema["task"].dataType.simpleString())
+    table = table.join(F.broadcast(named.join(plan, "k")), table["task"].eqNullSafe(named["task"])).drop("task")  # tasks are parameters
+    train, again = F.col("u") < t.train_fraction, hash_order(F.col("_id"), t.seed + 1)
+    part = F.when(train, F.pmod(again, F.col("shards"))).otherwise(-1 - F.pmod(again, F.col("evals"))).cast("int")
+    path = scratch(spark, "critic-rows")
+    table.select("k", part.alias("part"), "shown", "_id", "x", "y").write.parquet(path)
+    rows = spark.read.parquet(path)
+
+    cells = rows.where("part >= 0").select("k", F.explode(F.array(*[F.transform(c, lambda v, i: F.struct(F.lit(side).alias("side"), i.alias("i"), v.alias("v"))) for side, c in ((0, "x"), (1, "y"))])).alias("c")).select("k", F.explode("c").alias("c"))  # noqa: B023
+    moments = cells.groupBy("k", "c.side", "c.i").agg(F.avg("c.v").alias("m"), F.stddev_pop("c.v").alias("d")).collect()  # a row for each dimension
+    tasks: dict[int, _Task] = {}
+    for k, r in enumerate(listed):
+        scales = [(np.zeros(n), np.ones(n)) for n in (r["dx"], r["dy"])]
+        tasks[k] = _Task(scales, [e.state() for e in encoders((r["dx"], r["dy"]), t)])
+    for r in moments:
+        m, d = tasks[r["k"]].scales[r["side"]]
+        m[r["i"]], d[r["i"]] = r["m"], max(r["d"] or 0.0, 1e-8)
+
+    for epoch in range(t.n_epochs):
+        alive = {k: (task.scales, task.states, task.step) for k, task in tasks.items() if not task.over}
+        if not alive:
+            break
+        held = spark.sparkContext.broadcast(alive)  # weights of the layers
+
+        mine = rows.where(F.col("k").isin(list(alive)))
+        found = mine.where("part >= 0").groupBy("k", "part").applyInPandas(_learner(held, t, epoch), "k int, n long, step long, fx array<double>, gy array<double>")
+        sums: dict[int, list] = {}
+        for r in found.toLocalIterator():  # a shard's weights at a time
+            total = sums.setdefault(r["k"], [0, 0, 0.0, 0.0])
+            total[0] += r["n"]
+            total[1] = max(total[1], r["step"])
+            total[2] = total[2] + r["n"] * np.asarray(r["fx"])
+            total[3] = total[3] + r["n"] * np.asarray(r["gy"])
+        for k, (n, step, fx, gy) in sums.items():
+            tasks[k].states, tasks[k].step = [fx / n, gy / n], step
+        held = spark.sparkContext.broadcast({k: (tasks[k].scales, tasks[k].states, tasks[k].step) for k in alive})
+
+        # Training information is reported on one evaluation group of the training rows.
+        shown = F.when(F.col("part") >= 0, F.lit(0)).otherwise(F.col("part"))
+        sample = mine.where((F.col("part") < 0) | (F.pmod(hash_order(F.col("_id"), t.seed + 2), F.lit(1_000_000)) < F.col("shown"))).select("k", shown.alias("part"), "_id", "x", "y")
+        scores = sample.groupBy("k", "part").applyInPandas(_evaluator(held, t), "k int, test boolean, n long, v double").where("n > 1")
+        means = scores.groupBy("k", "test").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.max("n").alias("n")).collect()
+        at = {(r["k"], r["test"]): r for r in means}
+        for k in alive:
+            if (k, True) not in at or (k, False) not in at or k not in sums:
+                tasks[k].error, tasks[k].over = "too few rows to train on", True
+            else:
+                tasks[k].note(epoch, at[k, True]["v"], at[k, False]["v"], int(at[k, True]["n"]), t)
     unit = NATS_IN_BIT if bits else 1.0
+    out = [(*([r["task"][c] for c in keys]), *tasks[number[_name(r["task"])]].row(unit)) for r in listed]
+    schema = "".join(f"`{c}` {samples.schema[c].dataType.simpleString()}, " for c in keys) + RUN
+    return spark.createDataFrame(out, schema)
+
+
+def _scaled(part: pd.DataFrame, scales: list) -> tuple[np.ndarray, np.ndarray]:
+    part = part.sort_values("_id")
+    return tuple((np.stack(part[c].to_list()) - m) / d for c, (m, d) in zip(("x", "y"), scales, strict=True))
+
+
+def _learner(held, t: Training, epoch: int):
+    """A shard's epoch from its task's weights."""
+
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        scales, states, step = held.value[int(key[0])]
+        x, y = _scaled(part, scales)
+        f, g = encoders((x.shape[1], y.shape[1]), t, states, step)
+        steps(x, y, f, g, t, seed_of(t.seed, epoch, int(key[1])))
+        return pd.DataFrame([{"k": key[0], "n": len(x), "step": f.step, "fx": f.state(), "gy": g.state()}])
+
+    return learn
+
+
+def _evaluator(held, t: Training):
+    """The bound of a group of rows."""
+
+    def evaluate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        scales, states, _ = held.value[int(key[0])]
+        x, y = _scaled(part, scales)
+        value = evaluated(x, y, *encoders((x.shape[1], y.shape[1]), t, states), t) if len(x) > 1 else float("nan")
+        return pd.DataFrame([{"k": key[0], "test": int(key[1]) < 0, "n": len(x), "v": value}])
+
+    return evaluate
+
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_h", "_id"])
-        try:
-            found = train(np.stack(part["x"].to_list()), np.stack(part["y"].to_list()), training) | {"error": None}
-            for c in ("train_mi", "raw_train_mi", "test_mi"):
-                found[c] /= unit
-            found["test_mi_history"] = [v / unit for v in found["test_mi_history"]]
-        except TrainingError as e:
-            found = {c.split()[0]: None for c in RUN.split(", ")} | {"error": str(e)}
-        return pd.DataFrame([dict(zip(group, key, strict=True)) | found])
-
-    schema = ", ".join(f"{k} {table.schema[k].dataType.simpleString()}" for k in group)
-    return table.groupBy(*group).applyInPandas(run, f"{schema}, {RUN}").drop("_one")
+def _name(task) -> str:
+    return repr(task)
 
 
 def embed(samples: DataFrame, model: DataFrame, training: Training, keys: list[str] | None = None) -> DataFrame:

@@ -160,7 +160,7 @@ def windowed_dependency(spark: SparkSession, n: int, channels: int = 1, timescal
     for c in range(channels):
         base = _noise(spark, n, seed + 10 * c)
         fast = _autoregressive(base, "e", timescale / 4).withColumnRenamed("m", "fast")
-        slow = _autoregressive(fast, "e", timescale).withColumn("x", F.col("fast") + F.col("m")).select("idx", "x", "e2")
+        slow = _autoregressive(fast.withColumn("e3", F.randn(seed + 10 * c + 5)), "e3", timescale).withColumn("x", F.col("fast") + F.col("m")).select("idx", "x", "e2")
         part = _moving_mean(slow, "x", window).select("idx", F.lit(c).alias("channel"), "x", (F.col("m") + noise * F.col("e2")).alias("y"))
         found = part if found is None else found.union(part)
     return found
