@@ -35,6 +35,8 @@ REJECTED_SHARE = 0.002
 TEMPERATURES = tuple(2.0**-k for k in range(16))
 #: Words whose bits a worker remembers before it starts afresh.
 REMEMBERED = 500_000
+#: Bytes of text scored at once.
+TEXT_AT_ONCE = 2_000_000
 #: New words scored at once: a bound on the score matrices, which have a row for each character.
 WORDS_AT_ONCE = 20_000
 BOUNDARY = 0x110000
@@ -149,7 +151,7 @@ def _gram_counts(rows: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], int] = defaultdict(int)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_AT_ONCE):
                 for lang in pc.unique(part.column(0)).to_pylist():
                     texts = part.column(1).filter(pc.equal(part.column(0), lang))
                     counted = pc.value_counts(words_of(texts).flatten())
@@ -313,7 +315,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_bits(shared.value)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_AT_ONCE):
                 bits, chars = known.of_texts(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(bits), pa.list_(pa.float64())), pa.array(chars)], ["lang", "bits", "chars"])
 
@@ -343,7 +345,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = shared.value
         known = word_bits(model)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TEXT_AT_ONCE):
                 if model.languages:
                     bits, chars = known.of_texts(part.column(0))
                     mean = bits / np.maximum(1, chars)[:, None]

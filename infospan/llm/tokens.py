@@ -19,7 +19,7 @@ from infospan.llm.shared import held
 
 #: Chunks that a worker remembers before it starts afresh, and bytes of text handled at once.
 REMEMBERED = 600_000
-TEXT_AT_ONCE = 6_000_000
+TEXT_AT_ONCE = 4_000_000
 #: Ids in a worker's table above which texts with added tokens, which are encoded whole, make it start afresh.
 WHOLE_IDS = 16_000_000
 #: Marks of a text's first chunk and of one that follows its neighbour without a space.
@@ -187,8 +187,8 @@ def tokenizer_of(path: str, cut: str, end_id: int) -> ChunkedTokenizer:
     return held((path, cut, end_id), lambda: ChunkedTokenizer(path, cut, end_id))
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about TEXT_AT_ONCE bytes of text; a longer text is a run of its own.
+def slices(batch: pa.RecordBatch, text: int, at_once: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `at_once` bytes of text, TEXT_AT_ONCE if None; a longer text is a run of its own.
 
     Copies with buffers of their own: some kernels (ascii_lower) misread arrays that begin within a buffer.
     """
@@ -196,7 +196,7 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(sizes)
     low = 0
     while low < batch.num_rows:
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + TEXT_AT_ONCE, "right")))
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (at_once or TEXT_AT_ONCE), "right")))
         yield batch.take(pa.array(np.arange(low, high)))
         low = high
 
