@@ -1,7 +1,7 @@
 """A small learned critic: two multilayer encoders whose inner products score pairs, trained on a lower bound.
 
 Training is data-parallel. A task's rows are dealt by a seeded hash into shards of about `shard_rows`; in each epoch every
-shard takes its gradient steps from the task's weights, and the shards' weights are averaged by their rows. The bound is
+shard takes its gradient steps from the task's weights, and the shards' weights are averaged by their rows, first in LOTS groups. The bound is
 evaluated on groups of about `max_eval_samples` test rows, all of them, and averaged. The driver holds a task's weights, whose
 number depends on the layers alone. A task of one shard is trained as on one machine.
 """
@@ -135,6 +135,9 @@ def evaluated(x: np.ndarray, y: np.ndarray, f: Encoder, g: Encoder, t: Training)
     return bound_and_gradient(f(x) @ g(y).T / np.sqrt(t.embedding_dim), t.estimator, t.clip)[0]
 
 
+#: Groups in which the shards' weights are averaged before the driver averages those.
+LOTS = 64
+STATE = "k int, n long, step long, fx array<double>, gy array<double>"
 RUN = "train_mi double, raw_train_mi double, test_mi double, best_epoch int, all_mi_negative boolean, eval_size int, test_mi_history array<double>, x_weights array<double>, y_weights array<double>, error string"
 
 
@@ -212,16 +215,11 @@ def learned(samples: DataFrame, training: Training, keys: list[str] | None = Non
         held = spark.sparkContext.broadcast(alive)  # weights of the layers
 
         mine = rows.where(F.col("k").isin(list(alive)))
-        found = mine.where("part >= 0").groupBy("k", "part").applyInPandas(_learner(held, t, epoch), "k int, n long, step long, fx array<double>, gy array<double>")
-        sums: dict[int, list] = {}
-        for r in found.toLocalIterator():  # a shard's weights at a time
-            total = sums.setdefault(r["k"], [0, 0, 0.0, 0.0])
-            total[0] += r["n"]
-            total[1] = max(total[1], r["step"])
-            total[2] = total[2] + r["n"] * np.asarray(r["fx"])
-            total[3] = total[3] + r["n"] * np.asarray(r["gy"])
-        for k, (n, step, fx, gy) in sums.items():
-            tasks[k].states, tasks[k].step = [fx / n, gy / n], step
+        found = mine.where("part >= 0").groupBy("k", "part").applyInPandas(_learner(held, t, epoch), f"lot int, {STATE}")
+        lots = found.groupBy("k", "lot").applyInPandas(lambda part: _averaged(part)[[c.split()[0] for c in STATE.split(", ")]], STATE)
+        sums = {k: _averaged(part).iloc[0] for k, part in pd.DataFrame([r.asDict() for r in lots.collect()], columns=["k", "n", "step", "fx", "gy"]).groupby("k")}  # LOTS rows a task
+        for k, r in sums.items():
+            tasks[k].states, tasks[k].step = [np.asarray(r["fx"]), np.asarray(r["gy"])], int(r["step"])
         held = spark.sparkContext.broadcast({k: (tasks[k].scales, tasks[k].states, tasks[k].step) for k in alive})
 
         # Training information is reported on one evaluation group of the training rows.
@@ -254,11 +252,19 @@ def _learner(held, t: Training, epoch: int):
         x, y = _scaled(part, scales)
         f, g = encoders((x.shape[1], y.shape[1]), t, states, step)
         steps(x, y, f, g, t, seed_of(t.seed, epoch, int(key[1])))
-        return pd.DataFrame([{"k": key[0], "n": len(x), "step": f.step, "fx": f.state(), "gy": g.state()}])
+        return pd.DataFrame([{"lot": int(key[1]) % LOTS, "k": key[0], "n": len(x), "step": f.step, "fx": f.state(), "gy": g.state()}])
 
     return learn
 
 
+def _averaged(part: pd.DataFrame) -> pd.DataFrame:
+    """One row: the mean of the states by their rows."""
+    part = part.sort_values(["n", "step"], kind="stable")
+    n = part["n"].to_numpy()
+    mean = {c: (np.stack(part[c].to_list()) * n[:, None]).sum(axis=0) / n.sum() for c in ("fx", "gy")}
+    return pd.DataFrame([{"k": part["k"].iloc[0], "n": int(n.sum()), "step": int(part["step"].max())} | mean])
+
+
 def _evaluator(held, t: Training):
     """The bound of a group of rows."""
 
