@@ -33,6 +33,8 @@ LANES, CHECKPOINT_ROWS = 256, 128
 LOW = 1 << 31
 #: Ids in a block before it ends with its document, and blocks that are encoded side by side.
 BLOCK_IDS, BLOCKS_AT_ONCE = 1 << 18, 8
+#: Ids that are counted in one call.
+COUNTED_AT_ONCE = 1 << 22
 NULL_ID = -(1 << 63)
 
 
@@ -177,8 +179,13 @@ def count_ids(tokens: DataFrame, wide: bool) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), kind))
+            if not len(batch):
+                continue
+            lists = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(lists.buffers()[1], np.int64)[lists.offset : lists.offset + len(lists) + 1]
+            ids = np.frombuffer(lists.buffers()[2], kind, (ends[-1] - ends[0]) // kind.itemsize, ends[0])
+            for low in range(0, len(ids), COUNTED_AT_ONCE):
+                n = np.bincount(ids[low : low + COUNTED_AT_ONCE])
                 if len(n) > len(total):
                     n, total = total, n
                 total[: len(n)] += n
