@@ -3,7 +3,7 @@
 Candidates are the pairs that the trie self-join finds over 128-bit fingerprints of the sets. Only the stars of candidates
 leave its tasks, so their components are taken first; the sets of each component are then compared
 in full, and only pairs at or over the wanted similarity link. Fingerprints of sets alike to 0.8 differ in 9.7 bits of each half on
-average with a deviation of 2.9: by the binomial law 0.93 of such pairs have a half within PART bits, more of those more alike.
+average with a deviation of 2.9: by the binomial law 0.997 of such pairs are within PART and BUDGET bits, more of those more alike.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from infospan.llm.shared import release, shuffle_partitions, spread_join, whole_
 from infospan.llm.simhash import links, majority, mixed, named_components, shingle_digests
 
 #: Bits of 128 that may differ in candidates, and of the nearer half.
-BUDGET, PART = 30, 11
+BUDGET, PART = 32, 14
 #: Shingles of a block of sets; larger groups are cut into blocks, and every two blocks are compared.
 BLOCK = 250_000
 
