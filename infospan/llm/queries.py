@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.llm import digest, exact_dedup, langid, line_dedup, mixture, packing, rans, secrets, simhash, warc
+from infospan.llm import digest, exact_dedup, langid, line_dedup, mixture, packing, prefix_trie, rans, secrets, simhash, vector_codes, warc, window_packing
 from infospan.llm.shared import NOT_SPACE, written
 from infospan.llm.tokens import public_path
 
@@ -149,6 +149,68 @@ def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.code(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    digits = F.array_join(F.transform("entry", lambda k: F.lower(F.lpad(F.hex(k), 2, "0"))), "")
+    found = vector_codes.with_label_errors(coded.rows)
+    return found.select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(coded.book.sha256()).alias("codebooks_sha256"))
+
+
+def _op11_sql() -> str:
+    steps = []
+    for r in range(7):
+        book = f"c{r}"
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, p, v, arg_min(k, (d, k)) AS k, min(d) AS d
+      FROM (SELECT x.vec_id, x.p, x.v, b.k, list_sum(list_transform(list_zip(x.v, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM x JOIN {book} b ON b.p = x.p) GROUP BY vec_id, p, v)""")
+        if r < 6:
+            steps.append(f"""
+m{r} AS (SELECT p, k, list(m ORDER BY i) AS e
+       FROM (SELECT p, k, i, ((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+             FROM (SELECT p, k, unnest(v) AS c, unnest(range(len(v))) AS i FROM a{r}) GROUP BY p, k, i) GROUP BY p, k),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.k, coalesce(m.e, c.e) AS e FROM {book} c LEFT JOIN m{r} m USING (p, k))""")
+    return f"""
+WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+x AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM n, range(8) AS t(p)),
+c0 AS (SELECT p, k - 1 AS k, v AS e FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS k FROM x) WHERE k <= 16),{",".join(steps)},
+w AS (SELECT vec_id, string_agg(printf('%02x', k::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) AS h FROM c6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM s) AS codebooks_sha256
+FROM w JOIN n USING (vec_id)
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = prefix_trie.turn_arrays(table(spark, sf_dir, "conversations"))
+    turns = F.crc32(F.col("id").cast("string").cast("binary")) % 9
+    return prefix_trie.trie(prefix_trie.grafted(arrays, F.col("id") - F.col("id") % 5, turns, most=8))
+
+
+OP12_SQL = """
+WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')}
+                                ORDER BY turn NULLS FIRST, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS ts
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+-- CRC-32 by bits: -1 stands for one step of the shift register, other numbers are the bytes of the decimal id.
+h AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 9 AS h FROM t),
+r AS (SELECT conv_id, coalesce(b.ts[1:h], []) || t.ts[h + 1:] AS ts FROM t JOIN h USING (conv_id) LEFT JOIN (SELECT conv_id AS base, ts FROM t) b ON b.base = conv_id - conv_id % 5),
+p AS (SELECT conv_id, d, ts[1:d] AS pre, len(ts) AS n FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+v AS MATERIALIZED (SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY pre, d),
+c AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+w AS MATERIALIZED (SELECT v.*, coalesce(n_children, 0) AS n_children, CASE WHEN v.d > 0 THEN (n_convs - 1) * strlen(v.pre[v.d].x) ELSE 0 END AS own FROM v LEFT JOIN c USING (pre, d)),
+s AS (SELECT pre[1:e] AS pre, e AS d, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM w JOIN s USING (pre, d) LEFT JOIN v u ON u.d = w.d - 1 AND u.pre = w.pre[1:w.d - 1]
+"""
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = window_packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -160,6 +222,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixture": op8_mixture,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_rans_ids": op10_rans_ids,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_window_packing": op13_window_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -168,4 +233,6 @@ ORACLES: dict[str, str] = {
     "op3_warc": OP3_SQL,
     "op7_secret_scan": OP7_SQL,
     "op8_mixture": OP8_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op11_vector_codes": _op11_sql(),
 }

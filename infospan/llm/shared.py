@@ -42,10 +42,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 def clear(first: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Deletes the scratch paths made since there were `first` of them; tables that read them can't be used any more."""
     for path in [p for p in _PATHS[first:] if p not in keep]:
-        _PATHS.remove(path)
-        store, inner = open_store(path)
-        if store.get_file_info(inner).type.name == "Directory":
-            store.delete_dir(inner)
+        delete(path)
+
+
+def delete(path: str) -> None:
+    """Deletes one scratch path."""
+    _PATHS.remove(path)
+    store, inner = open_store(path)
+    if store.get_file_info(inner).type.name == "Directory":
+        store.delete_dir(inner)
 
 
 @contextmanager
