@@ -1,15 +1,22 @@
 """Near-duplicates by SimHash candidates and the exact Jaccard similarity of their sets of shingles.
 
-Candidates are the pairs that the trie self-join finds over 128-bit fingerprints of the sets. Only the stars of candidates
-leave its tasks, so their components are taken first; the sets of each component are then compared
-in full, and only pairs at or over the wanted similarity link. Fingerprints of sets alike to 0.8 differ in 9.7 bits of each half on
-average with a deviation of 2.9: by the binomial law 0.997 of such pairs are within PART and BUDGET bits, more of those more alike.
+Sets are dealt by BANDS keys of BAND minimum hashes each, whatever the corpus' size, so a set has BANDS copies of its two 64-bit
+fingerprint halves at most. Sets that share a key are compared by their fingerprints, and pairs within BUDGET of 128 bits by their
+sets in full; only pairs at or over the wanted similarity link, and components are taken of such links alone.
+
+Groups of near copies don't expand into pairs: first each key's sets meet one of them, drawn anew in each of STARS rounds, and
+what links is one component from then on. Then the binary tries of a key's fingerprints are joined with themselves, node pairs within one
+component left out, and each pair that is left is compared.
+
+A pair at similarity 0.8 shares a key with odds 0.9994, and differs in BUDGET bits at most with 0.9999 (the bits by the binomial law);
+more similar pairs with more. Sets without a common shingle share a key only if 64-bit hashes collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +26,28 @@ from pyspark.sql import functions as F
 
 from infospan.llm.components import connected_components
 from infospan.llm.shared import release, shuffle_partitions, spread_join, whole_groups, written
-from infospan.llm.simhash import links, majority, mixed, named_components, shingle_digests
-
-#: Bits of 128 that may differ in candidates, and of the nearer half.
-BUDGET, PART = 32, 14
-#: Shingles of a block of sets; larger groups are cut into blocks, and every two blocks are compared.
-BLOCK = 250_000
+from infospan.llm.simhash import BITS, KEYS_AT_ONCE, Trie, crossed, majority, mixed, named_components, shingle_digests
+
+#: Bits of 128 that may differ in candidates.
+BUDGET = 36
+#: Keys of a set, and the minimum hashes of one key.
+BANDS, BAND = 14, 4
+#: Rounds in which the sets of a key are compared with one of them.
+STARS = 2
+
+
+def band_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) keys of sets of hashes, which lie end to end; empty sets have keys of zeros."""
+    keys = np.zeros((len(sizes), BANDS), np.uint64)
+    own = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[own]
+    factors = mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64)) | np.uint64(1)  # odd: each product permutes the hashes
+    for k in range(BANDS if len(own) else 0):
+        key = np.full(len(own), k, np.uint64)
+        for m in range(BAND):
+            key = mixed(key ^ np.minimum.reduceat(flat * factors[k * BAND + m], starts))
+        keys[own, k] = key
+    return keys.view(np.int64)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -44,7 +67,7 @@ def _sets(texts: pa.Array, words: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def set_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, node, fingerprint, second, size) of each row's set of shingles: the two halves of its fingerprint stand for sets like it."""
+    """(id, node, fingerprint, second, size, bands) of each row's set of shingles: the two halves of its fingerprint and its keys stand for sets like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -54,111 +77,138 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 sets, nodes = _sets(batch.column(1), words)
                 flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets], np.int32)
                 halves = [pa.array(majority(h, sizes)) for h in (flat, mixed(flat))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *halves, pa.array(sizes)], ["id", "node", "fingerprint", "second", "size"])
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(flat, sizes).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), *halves, pa.array(sizes), bands], ["id", "node", "fingerprint", "second", "size", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node long, fingerprint long, second long, size int")
+    return rows.mapInArrow(run, f"id {kind}, node long, fingerprint long, second long, size int, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(component, node, shingles) for the nodes of wanted (first_id, node, component): the set of the row with that id and node."""
+    """(node, shingles) for the nodes of wanted (first_id, node): the set of the row with that id and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                sets, nodes = _sets(batch.column(2), words)
-                found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(sets)], ["component", "node", "shingles"])
-                yield found.filter(pa.array(batch.column(1).to_numpy() == nodes))
+                sets, nodes = _sets(batch.column(1), words)
+                found = pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["node", "shingles"])
+                yield found.filter(pa.array(batch.column(0).to_numpy() == nodes))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("component", "node", "text")
-    sets = rows.mapInArrow(run, "component long, node long, shingles array<long>")
-    return sets.groupBy("component", "node").agg(F.first("shingles").alias("shingles"))  # ids may repeat
-
-
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the nodes (node, fingerprint, second) that candidates connect to another."""
-    prints = written(nodes.groupBy("fingerprint", "second").agg(F.min("node").alias("print"), F.count("*").alias("sets")), "set-fingerprints")
-    edges = links(prints.select(F.col("print").alias("node"), "fingerprint", "second"), BUDGET, 2, PART)
-    found = connected_components(written(edges, "candidates")).withColumnRenamed("node", "print")
-    # Sets with the same fingerprint are candidates, too.
-    grouped = prints.join(found, "print", "left").where("component IS NOT NULL OR sets > 1").select("fingerprint", "second", F.coalesce("component", "print").alias("component"))
-    return spread_join(nodes.select("node", "fingerprint", "second"), grouped, ["fingerprint", "second"], F.xxhash64("node")).select("node", "component")
-
-
-def alike(flat: np.ndarray, sizes: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets of at least this similarity, enough to connect all that such pairs connect.
-
-    A set is compared with those not yet reached from it, by the exact counts of common elements.
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text")
+    return rows.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))  # ids may repeat
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, fingerprint, second): nodes (node, fingerprint, second, bands) that share a key; keys of the same nodes are one bucket."""
+    dealt = nodes.select("node", F.explode("bands").alias("key"))
+    sums = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("low"), F.max("node").alias("high")]
+    shared = written(dealt.groupBy("key").agg(*sums).where("rows > 1"), "shared-keys")
+    named = shared.select("key", F.xxhash64("rows", "x", "low", "high").alias("bucket"))
+    found = spread_join(dealt, named, ["key"], F.xxhash64("node"), counts=shared.select("key", "rows")).select("bucket", "node").distinct()
+    return found.join(nodes.select("node", "fingerprint", "second"), "node").select("bucket", "node", "fingerprint", "second")
+
+
+def _differ(a: str, b: str) -> F.Column:
+    return F.bit_count(F.col(f"{a}fingerprint").bitwiseXOR(F.col(f"{b}fingerprint"))) + F.bit_count(F.col(f"{a}second").bitwiseXOR(F.col(f"{b}second")))
+
+
+def stars(members: DataFrame, round_: int) -> DataFrame:
+    """(src, dst): each node of a bucket with the one that comes first in this round's order, if within BUDGET bits and of another component."""
+    mine = F.struct("node", "fingerprint", "second", "component")
+    firsts = members.groupBy("bucket").agg(F.min_by(mine, F.struct(F.xxhash64("node", F.lit(round_)), "node")).alias("first")).select("bucket", F.col("first.node").alias("dst"), F.col("first.fingerprint").alias("_fingerprint"), F.col("first.second").alias("_second"), F.col("first.component").alias("_component"))
+    met = spread_join(members, firsts, ["bucket"], F.xxhash64("node")).where((F.col("component") != F.col("_component")) & (_differ("", "_") <= BUDGET))
+    return met.select(F.least("node", "dst").alias("src"), F.greatest("node", "dst").alias("dst")).distinct()
+
+
+def near_pairs(keys: np.ndarray, rest: np.ndarray, labels: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of 128-bit fingerprints within `budget` bits and of different labels: a pair has budget // 2 bits or fewer in one half."""
+    for own, other in ((keys, rest), (rest, keys)):
+        order = np.argsort(own, kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+        sizes = np.diff(np.append(new, len(own)))
+        low = np.minimum.reduceat(labels[order], new)
+        one = np.where(low == np.maximum.reduceat(labels[order], new), low, -1)  # a leaf's label, if it has one
+        whole = (np.zeros(1, np.int64), np.full(1, len(new)), np.zeros(1, np.int64), np.full(1, len(new)), np.zeros(1, np.int64))
+        mixed_leaves = np.flatnonzero((sizes > 1) & (one < 0))
+        for i, j in chain([(mixed_leaves, mixed_leaves)], Trie(own[order][new]).join(whole, 0, [budget // 2] * BITS, one)):
+            for a, b in crossed(new[i], sizes[i], new[j], sizes[j]):
+                a, b = order[a], order[b]
+                near = np.bitwise_count(own[a] ^ own[b]).astype(np.int32) + np.bitwise_count(other[a] ^ other[b]) <= budget
+                near &= labels[a] != labels[b]
+                yield a[near], b[near]
+
+
+def trie_pairs(members: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs of a bucket (bucket, node, fingerprint, second, component) within BUDGET bits and of different components.
+
+    A bucket over KEYS_AT_ONCE nodes is cut into blocks, every two of which meet in a task.
     """
-    ids = np.unique(flat, return_inverse=True)[1]
-    marks, ends = np.zeros(int(ids.max(initial=0)) + 1, bool), np.cumsum(sizes)
-    left, todo, src, dst = np.arange(len(sizes)), [], [], []
-    ids_left, sizes_left = ids, sizes
-    while len(left):
-        if todo:
-            at, near = todo.pop(), None
-            own = ids[ends[at] - sizes[at] : ends[at]]
-            marks[own] = True
-            common = np.add.reduceat(marks[ids_left], np.cumsum(sizes_left) - sizes_left, dtype=np.int64)
-            marks[own] = False
-            near = least.denominator * common >= least.numerator * (len(own) + sizes_left - common)
-            todo += left[near].tolist()
-            src += [at] * int(near.sum())
-            dst += left[near].tolist()
-        else:
-            near = np.zeros(len(left), bool)
-            near[0] = True
-            todo.append(int(left[0]))
-        if near.any():
-            ids_left, left, sizes_left = ids_left[np.repeat(~near, sizes_left)], left[~near], sizes_left[~near]
-    return np.array(src, np.int64), np.array(dst, np.int64)
-
-
-def confirmed(sets: DataFrame, least: float) -> DataFrame:
-    """Edges (src, dst) of the sets (component, node, shingles) whose closure is that of the pairs of a component at or over `least`."""
-    wanted = Fraction(str(least))
-    blocks = sets.groupBy("component").agg(F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = spread_join(sets, blocks, ["component"], F.xxhash64("node")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    # All blocks but the own one; a single block is compared with itself.
+    n = shuffle_partitions(members.sparkSession)
+    open_ = members.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = open_.select("bucket", "rows", F.ceil(F.col("rows") / KEYS_AT_ONCE).cast("int").alias("blocks"))
+    dealt = spread_join(members, blocks.select("bucket", "blocks"), ["bucket"], F.xxhash64("node"), counts=blocks.select("bucket", "rows"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != F.col("own")) | (F.col("blocks") == 1))
-    dealt = dealt.withColumn("other", F.explode(others))
-    dealt = dealt.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
+    dealt = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "fingerprint", "second", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for table in whole_groups(batches, "task"):
-            task, node = (table[c].to_numpy() for c in ("task", "node"))
-            lists = table["shingles"].combine_chunks()
-            sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
-            ends = np.concatenate(([0], np.cumsum(sizes)))
+            task, node, first, second, label = (table[c].to_numpy() for c in ("task", "node", "fingerprint", "second", "component"))
+            label = np.unique(label, return_inverse=True)[1]
             starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
-            src, dst = [], []
-            for a, b in zip(starts, [*starts[1:], len(task)], strict=True):
-                i, j = alike(flat[ends[a] : ends[b]], sizes[a:b], wanted)
-                src.append(node[a + i])
-                dst.append(node[a + j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+            for low, high in zip(starts, [*starts[1:], len(task)], strict=True):
+                for i, j in near_pairs(first[low:high].view(np.uint64), second[low:high].view(np.uint64), label[low:high], BUDGET):
+                    a, b = node[low + i], node[low + j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
 
-    n = shuffle_partitions(sets.sparkSession)
-    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long")
+    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (src, dst) whose sets (node, shingles) are alike to `least` or more, by the exact counts of common elements."""
+    wanted = Fraction(str(least))
+    left = spread_join(pairs, sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), ["src"], F.xxhash64("dst"))
+    both = spread_join(left, sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), ["dst"], F.xxhash64("src"), counts=pairs.groupBy("dst").agg(F.count("*").alias("rows")))
+    common = F.size(F.array_intersect("a", "b")).cast("long")
+    alike = common * wanted.denominator >= wanted.numerator * (F.size("a") + F.size("b") - common)
+    return both.where(alike).select("src", "dst")
+
+
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with the component of each node over the edges."""
+    if edges.isEmpty():
+        return members.withColumn("component", F.col("node"))
+    found = connected_components(edges)
+    return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def alike_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """Edges (src, dst) of nodes (node, first_id, fingerprint, second, bands) at or over `least`, enough to connect all that such pairs connect."""
+    members = written(buckets(nodes), "buckets")
+    wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
+    sets = written(sets_of(docs, wanted, id_col, text_col, words), "candidate-sets")
+    edges = members.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0)
+    for k in range(STARS):
+        found = written(confirmed(written(stars(_labelled(members, edges), k), "stars"), sets, least), "alike")
+        edges = edges.union(found)
+    last = written(trie_pairs(written(_labelled(members, edges), "labelled")), "trie-pairs")
+    return edges.union(written(confirmed(last, sets, least), "alike"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id_col, component_id): component_id is the smallest id reachable over pairs of texts whose sets of shingles are alike to `least`.
 
     One row for each row of docs. Texts of any length are read whole; those without words are one group. A null id keeps its row; it names a component only
-    if that has no other id. Empty input: no rows. Other columns of docs are not read. PART and BUDGET are fit for a similarity of 0.8 and more.
+    if that has no other id. Empty input: no rows. Other columns of docs are not read. The keys and BUDGET are fit for a similarity of 0.8 and more.
     """
     rows = written(set_prints(docs, id_col, text_col, words), "set-prints")
-    nodes = written(rows.groupBy("node", "fingerprint", "second", "size").agg(F.min("id").alias("first_id")), "shingle-nodes")
-    found = written(candidate_groups(nodes.where("size > 0")), "candidate-groups")
-    wanted = nodes.select("node", "first_id").join(found, "node")
-    sets = written(sets_of(docs, wanted, id_col, text_col, words), "candidate-sets")
-    edges = written(confirmed(sets, least), "alike")
+    nodes = written(rows.groupBy("node", "size").agg(F.min("id").alias("first_id"), *[F.first(c).alias(c) for c in ("fingerprint", "second", "bands")]), "shingle-nodes")
+    edges = alike_links(docs, nodes.where("size > 0"), id_col, text_col, words, least)
     named = written(named_components(edges, nodes.select("node", "first_id")), "named-sets")
     return spread_join(rows.select("id", "node"), named, ["node"], F.xxhash64("id")).select(F.col("id").alias(id_col), "component_id")
 

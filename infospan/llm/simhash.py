@@ -119,12 +119,13 @@ class Trie:
         z = self.zeros[depth]
         return low + z[high] - z[low]
 
-    def join(self, pairs: tuple[np.ndarray, ...], depth: int, allowed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def join(self, pairs: tuple[np.ndarray, ...], depth: int, allowed: list[int], labels: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs (i < j) of near keys below the node pairs (low, high, low, high, bits that differ so far) of this depth.
 
-        allowed: bits that may differ in the first d + 1 bits.
+        allowed: bits that may differ in the first d + 1 bits. labels: of the keys, -1 for none; node pairs all of one label are left out.
         """
         budget = allowed[-1]
+        changes = None if labels is None else np.concatenate(([0], np.cumsum((labels[1:] != labels[:-1]) | (labels[1:] < 0)))).astype(np.int32)
         kinds = (np.int32, np.int32, np.int32, np.int32, np.int8)
         todo = [(depth, tuple(x.astype(t) for x, t in zip(pairs, kinds, strict=True)))]
         while todo:
@@ -134,6 +135,9 @@ class Trie:
                 todo += [(depth, tuple(x[:half] for x in pairs)), (depth, tuple(x[half:] for x in pairs))]
                 continue
             a, a_end, b, b_end, used = pairs
+            if changes is not None:
+                one = (labels[a] == labels[b]) & (labels[a] >= 0) & (changes[a_end - 1] == changes[a]) & (changes[b_end - 1] == changes[b])
+                a, a_end, b, b_end, used = pairs = tuple(x[~one] for x in pairs)
             small = (a_end - a).astype(np.int64) * (b_end - b) <= SMALL
             if small.any():
                 for i, j in crossed(a[small], a_end[small] - a[small], b[small], b_end[small] - b[small]):

@@ -542,13 +542,51 @@ def test_pipeline_groups_are_those_of_the_exact_similarity(spark, monkeypatch):
         if i is not None:
             least[group[sets[t]]] = min(i, least.get(group[sets[t]], i))
     wanted = sorted(((i, least[group[sets[t]]]) for i, t in rows), key=repr)
-    for block in (jaccard.BLOCK, 300):  # 300: groups of several blocks
-        monkeypatch.setattr(jaccard, "BLOCK", block)
+    for block in (jaccard.KEYS_AT_ONCE, 2):  # 2: buckets of several blocks
+        monkeypatch.setattr(jaccard, "KEYS_AT_ONCE", block)
         assert sorted(map(tuple, jaccard.near_duplicates(docs(spark, rows)).collect()), key=repr) == wanted
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF).collect()
     assert {r["doc_id"] for r in kept} == {i for i, k in wanted if i == k}
 
 
+def test_pairs_of_a_bucket_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    keys = np.repeat(base, 25, axis=0)
+    for row in keys[1:]:
+        for _ in range(rng.integers(0, 30)):
+            row[rng.integers(2)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    keys[40:60, 0] = keys[40, 0]  # equal halves
+    labels = np.sort(rng.integers(0, 90, len(keys)))
+    labels[:20] = 0
+    wanted = {(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if labels[a] != labels[b] and np.bitwise_count(keys[a] ^ keys[b]).sum() <= 36}
+    found = {(min(a, b), max(a, b)) for i, j in jaccard.near_pairs(keys[:, 0].copy(), keys[:, 1].copy(), labels, 36) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert found == wanted and len(wanted) > 500
+
+
+def test_a_large_group_of_near_copies_links_by_its_stars(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(400):
+        own = list(words)
+        own[rng.randrange(200)] = f"e{i}"
+        rows.append((i, " ".join(own)))
+    assert {r["component_id"] for r in jaccard.near_duplicates(docs(spark, rows)).collect()} == {0}
+    nodes = jaccard.set_prints(docs(spark, rows), "doc_id", "text", 5).withColumnRenamed("id", "first_id")
+    members = jaccard.buckets(nodes).withColumn("component", F.lit(0).cast("long")).persist()
+    assert members.count() <= 400 * jaccard.BANDS
+    assert jaccard.trie_pairs(members).count() == 0  # nothing is left within one component
+    assert jaccard.stars(members.withColumn("component", F.col("node")), 0).count() <= 400 * jaccard.BANDS
+
+
+def test_unlike_texts_share_no_bucket(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80))) for i in range(500)]
+    nodes = jaccard.set_prints(docs(spark, rows), "doc_id", "text", 5).withColumnRenamed("id", "first_id")
+    assert jaccard.buckets(nodes).count() == 0
+
+
 def test_a_shared_repeated_line_is_no_near_copy(spark):
     rng = random.Random(10)
     rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) + " all of these rights are reserved here today" * 40) for i in range(30)]
