@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from infospan.llm.components import connected_components
 from infospan.llm.shared import release, shuffle_partitions, spread_join, whole_groups, written
-from infospan.llm.simhash import BITS, KEYS_AT_ONCE, Trie, crossed, majority, mixed, named_components, shingle_digests
+from infospan.llm.simhash import BITS, Trie, crossed, majority, mixed, named_components, shingle_digests
 
 #: Bits of 128 that may differ in candidates.
 BUDGET = 36
@@ -34,6 +34,8 @@ BUDGET = 36
 BANDS, BAND = 14, 4
 #: Rounds in which the sets of a key are compared with one of them.
 STARS = 2
+#: Shingles of a block of sets, of which a bucket may need several; sets compared with one set at once.
+BLOCK, COMPARED_AT_ONCE = 250_000, 512
 
 
 def band_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -142,14 +144,53 @@ def near_pairs(keys: np.ndarray, rest: np.ndarray, labels: np.ndarray, budget: i
                 yield a[near], b[near]
 
 
-def trie_pairs(members: DataFrame) -> DataFrame:
-    """(src, dst) of all pairs of a bucket (bucket, node, fingerprint, second, component) within BUDGET bits and of different components.
-
-    A bucket over KEYS_AT_ONCE nodes is cut into blocks, every two of which meet in a task.
+class _Sets:
+    """Sets of a task, end to end, and the components that its links make of their labels."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, least: Fraction):
+        self.ids = np.unique(flat, return_inverse=True)[1]
+        self.sizes, self.starts, self.least = sizes, np.cumsum(sizes) - sizes, least
+        self.marks = np.zeros(int(self.ids.max(initial=0)) + 1, bool)
+        self.root, self.labels = np.arange(int(labels.max(initial=0)) + 1), labels
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.root[self.labels[i]] != self.root[self.labels[j]]
+
+    def _common(self, others: np.ndarray) -> np.ndarray:
+        """How many marked elements each of these sets has."""
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - sizes), sizes)
+        return np.add.reduceat(self.marks[self.ids[at]], ends - sizes, dtype=np.int64)
+
+    def link(self, i: int, others: np.ndarray) -> list[int]:
+        """Those of the others that set i is alike to, one for each component that it did not reach before."""
+        n, found = int(self.sizes[i]), []
+        top, bottom = self.least.denominator, self.least.numerator
+        others = others[(self.sizes[others] * top >= bottom * n) & (n * top >= bottom * self.sizes[others])]
+        self.marks[self.ids[self.starts[i] : self.starts[i] + n]] = True
+        while len(others := others[self.root[self.labels[others]] != self.root[self.labels[i]]]):
+            some, others = others[:COMPARED_AT_ONCE], others[COMPARED_AT_ONCE:]
+            common = self._common(some)
+            near = some[top * common >= bottom * (n + self.sizes[some] - common)]
+            roots, first = np.unique(self.root[self.labels[near]], return_index=True)
+            found += near[first].tolist()
+            self.root[np.isin(self.root, roots)] = self.root[self.labels[i]]
+        self.marks[self.ids[self.starts[i] : self.starts[i] + n]] = False
+        return found
+
+
+def trie_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (src, dst) between components, enough to connect all that pairs of a bucket (bucket, node, fingerprint, second, component) at or over `least` connect.
+
+    The tries of a bucket's fingerprints are joined with themselves; each pair of two components within BUDGET bits is compared by the
+    sets, unless links found before have made them one. Edges, not pairs, leave a task. A bucket over BLOCK shingles is cut
+    into blocks, every two of which meet in a task.
     """
-    n = shuffle_partitions(members.sparkSession)
-    open_ = members.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    blocks = open_.select("bucket", "rows", F.ceil(F.col("rows") / KEYS_AT_ONCE).cast("int").alias("blocks"))
+    wanted, n = Fraction(str(least)), shuffle_partitions(members.sparkSession)
+    sized = sets.select("node", F.size("shingles").alias("size"))
+    open_ = members.join(sized, "node").groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = open_.select("bucket", "rows", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = spread_join(members, blocks.select("bucket", "blocks"), ["bucket"], F.xxhash64("node"), counts=blocks.select("bucket", "rows"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != F.col("own")) | (F.col("blocks") == 1))
@@ -159,14 +200,27 @@ def trie_pairs(members: DataFrame) -> DataFrame:
         release()
         for table in whole_groups(batches, "task"):
             task, node, first, second, label = (table[c].to_numpy() for c in ("task", "node", "fingerprint", "second", "component"))
-            label = np.unique(label, return_inverse=True)[1]
+            lists = table["shingles"].combine_chunks()
+            all_sizes, flat = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()
+            ends = np.concatenate(([0], np.cumsum(all_sizes)))
             starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
             for low, high in zip(starts, [*starts[1:], len(task)], strict=True):
-                for i, j in near_pairs(first[low:high].view(np.uint64), second[low:high].view(np.uint64), label[low:high], BUDGET):
-                    a, b = node[low + i], node[low + j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
-
-    return dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long").distinct()
+                labels = np.unique(label[low:high], return_inverse=True)[1]
+                own, src, dst = _Sets(flat[ends[low] : ends[high]], all_sizes[low:high], labels, wanted), [], []
+                for i, j in near_pairs(first[low:high].view(np.uint64), second[low:high].view(np.uint64), labels, BUDGET):
+                    open_pairs = own.apart(i, j)
+                    i, j = i[open_pairs], j[open_pairs]
+                    order = np.argsort(i, kind="stable")
+                    i, j = i[order], j[order]
+                    at = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
+                    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(i)], strict=False):
+                        linked = own.link(int(i[a]), j[a:b])
+                        src += [int(i[a])] * len(linked)
+                        dst += linked
+                yield pa.RecordBatch.from_arrays([pa.array(node[low + np.array(src, int)]), pa.array(node[low + np.array(dst, int)])], ["src", "dst"])
+
+    whole = spread_join(dealt, sets, ["node"], F.xxhash64("task"))
+    return whole.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "src long, dst long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -196,8 +250,7 @@ def alike_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, w
     for k in range(STARS):
         found = written(confirmed(written(stars(_labelled(members, edges), k), "stars"), sets, least), "alike")
         edges = edges.union(found)
-    last = written(trie_pairs(written(_labelled(members, edges), "labelled")), "trie-pairs")
-    return edges.union(written(confirmed(last, sets, least), "alike"))
+    return edges.union(written(trie_links(written(_labelled(members, edges), "labelled"), sets, least), "trie-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

@@ -542,8 +542,8 @@ def test_pipeline_groups_are_those_of_the_exact_similarity(spark, monkeypatch):
         if i is not None:
             least[group[sets[t]]] = min(i, least.get(group[sets[t]], i))
     wanted = sorted(((i, least[group[sets[t]]]) for i, t in rows), key=repr)
-    for block in (jaccard.KEYS_AT_ONCE, 2):  # 2: buckets of several blocks
-        monkeypatch.setattr(jaccard, "KEYS_AT_ONCE", block)
+    for block in (jaccard.BLOCK, 300):  # 300: buckets of several blocks
+        monkeypatch.setattr(jaccard, "BLOCK", block)
         assert sorted(map(tuple, jaccard.near_duplicates(docs(spark, rows)).collect()), key=repr) == wanted
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), SF).collect()
     assert {r["doc_id"] for r in kept} == {i for i, k in wanted if i == k}
@@ -576,10 +576,33 @@ def test_a_large_group_of_near_copies_links_by_its_stars(spark):
     nodes = jaccard.set_prints(docs(spark, rows), "doc_id", "text", 5).withColumnRenamed("id", "first_id")
     members = jaccard.buckets(nodes).withColumn("component", F.lit(0).cast("long")).persist()
     assert members.count() <= 400 * jaccard.BANDS
-    assert jaccard.trie_pairs(members).count() == 0  # nothing is left within one component
+    sets = jaccard.sets_of(docs(spark, rows), nodes.select("node", "first_id"), "doc_id", "text", 5)
+    assert jaccard.trie_links(members, sets, 0.8).count() == 0  # nothing is left within one component
     assert jaccard.stars(members.withColumn("component", F.col("node")), 0).count() <= 400 * jaccard.BANDS
 
 
+def test_a_group_without_a_middle_gives_few_edges(spark):
+    """Variants that are alike to some of the others only: every link is found, and no more edges leave than texts and keys."""
+    rng = random.Random(21)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(words)
+        for _ in range(rng.choice([1, 2, 3])):
+            own[rng.randrange(120)] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+    nodes = jaccard.set_prints(docs(spark, rows), "doc_id", "text", 5).withColumnRenamed("id", "first_id").persist()
+    sets = jaccard.sets_of(docs(spark, rows), nodes.select("node", "first_id"), "doc_id", "text", 5).persist()
+    edges = jaccard.trie_links(jaccard.buckets(nodes).withColumn("component", F.col("node")), sets, 0.8).collect()
+    assert len(edges) <= 150 * jaccard.BANDS
+    shingles = {r["node"]: frozenset(r["shingles"]) for r in sets.collect()}
+    names = sorted(shingles)
+    pairs = [(a, b) for a in range(len(names)) for b in range(a) if 5 * len(shingles[names[a]] & shingles[names[b]]) >= 4 * len(shingles[names[a]] | shingles[names[b]])]
+    at = {n: k for k, n in enumerate(names)}
+    wanted = simhash.stars(len(names), iter([tuple(np.array(pairs).T)]))
+    assert np.array_equal(wanted, simhash.stars(len(names), iter([tuple(np.array([(at[e["src"]], at[e["dst"]]) for e in edges]).T)])))
+
+
 def test_unlike_texts_share_no_bucket(spark):
     rng = random.Random(13)
     rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80))) for i in range(500)]
