@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infospan.functions import regression
+from infospan.functions import contours, regression
 from infospan.functions.scalar import hash_uniform, rounded
 from infospan.operators import align, splits
 from infospan.operators import windows as W
@@ -289,16 +289,8 @@ def causal_contour(heat: DataFrame) -> DataFrame:
 
 
 def significant_contour(heat: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """(lag, window): where the information of (window, lag, mi) crosses the threshold between neighbouring cells, by linear interpolation."""
-    found = None
-    for along, across in (("lag", "window"), ("window", "lag")):
-        order = Window.partitionBy(across).orderBy(along)
-        cells = heat.select(F.col("lag").cast("double"), F.col("window").cast("double"), "mi").withColumns({"next": F.lead(along).over(order), "next_mi": F.lead("mi").over(order)})
-        crossed = cells.where((F.col("mi") >= threshold) != (F.col("next_mi") >= threshold))
-        share = (threshold - F.col("mi")) / (F.col("next_mi") - F.col("mi"))
-        part = crossed.withColumn(along, F.col(along) + share * (F.col("next") - F.col(along))).select("lag", "window")
-        found = part if found is None else found.union(part)
-    return found.distinct()
+    """(lag, window): the points of the longest line along which the information of (window, lag, mi) passes the threshold."""
+    return contours.longest_line(contours.contour_lines(heat, threshold)).select("lag", "window")
 
 
 def windowed_pairs(series: DataFrame, sizes: list[int], lags: list[int]) -> DataFrame:
@@ -320,8 +312,8 @@ def parsimonious_circle(heat: DataFrame, threshold: float = 0.2, multiple: float
     """(contour, lag, window, length, radius): the shortest bridge from the causal contour's line lag + window = contour to the significant contour.
 
     lag and window are the bridge's middle, radius is half its length times `multiple`. The line has a point for each
-    lag whose window lies within the table's. All crossings count as the significant contour. No row without a contour
-    or a crossing. The tables have a row for each cell of the heatmap's grid at most.
+    lag whose window lies within the table's. The significant contour is the longest line at the threshold. No row without a contour
+    or a line. The tables have a row for each cell of the heatmap's grid at most.
     """
     ends = heat.agg(F.min("window").alias("low"), F.max("window").alias("high")).crossJoin(causal_contour(heat).select(F.col("window").alias("contour")))  # one row each
     line = heat.select("lag").distinct().crossJoin(F.broadcast(ends)).withColumn("on_line", F.col("contour") - F.col("lag")).where("on_line BETWEEN low AND high")

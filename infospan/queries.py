@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from infospan.functions import bounds, corrupt, regression, scalar, spectra
+from infospan.functions import bounds, contours, corrupt, regression, scalar, spectra
 from infospan.operators import align, splits
 from infospan.operators import windows as W
 from infospan.plans import api, critics, generators, modes
 from infospan.sources import tables
+from infospan.sources.store import written
 from infospan.streaming import binned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,7 +252,8 @@ DAILY = """
 o AS (SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS idx, count(*)::DOUBLE AS x FROM orders GROUP BY 1),
 l AS (SELECT date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS idx, count(*)::DOUBLE AS y FROM lineitem GROUP BY 1),
 p AS (SELECT idx, x, y FROM o JOIN l USING (idx))"""
-GMI = "round(-0.5 * log2(1 - least(coalesce(CASE WHEN isnan(corr({x}, {y})) THEN 0 ELSE corr({x}, {y}) ^ 2 END, 0), 1 - 1e-12)), 6)"
+GMI_EXACT = "-0.5 * log2(1 - least(coalesce(CASE WHEN isnan(corr({x}, {y})) THEN 0 ELSE corr({x}, {y}) ^ 2 END, 0), 1 - 1e-12))"
+GMI = f"round({GMI_EXACT}, 6)"
 
 
 @query(f"""WITH {EV}, a AS (SELECT DISTINCT w FROM x WHERE event_type = (SELECT min(event_type) FROM e)), b AS (SELECT DISTINCT w FROM x WHERE event_type = (SELECT max(event_type) FROM e))
@@ -579,13 +581,12 @@ def permutation_null(spark, d):
 
 
 @query(f"""WITH {SCALARS}, t AS (SELECT tau, run FROM (SELECT unnest([0.05, 0.5])::DOUBLE AS tau), (SELECT unnest([0, 1])::BIGINT AS run)),
-q AS (SELECT tau, run, {GMI.format(x='tau * round_even((x + run * tau / 2) / tau, 0)', y='y')} AS mi FROM p, t GROUP BY tau, run)
+q AS (SELECT tau, run, {GMI_EXACT.format(x='tau * round_even((x + run * tau / 2) / tau, 0)', y='y')} AS mi FROM p, t GROUP BY tau, run)
 SELECT tau, round(avg(mi), 5) AS mi_mean, round(coalesce(stddev_samp(mi), 0), 5) AS mi_std, count(*) AS n_runs FROM q GROUP BY tau""")
 def sweep_summary(spark, d):
     # Runs differ in where the steps of the rounding begin.
     prepare = lambda t: t.withColumn("x", scalar.rounded(F.col("x") + F.col("run_id") * F.col("tau") / 2, F.col("tau")))
-    runs = r6(modes.sweep(scalars(spark, d), {"tau": [0.05, 0.5]}, prepare, repeats=2), "mi")
-    return modes.summary(runs, ["tau"]).withColumns({c: F.round(c, 5) for c in ("mi_mean", "mi_std")})
+    return modes.summary(modes.sweep(scalars(spark, d), {"tau": [0.05, 0.5]}, prepare, repeats=2), ["tau"]).withColumns({c: F.round(c, 5) for c in ("mi_mean", "mi_std")})
 
 
 @query("""WITH r AS (SELECT l_linenumber / 4.0 AS sigma_add, l_tax * 100 AS test_mi, 1000 AS eval_size FROM lineitem),
@@ -616,15 +617,21 @@ def negative_guard(spark, d):
     return regression.guarded(runs).select("k", "train_mi", "raw_train_mi", "all_mi_negative")
 
 
-CONTOUR_SIZES, CONTOUR_LAGS = [5, 10, 20, 40, 80], [-1, 0, 1]
-HEAT = f"""{DAILY}, e AS (SELECT min(idx) AS lo, max(idx) AS hi FROM p), s AS (SELECT unnest({CONTOUR_SIZES})::INT AS w),
+CONTOUR_SIZES, CONTOUR_LAGS, WIDE_LAGS = [5, 10, 20, 40, 80], [-1, 0, 1], list(range(-10, 41, 10))
+
+
+def heat_sql(lags: list[int]) -> str:
+    return f"""{DAILY}, e AS (SELECT min(idx) AS lo, max(idx) AS hi FROM p), s AS (SELECT unnest({CONTOUR_SIZES})::INT AS w),
 k AS (SELECT w AS "window", i AS idx, avg(x) AS x, avg(y) AS y FROM (SELECT w, x, y, idx, lo, hi, unnest(range(greatest(idx - w + 1, lo), least(idx, hi - w + 1) + 1)) AS i FROM p, s, e) GROUP BY w, i),
-t AS (SELECT unnest({CONTOUR_LAGS})::INT AS lag),
+t AS (SELECT unnest({lags})::INT AS lag),
 h AS (SELECT a."window", lag, {GMI.format(x='a.x', y='b.y')} AS mi FROM t, k a JOIN k b ON b."window" = a."window" AND b.idx = a.idx + lag GROUP BY a."window", lag)"""
 
 
-def heat(spark: SparkSession, d: str) -> DataFrame:
-    return r6(modes.estimate(modes.windowed_pairs(daily(spark, d), CONTOUR_SIZES, CONTOUR_LAGS), ["window", "lag"]), "mi")
+HEAT = heat_sql(CONTOUR_LAGS)
+
+
+def heat(spark: SparkSession, d: str, lags: list[int] = CONTOUR_LAGS) -> DataFrame:
+    return r6(modes.estimate(modes.windowed_pairs(daily(spark, d), CONTOUR_SIZES, lags), ["window", "lag"]), "mi")
 
 
 @query(f"WITH {HEAT} SELECT * FROM h")
@@ -638,12 +645,47 @@ def causal_contour(spark, d):
     return modes.causal_contour(heat(spark, d))
 
 
-@query()
+#: The lines of h at the level's value, by marching squares; lines are joined by a walk from every point.
+LINES = f"""{heat_sql(WIDE_LAGS)}, level AS (SELECT median(mi) AS level FROM h),
+c AS (SELECT lag::DOUBLE AS x0, "window"::DOUBLE AS y0, mi AS z, lead(lag::DOUBLE) OVER r AS x1, lead(mi) OVER r AS zr FROM h WINDOW r AS (PARTITION BY "window" ORDER BY lag)),
+d AS (SELECT *, lead(y0) OVER u AS y1, lead(z) OVER u AS z01, lead(zr) OVER u AS z11 FROM c WINDOW u AS (PARTITION BY x0 ORDER BY y0)),
+q AS (SELECT x0, x1, y0, y1, z AS z00, zr AS z10, z01, z11, level FROM d, level WHERE x1 IS NOT NULL AND y1 IS NOT NULL),
+g AS (SELECT *, CASE WHEN (z00 > level) <> (z10 > level) THEN {{'at': 'h:' || x0 || ':' || y0, 'x': x0 + (level - z00) / (z10 - z00) * (x1 - x0), 'y': y0}} END AS b,
+  CASE WHEN (z10 > level) <> (z11 > level) THEN {{'at': 'v:' || x1 || ':' || y0, 'x': x1, 'y': y0 + (level - z10) / (z11 - z10) * (y1 - y0)}} END AS r,
+  CASE WHEN (z01 > level) <> (z11 > level) THEN {{'at': 'h:' || x0 || ':' || y1, 'x': x0 + (level - z01) / (z11 - z01) * (x1 - x0), 'y': y1}} END AS t,
+  CASE WHEN (z00 > level) <> (z01 > level) THEN {{'at': 'v:' || x0 || ':' || y0, 'x': x0, 'y': y0 + (level - z00) / (z01 - z00) * (y1 - y0)}} END AS l FROM q),
+w AS (SELECT b, r, t, l, (z00 > level) <> ((z00 + z10 + z01 + z11) / 4 > level) AS apart, list_filter([b, r, t, l], lambda p: p IS NOT NULL) AS ps FROM g),
+m AS (SELECT unnest(CASE WHEN len(ps) = 2 THEN [{{'a': ps[1], 'b': ps[2]}}] WHEN len(ps) = 4 AND apart THEN [{{'a': b, 'b': l}}, {{'a': r, 'b': t}}] WHEN len(ps) = 4 THEN [{{'a': b, 'b': r}}, {{'a': l, 'b': t}}] END) AS s FROM w),
+n AS (SELECT s.a.at AS src, s.b.at AS dst FROM m UNION SELECT s.b.at, s.a.at FROM m),
+v(node, root) AS (SELECT src, src FROM n UNION SELECT n.dst, v.root FROM v JOIN n ON n.src = v.node),
+lb AS (SELECT node, min(root) AS line FROM v GROUP BY node),
+z AS (SELECT line, count(*) AS segments, sum(sqrt((s.a.x - s.b.x) ^ 2 + (s.a.y - s.b.y) ^ 2)) AS length FROM m JOIN lb ON lb.node = s.a.at GROUP BY line),
+f AS (SELECT DISTINCT lb.line, p.x AS lag, p.y AS "window", segments, length FROM (SELECT s.a AS p FROM m UNION ALL SELECT s.b FROM m) JOIN lb ON lb.node = p.at JOIN z USING (line)),
+best AS (SELECT * FROM f WHERE line = (SELECT line FROM z ORDER BY segments DESC, length DESC, line LIMIT 1))"""
+
+
+def wide_heat(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    """The heatmap over many lags, written, and its median."""
+    found = written(heat(spark, d, WIDE_LAGS), "heat")
+    return found, found.agg(F.median("mi")).first()[0]
+
+
+@query(f"""WITH RECURSIVE {LINES} SELECT count(*) OVER () AS points, segments, round(length, 4) AS length, round(lag, 4) AS lag, round("window", 4) AS "window" FROM best""")
+def longest_contour(spark, d):
+    table, level = wide_heat(spark, d)
+    best = contours.longest_line(contours.contour_lines(table, level))
+    counted = best.join(F.broadcast(best.groupBy("line").agg(F.count("*").alias("points"))), "line")  # one line
+    return counted.select("points", "segments", *[F.round(c, 4).alias(c) for c in ("length", "lag", "window")])
+
+
+@query(f"""WITH RECURSIVE {LINES}, z0 AS (SELECT * FROM h WHERE lag = 0), fl AS (SELECT median(mi) AS floor FROM (SELECT mi FROM z0 ORDER BY "window" LIMIT 3)), pk AS (SELECT max(mi) AS peak FROM z0),
+cc AS (SELECT "window" AS contour FROM z0, fl, pk WHERE mi > floor + 0.1 * (peak - floor) ORDER BY "window" LIMIT 1),
+ll AS (SELECT contour, lag::DOUBLE AS lx, (contour - lag)::DOUBLE AS ly FROM (SELECT DISTINCT lag FROM h), cc WHERE contour - lag BETWEEN (SELECT min("window") FROM h) AND (SELECT max("window") FROM h)),
+br AS (SELECT contour, (lag + lx) / 2 AS lag, ("window" + ly) / 2 AS "window", sqrt((lag - lx) ^ 2 + ("window" - ly) ^ 2) AS length FROM ll, (SELECT lag, "window" FROM best) ORDER BY length LIMIT 1)
+SELECT contour, round(lag, 4) AS lag, round("window", 4) AS "window", round(length, 4) AS length, round(length * 0.6, 4) AS radius FROM br""")
 def parsimonious_circle(spark, d):
-    s = daily(spark, d)
-    heat = modes.estimate(modes.windowed_pairs(s, [5, 10, 20, 40, 80], list(range(-10, 41, 10))), ["window", "lag"])
-    level = heat.agg(F.median("mi")).first()[0]
-    return modes.parsimonious_circle(heat, level)
+    table, level = wide_heat(spark, d)
+    return modes.parsimonious_circle(table, level).withColumns({c: F.round(c, 4) for c in ("lag", "window", "length", "radius")})
 
 
 @query()

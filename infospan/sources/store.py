@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,27 @@ def scratch(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="infospan-"))
         folder = context.getCheckpointDir()
     return f"{folder.rstrip('/')}/infospan-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written to the shared folder, or to `path`, and read again: its lineage ends here."""
+    path = path or scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _filed(spark: SparkSession, path: str):
+    """Hadoop's path and file system: whatever Spark itself reads and writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this path was committed."""
+    place, system = _filed(spark, f"{path}/_SUCCESS")
+    return system.exists(place)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    place, system = _filed(spark, path)
+    system.delete(place, True)
