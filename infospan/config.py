@@ -14,7 +14,7 @@ class Common:
 
     def __post_init__(self) -> None:
         _one_of("output_units", self.output_units, ("bits", "nats"))
-        _one_of("critic", self.critic, ("gaussian", "mlp") if isinstance(self, (Estimate, Sweep)) else ("gaussian",))
+        _one_of("critic", self.critic, ("gaussian", "mlp") if isinstance(self, Learned) else ("gaussian",))
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Sweep(Learned):
 
 
 @dataclass(frozen=True)
-class Gridded(Common):
+class Gridded(Learned):
     """grid: values of columns that `prepare` reads; the analysis runs once for each combination and repeat and is summed up over repeats."""
 
     grid: dict[str, list] = field(default_factory=dict)
@@ -68,7 +68,7 @@ class Gridded(Common):
 
 
 @dataclass(frozen=True)
-class Rigorous(Common):
+class Rigorous(Learned):
     gammas: int = 10
     delta_threshold: float = 0.1
     min_gamma_points: int = 5
@@ -90,7 +90,7 @@ class Lag(Gridded):
 
 
 @dataclass(frozen=True)
-class Precision(Common):
+class Precision(Learned):
     tau_grid: tuple[float, ...] = (0.1, 0.5, 1.0)
     threshold_ratio: float | list[float] = 0.9
     corruption_method: str = "rounding"
@@ -131,7 +131,7 @@ class Pairwise(Gridded):
 
 
 @dataclass(frozen=True)
-class Dimensionality(Common):
+class Dimensionality(Learned):
     n_splits: int = 5
     split_method: str = "random"
     whitening: str = "std"
@@ -149,7 +149,7 @@ class Dimensionality(Common):
 
 
 @dataclass(frozen=True)
-class Permutation(Common):
+class Permutation(Learned):
     n_permutations: int = 100
     of: str = "estimate"
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from infospan.functions import gram
+
 
 def channel_std(samples: DataFrame, column: str = "x") -> DataFrame:
     """(channel, sd): population deviation of each entry of an array column."""
@@ -17,39 +19,23 @@ def cross_covariance(samples: DataFrame, whiten: str = "std", keys: list[str] |
     """(keys, i, j, c) of arrays x and y: centred, divided by population deviations if `whiten` is `std`, freed of each side's own
     correlations if `zca`, sums over N - 1.
 
-    One pass: every row adds its products to d_x * d_y sums, which combine before the shuffle.
+    Tasks sum the products of their rows; a key's matrices have dimensions, not samples. Null where a key has one row.
     """
     keys = keys or []
-    if whiten == "zca":
-        return _zca(samples, keys)
-    pairs = samples.select(*keys, F.posexplode("x").alias("i", "a"), "y").select(*keys, "i", F.col("a").cast("double").alias("a"), F.posexplode("y").alias("j", "b"))
-    found = pairs.groupBy(*keys, "i", "j").agg(F.covar_samp("a", F.col("b").cast("double")).alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop(F.col("b").cast("double")).alias("sb"))
-    if whiten == "std":
-        found = found.withColumn("c", F.col("c") / (F.greatest("sa", F.lit(1e-8)) * F.greatest("sb", F.lit(1e-8))))
-    return found.select(*keys, "i", "j", "c")
-
 
-def _zca(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Cxx^-1/2 Cxy Cyy^-1/2; a key's matrices have dimensions, not samples."""
-    v = samples.select(*keys, F.size("x").alias("dx"), F.concat(F.col("x").cast("array<double>"), F.col("y").cast("array<double>")).alias("v"))
-    cells = v.select(*keys, "dx", "v", F.posexplode("v").alias("i", "a")).select(*keys, "dx", "i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    sums = cells.groupBy(*keys, "i", "j").agg(F.max("dx").alias("dx"), F.covar_samp("a", "b").alias("c"))
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        size, dx = part["j"].max() + 1, part["dx"].iloc[0]
-        m = np.zeros((size, size))
-        m[part["i"], part["j"]] = m[part["j"], part["i"]] = part["c"].fillna(0)
+    def matrix(n: int, dx: int, mean: np.ndarray, products: np.ndarray) -> np.ndarray:
+        m = products / (n - 1) if n > 1 else np.full(products.shape, np.nan)
+        if whiten == "zca":
+            return _inverse_root(m[:dx, :dx]) @ m[:dx, dx:] @ _inverse_root(m[dx:, dx:]) if n > 1 else m[:dx, dx:]
+        sd = np.maximum(np.sqrt(products.diagonal() / n), 1e-8) if whiten == "std" else np.ones(len(mean))
+        return m[:dx, dx:] / np.outer(sd[:dx], sd[dx:])
 
-        def root(a: np.ndarray) -> np.ndarray:
-            values, vectors = np.linalg.eigh(a)
-            return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-8))) @ vectors.T
+    return gram.cells(gram.sums(samples, keys), keys, matrix)
 
-        c = root(m[:dx, :dx]) @ m[:dx, dx:] @ root(m[dx:, dx:])
-        i, j = np.indices(c.shape)
-        return pd.DataFrame(dict(zip(keys, key, strict=True)) | {"i": i.ravel(), "j": j.ravel(), "c": c.ravel()})
 
-    schema = "".join(f"`{k}` {sums.schema[k].dataType.simpleString()}, " for k in keys)
-    return sums.groupBy(*keys).applyInPandas(run, f"{schema}i int, j int, c double")
+def _inverse_root(a: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh(a)
+    return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-8))) @ vectors.T
 
 
 def pr_eig(cov: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ them in one aggregation. With `critics.learned()` a task's rows go to a trained
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from infospan.functions import contours, regression
+from infospan.functions import contours, gram, regression
 from infospan.functions.scalar import hash_uniform, rounded
 from infospan.operators import align, splits
 from infospan.operators import windows as W
@@ -51,24 +51,24 @@ def estimate_arrays(samples: DataFrame, keys: list[str] | None = None) -> DataFr
 def joint_arrays(samples: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, mi) of array columns x and y taken as jointly Gaussian: half the log ratio of the determinants of their correlations.
 
-    Every row adds its products to d * d sums, which combine before the shuffle; a key's matrix has dimensions, not samples.
+    Tasks sum the products of their rows; a key's matrix has dimensions, not samples.
     """
-    v = samples.select(*keys, F.size("x").alias("dx"), F.concat(F.col("x").cast("array<double>"), F.col("y").cast("array<double>")).alias("v"))
-    cells = v.select(*keys, "dx", "v", F.posexplode("v").alias("i", "a")).select(*keys, "dx", "i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    sums = cells.groupBy(*keys, "i", "j").agg(F.max("dx").alias("dx"), F.count("*").alias("n"), F.covar_samp("a", "b").alias("c"))
+    summed = gram.sums(samples, keys)
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        size, dx = part["j"].max() + 1, part["dx"].iloc[0]
-        m = np.zeros((size, size))
-        m[part["i"], part["j"]] = m[part["j"], part["i"]] = part["c"].fillna(0)
-        sd = np.sqrt(np.maximum(m.diagonal(), 1e-300))
-        m = m / np.outer(sd, sd)
-        logdet = lambda a: np.log2(np.maximum(np.linalg.eigvalsh(a), 1 - MOST)).sum()
-        mi = 0.5 * (logdet(m[:dx, :dx]) + logdet(m[dx:, dx:]) - logdet(m))
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | {"n": part["n"].iloc[0], "mi": max(0.0, mi)}])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for r in part.to_dict("records"):
+                n, dx, _, m = gram.unpacked(r)
+                sd = np.sqrt(np.maximum(m.diagonal(), 1e-300))
+                m = m / np.outer(sd, sd)
+                logdet = lambda a: np.log2(np.maximum(np.linalg.eigvalsh(a), 1 - MOST)).sum()
+                mi = 0.5 * (logdet(m[:dx, :dx]) + logdet(m[dx:, dx:]) - logdet(m))
+                found.append({k: r[k] for k in keys} | {"n": n, "mi": max(0.0, mi)})
+            yield pd.DataFrame(found, columns=[*keys, "n", "mi"])
 
-    schema = ", ".join(f"`{k}` {sums.schema[k].dataType.simpleString()}" for k in keys)
-    return sums.groupBy(*keys).applyInPandas(run, f"{schema}, n long, mi double")
+    schema = "".join(f"`{k}` {summed.schema[k].dataType.simpleString()}, " for k in keys)
+    return summed.mapInPandas(run, f"{schema}n long, mi double")
 
 
 def lag_curve(x: DataFrame, y: DataFrame, lags: list[int], equalize: bool = False) -> DataFrame:
@@ -154,6 +154,14 @@ def conditional_arrays(samples: DataFrame, keys: list[str] | None = None) -> Dat
     return both.withColumn("cmi", F.col("mi_xz_y") - F.col("mi_z_y"))
 
 
+def conditional_by(samples: DataFrame, keys: list[str], by: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """(keys, mi_xz_y, mi_z_y, cmi) of array columns x, y, z: the estimates `by` of I(XZ;Y) and I(Z;Y), both terms tasks of one table."""
+    terms = [F.struct(F.lit(joint).alias("_joint"), (F.concat("x", "z") if joint else F.col("z")).alias("x"), F.col("y")) for joint in (True, False)]
+    found = by(samples.select(*keys, "id", F.explode(F.array(*terms)).alias("_r")).select(*keys, "id", "_r.*"), [*keys, "_joint"])
+    both = found.groupBy(*keys).agg(F.max(F.when(F.col("_joint"), F.col("mi"))).alias("mi_xz_y"), F.max(F.when(~F.col("_joint"), F.col("mi"))).alias("mi_z_y"))
+    return both.withColumn("cmi", F.col("mi_xz_y") - F.col("mi_z_y"))
+
+
 def rigorous_conditional_runs(samples: DataFrame, key: str = "id", gammas: int = 10, seed: int = 0) -> DataFrame:
     """(gamma, chunk, n, train_mi): I(X;Y|Z) of every chunk, numbers or arrays."""
     by = conditional_arrays if samples.schema["x"].dataType.typeName() == "array" else joint_gaussian
@@ -233,6 +241,14 @@ def pairwise(table: DataFrame, columns: list[str], others: list[str] | None = No
     return one.select(F.explode(rows).alias("x")).select("x.a", "x.b", gaussian_mi(F.col("x.rho")).alias("mi"))
 
 
+def pairwise_samples(table: DataFrame, columns: list[str], others: list[str] | None = None, pairs: list[tuple[str, str]] | None = None, keys: list[str] | None = None, key: str = "id") -> DataFrame:
+    """(keys, a, b, id, x array, y array): the samples of every pair of columns, numbers or arrays, for a critic by pairs."""
+    listed = pairs or (list(combinations(columns, 2)) if others is None else [(a, b) for a in columns for b in others])
+    cell = lambda c: F.col(c).cast("array<double>") if table.schema[c].dataType.typeName() == "array" else F.array(F.col(c).cast("double"))
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), cell(a).alias("x"), cell(b).alias("y")) for a, b in listed])
+    return table.select(*(keys or []), F.col(key).alias("id"), F.explode(rows).alias("r")).select(*(keys or []), "id", "r.*")
+
+
 def matrix(found: DataFrame, names: list[str]) -> DataFrame:
     """The symmetric matrix of pairwise(): a row for each name, zeros on the diagonal."""
     both = found.select("a", "b", "mi").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "mi"))

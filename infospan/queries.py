@@ -769,6 +769,22 @@ def learned_estimate(spark, d):
     return critics.learned(halves(spark, d), training).select("train_mi", "test_mi", "best_epoch", "eval_size")
 
 
+@query()
+def learned_precision(spark, d):
+    """A critic trained once on the halves of the vectors, frozen, and scored on copies with both halves rounded."""
+    t = critics.Training(n_epochs=5, learning_rate=2e-3, seed=1)
+    scores = critics.corrupted_scores(critics.train(halves(spark, d), t), [0.05, 0.2, 0.8], target="both")
+    return scores.select("tau", "n", "mi")
+
+
+@query()
+def learned_spectra(spark, d):
+    """Participation ratios of the embeddings of the halves after each of four epochs."""
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    found = api.run(vectors, "dimensionality", split_method="spatial", critic="mlp", n_epochs=4, embedding_dim=8)
+    return found.details["epochs"].select("split", "epoch", "pr_eig", "pr_singular", "effective_rank")
+
+
 @query()
 def synthetic_gaussians(spark, d):
     return generators.correlated_gaussians(spark, 2000, 5, 2.0, seed=42)
@@ -857,8 +873,8 @@ def rigorous_transfer_runs(spark, d):
 
 @query()
 def conditional_arrays(spark, d):
-    """The vectors' first and last thirds, given the middle."""
-    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.slice(F.col("embedding").cast("array<double>"), at, 21).alias(c) for c, at in (("x", 1), ("z", 22), ("y", 43))])
+    """The vectors' first and last 21 entries, given the 22 between them."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.slice(F.col("embedding").cast("array<double>"), at, n).alias(c) for c, at, n in (("x", 1, 21), ("z", 22, 22), ("y", 44, 21))])
     return r6(modes.conditional_arrays(v), "mi_xz_y", "mi_z_y", "cmi")
 
 

@@ -87,7 +87,7 @@ def test_permutations_differ_and_are_permutations(spark):
 def test_critic_is_done_or_refused(spark):
     pairs = generators.correlated_gaussians(spark, 600, 1, 1.5, seed=5)
     with pytest.raises(ValueError):
-        run(pairs, "rigorous", critic="mlp")
+        run(pairs, "transfer", critic="mlp")
     quick = {"critic": "mlp", "n_epochs": 4, "learning_rate": 5e-3, "hidden_dim": 16, "embedding_dim": 4}
     swept = run(pairs, "sweep", grid={"scale": [0.0, 1.0]}, prepare=lambda t: t.withColumn("x", F.transform("x", lambda v: v * F.col("scale"))), **quick).table
     mi = {r["scale"]: r["mi_mean"] for r in swept.collect()}
