@@ -64,6 +64,10 @@ class ContentTable:
             self.slots[at] = entry
 
 
+#: Rows whose numbers a task holds before it lets go of them, however few contents they have.
+ROWS_HELD = 500_000
+
+
 def _better(a: tuple, b: tuple) -> bool:
     """(n_chars, id): more characters first, then the smaller id; a null id comes last."""
     return (a[0], a[1] is not None) > (b[0], b[1] is not None) or (a[0] == b[0] and a[1] is not None and b[1] is not None and a[1] < b[1])
@@ -109,7 +113,7 @@ def _partial(docs: DataFrame, id_col: str, text_col: str, kind: str, table_bytes
                 ids.append(key)
                 entries.append(entry)
                 row += 1
-                if table.bytes > table_bytes:
+                if table.bytes > table_bytes or len(rows) >= ROWS_HELD:
                     yield flush()
                     table, rows, ids, entries, firsts, digests, best, counts = ContentTable(), [], [], [], [], [], [], []
         if rows:

@@ -196,7 +196,14 @@ def count_ids(tokens: DataFrame, wide: bool) -> dict[int, int]:
     return {r["id"]: r["n"] for r in counted.collect()}
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, cut: str = "words", id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 49_408) -> DataFrame:
+def largest_id(tokenizer: str, end_id: int) -> int:
+    """The largest id that the tokenizer's file, its added tokens or the end of a text can give."""
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, cut: str = "words", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all documents, in ascending id order, to files in `folder`; returns the written index of blocks.
 
     Index: (shard, block, file, offset, size, start, n_ids): start counts the shard's ids before the block. A file is
@@ -205,7 +212,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, cut: st
     long stands for null and can't be an id), equal ids keep any order. Null texts are the end id alone. An empty table gives an empty index. Other columns are not read.
     """
     spark = docs.sparkSession
-    wide = vocabulary > 1 << 16
+    wide = largest_id(tokenizer, end_id) >= 1 << 16
     tokens = written(tokenized(docs, tokenizer, end_id, cut, id_col, text_col, wide), "ids")
     table = Table.of(count_ids(tokens, wide))
     coded_table = table.to_bytes()

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from infospan.llm import prefix_trie, queries, tokens, vector_codes, window_packing
+from infospan.llm import exact_dedup, prefix_trie, queries, rans, tokens, vector_codes, window_packing
 
 SF = "/root/testdata/sf0.001"
 WORDS = tokens.public_path("word_bpe_49k.json")
@@ -298,3 +298,30 @@ def test_prefix_trie(spark, kind, chunk):
         assert root["n_leaves"] == sum(not any(len(o) > len(t) and o[: len(t)] == t for o in leaves) for t in leaves)
         return
     assert sorted((tuple(r) for r in found), key=repr) == wanted
+
+
+# Bounds and widths of earlier operators
+
+
+def test_exact_dedup_lets_go_of_many_equal_rows(spark):
+    rows = exact_dedup.ROWS_HELD + 1000
+    many = spark.range(rows).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    parts = exact_dedup._partial(many, "doc_id", "text", "bigint", 1 << 26)
+    assert parts.where("content IS NOT NULL").count() == 2  # a representative for each time
+    found = exact_dedup.groups(many, "doc_id", "text").groupBy("keep_id", "group_size").count().collect()
+    assert [tuple(r) for r in found] == [(0, rows, rows)]
+
+
+def test_ids_over_16_bits_come_back(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = [f"w{i}" for i in range(70_000)]
+    wide = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="w0"))
+    wide.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "wide.json")
+    wide.save(path)
+    assert rans.largest_id(path, 2) == 69_999
+    texts = [(1, "w69999 w5 w65536"), (2, "w65541"), (3, None)]
+    found = rans.round_trip(spark.createDataFrame(texts, "doc_id long, text string"), path, end_id=2).collect()
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in found}
+    assert ids == {1: [69_999, 5, 65_536, 2], 2: [65_541, 2], 3: [2]}
