@@ -68,32 +68,49 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return pairs.join(spans, ["blob", "kind"], "left").select("blob", "kind", versions[F.col("kind")].alias("version"), F.coalesce("spans", empty).alias("spans"))
 
 
+def sifted(rows: DataFrame, keys: DataFrame, bits: int = 27) -> DataFrame:
+    """rows without most of those whose `blob` isn't among the keys'; none of the others is lost. Rows aren't shuffled.
+
+    A bit for each hash of a key, in bitmaps of 4 kB: 2^(bits - 18) kB at most are sent to the executors, 16 MB by default.
+    """
+    bit = F.pmod(F.xxhash64("blob"), F.lit(1 << bits)) + 1
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_map"))
+    placed = rows.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(maps), "_bucket")
+    at = F.bitmap_bit_position("_bit").cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    tested = placed.withColumns({"_byte": byte, "_at": at % 8})
+    return tested.where("shiftright(_byte, _at) & 1 = 1").drop("_bit", "_bucket", "_map", "_byte", "_at")
+
+
 def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, blob, found) for every row: found is the sorted array of (start, rank of the kind, end, kind), maybe empty.
 
     ledger: a folder in the shared store that grows with each scan; a new one where it is None or absent. Null texts
     count as empty. Repeated rows, repeated texts and null ids get the blob's spans like any other path. Texts of any length
-    are scanned whole. An empty table gives no rows. Other columns are not read.
+    are scanned whole. An empty table gives no rows. Other columns are not read. Of blobs that the ledger has for all rules
+    only sums are shuffled, not texts.
     """
     spark = versions.sparkSession
     ledger = ledger or scratch(spark, "secret-ledger")
     rows = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))  # copies combine before the shuffle
+    paths = written(rows.select("id", "blob"), "secret-paths")
     known = _read(spark, ledger)
     if known is None:
-        unseen = blobs.withColumn("missing", kinds)
+        unseen = rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("missing", kinds)  # copies combine before the shuffle
     else:
         seen = known.where(_current(rules)).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
-        unseen = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(kinds, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("missing") > 0).drop("seen")
+        lacking = paths.select("blob").distinct().join(seen, "blob", "left").withColumn("missing", F.array_except(kinds, F.coalesce("seen", F.array().cast("array<string>"))))
+        lacking = written(lacking.where(F.size("missing") > 0).select("blob", "missing"), "secret-lacking")
+        unseen = sifted(rows.select("blob", "text"), lacking).groupBy("blob").agg(F.first("text").alias("text")).join(lacking, "blob")
     scan_blobs(unseen, rules).write.mode("append").parquet(ledger)
     ranks = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
     hits = spark.read.parquet(ledger).where((F.size("spans") > 0) & _current(rules))
+    hits = hits if known is None else sifted(hits, paths)
     each = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), ranks[F.col("kind")].alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("spans"))
     found = each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("found"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    paths = written(rows.select("id", "blob"), "secret-paths")
     return spread_join(paths, found, ["blob"], F.xxhash64("id"), "left").select(F.col("id").alias(id_col), "blob", F.coalesce("found", none).alias("found"))
 
 

@@ -658,6 +658,21 @@ def test_ledger_scans_only_what_is_new(spark):
     assert found == {1: [(0, 14, "assign")], 2: []} and spark.read.parquet(ledger).count() == 8
 
 
+def test_a_second_scan_reads_no_known_text(spark):
+    rows = [(i, f"token=abcdefgh{i % 40}") for i in range(200)]
+    ledger = secrets.scratch(spark, "ledger")
+    first = secrets.scan(docs(spark, rows), ledger).select("doc_id", "blob", "found").orderBy("doc_id").collect()
+    again = secrets.scan(docs(spark, rows), ledger).select("doc_id", "blob", "found").orderBy("doc_id").collect()
+    assert again == first and spark.read.parquet(ledger).count() == 120
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 3)], "blob string")
+    held = secrets.sifted(spark.createDataFrame([(f"k{i}", "x" * 50) for i in range(3000)], "blob string, text string"), keys)
+    kept = {r["blob"] for r in held.collect()}
+    assert {f"k{i}" for i in range(0, 3000, 3)} <= kept and len(kept) <= 1010
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and all("text" not in line for line in plan.splitlines() if "Exchange" in line)
+    assert secrets.sifted(held, keys.limit(0)).count() == 0
+
+
 def test_secrets_empty_and_very_long(spark, empty):
     assert secrets.scan(empty).count() == 0
     found = secrets.scan(docs(spark, [(1, "x " * 400_000 + "token=abcdefgh " * 2000)])).collect()
