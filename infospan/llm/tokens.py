@@ -17,9 +17,10 @@ import pyarrow.compute as pc
 
 from infospan.llm.shared import held
 
-#: Chunks that a worker remembers before it starts afresh, and bytes of text handled at once.
+#: Chunks that a worker remembers before it starts afresh, chunks encoded at once, and bytes of text handled at once.
 REMEMBERED = 600_000
-TEXT_AT_ONCE = 4_000_000
+CHUNKS_AT_ONCE = 20_000
+TEXT_AT_ONCE = 2_000_000
 #: Ids in a worker's table above which texts with added tokens, which are encoded whole, make it start afresh.
 WHOLE_IDS = 16_000_000
 #: Marks of a text's first chunk and of one that follows its neighbour without a space.
@@ -106,7 +107,8 @@ class ChunkedTokenizer:
 
     def _learn(self, keys: list[str], table: dict[str, int], chunks: list[str | None]) -> None:
         some = [c for c in chunks if c is not None]
-        ids, found = self._ids(some) if some else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        runs = [self._ids(some[k : k + CHUNKS_AT_ONCE]) for k in range(0, len(some), CHUNKS_AT_ONCE)]  # the library's tokens take far more room than ids
+        ids, found = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         sizes = np.full(len(chunks), -1)
         if len(some) < len(chunks):
             sizes[[c is not None for c in chunks]] = found
