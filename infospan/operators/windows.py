@@ -52,6 +52,16 @@ class Grid:
         return points.withColumn("w", F.explode(self.of(F.col("t"))))
 
 
+def each_window(names: DataFrame, grid: Grid, block: int = 65_536) -> DataFrame:
+    """names with `w`: a row for every window of the grid; a name's windows are made in blocks that spread over tasks."""
+    if not grid.count:
+        return names.where("false").withColumn("w", F.lit(0).cast("long"))
+    blocks = names.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((grid.count - 1) // block)))).repartition("_block", *names.columns)
+    first = F.col("_block").cast("long") * block
+    windows = F.sequence(first, F.least(first + (block - 1), F.lit(grid.count - 1).cast("long")))
+    return blocks.withColumn("w", F.explode(windows)).drop("_block")
+
+
 def extent(points: DataFrame) -> tuple[float, float]:
     r = points.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     return r["a"], r["b"]
@@ -120,7 +130,7 @@ def binned_spikes(spikes: DataFrame, grid: Grid, bin_size: float, normalize: boo
     at = F.floor((F.col("t") - grid.start(F.col("w"))) / grid.size * n).cast("int")
     counted = inside.withColumn("bin", F.greatest(F.lit(0), F.least(at, F.lit(n - 1)))).groupBy("w", "neuron", "bin").agg(F.count("*").alias("n"))
     names = neurons if neurons is not None else spikes.select("neuron").distinct()
-    cells = names.select("neuron", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.count - 1).cast("long"))).alias("w")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    cells = each_window(names.select("neuron"), grid).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     value = F.coalesce("n", F.lit(0)).cast("double") / (bin_size if normalize else 1.0)
     return cells.join(counted, ["w", "neuron", "bin"], "left").select("w", "neuron", "bin", value.alias("value"))
 
@@ -182,7 +192,7 @@ def interpolated(signal: DataFrame, targets: DataFrame, bucket: float = 86_400.0
 def signal_windows(signal: DataFrame, grid: Grid, seconds: float, channels: DataFrame | None = None, bucket: float = 86_400.0) -> DataFrame:
     """(w, channel, slot, value): each window resampled every `seconds` from its start on."""
     names = channels if channels is not None else signal.select("channel").distinct()
-    targets = names.select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.count - 1).cast("long"))).alias("w"))
+    targets = each_window(names.select("channel"), grid)
     targets = targets.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots_of(grid.size, seconds) - 1))))
     targets = targets.withColumn("t", grid.start(F.col("w")) + F.col("slot") * F.lit(float(seconds)))
     return interpolated(signal, targets, bucket).select("w", "channel", "slot", "value")

@@ -261,3 +261,13 @@ def test_windowed_pairs_take_every_step(spark, monkeypatch):
     real, rows = modes.estimate, []
     monkeypatch.setattr(modes, "estimate", lambda t, keys: rows.append(t.where("window = 80 AND lag = 0").count()) or real(t, keys))
     assert queries.parsimonious_circle(spark, "/root/testdata/sf0.001").count() == 1 and rows[0] > 2000
+
+
+def test_windows_of_names_are_made_in_blocks(spark):
+    from infospan.operators.windows import Grid, each_window
+
+    names = spark.createDataFrame([("a",), ("b",)], "neuron string")
+    found = sorted(map(tuple, each_window(names, Grid(1.0, 0.0, 10.0), block=3).collect()))
+    assert found == [(n, w) for n in "ab" for w in range(10)]
+    assert each_window(names, Grid(1.0, 5.0, 5.0)).count() == 0
+    assert each_window(names, Grid(1.0, 0.0, 3e9)).limit(3).count() == 3
