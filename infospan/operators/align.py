@@ -6,23 +6,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from infospan.functions.scalar import hash_order, seed_of
+from infospan.sources.store import shuffle_parts, written
 
 
-def numbered(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
-    """df with `name`: the row's rank from 0 in the order of `order`.
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with `name`: the row's rank from 0 in the order of `order`, nulls first; equal ones follow a hash of their rows.
 
-    Ranges of `order` are ranked side by side and shifted by the rows before them, so no task sees the whole table.
+    Spark sorts df in ranges, as many as the session's shuffle partitions, and df is computed once, as the sorted rows
+    are written. A row's rank is its place in its range and the rows of the ranges before, so no task sees the whole
+    table; the hash also cuts a value that many rows share.
     """
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.agg(F.percentile_approx(order, cuts, 10_000).alias("b")).first()["b"] or ()))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", part)
+    plain = [f.name for f in df.schema if f.name != order and isinstance(f.dataType, AtomicType)]
+    ties = [F.xxhash64(*plain)] if plain else []
+    placed = df.repartitionByRange(shuffle_parts(df.sparkSession), order, *ties).sortWithinPartitions(order, *ties)
+    dealt = written(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row for each part
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    return ranked.join(before, "_part").withColumn(name, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each shuffle partition
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def paired_windows(x: DataFrame, y: DataFrame) -> DataFrame:

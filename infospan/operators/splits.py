@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from infospan.functions.scalar import hash_bits, hash_normal, hash_order, seed_of
 from infospan.operators.align import numbered
+from infospan.sources.store import shuffle_parts
 
 
 def ranked(df: DataFrame, key: str, seed: int, name: str = "rank") -> DataFrame:
@@ -21,28 +24,43 @@ def random_split(df: DataFrame, key: str = "id", fraction: float = 0.9, seed: in
     return ranked(df, key, seed).withColumn("role", F.when(F.col("rank") < int(n * fraction), "train").otherwise("test")).drop("rank")
 
 
+def test_starts(free: int, blocks: int, seed: int = 0) -> list[int]:
+    """`blocks` different numbers below `free` in order, every choice of them alike likely.
+
+    Numbers are added one by one: of a range that grows by one each time, a hashed place or, where that is taken, the newest.
+    """
+    chosen: set[int] = set()
+    for newest in range(free - blocks, free):
+        place = int(hashlib.md5(f"{seed}:{newest}".encode()).hexdigest()[:13], 16) % (newest + 1)
+        chosen.add(newest if place in chosen else place)
+    return sorted(chosen)
+
+
 def test_blocks(spark: SparkSession, n: int, fraction: float = 0.9, blocks: int = 5, seed: int = 0, gap: float = 0.5) -> DataFrame:
     """(block, lo, hi, gap_lo, gap_hi): test rows lo..hi and, around them, the rows that train nothing.
 
-    Blocks stand in equal slots of the index, each moved within its slot by a seeded hash; the first ones are longer
-    by one where the test rows don't divide evenly.
+    Blocks are drawn from all placements in which their starts lie at least a block and a row apart: with the blocks
+    taken out, that is a choice of different places among the rest. The first blocks are longer by one where the test
+    rows don't divide evenly. There are fewer blocks if there are fewer test rows.
     """
     n_test = int(n * (1 - fraction) + 1e-9)
-    size, rest = divmod(n_test, blocks)
-    rows, slot = [], n // blocks
-    for b in range(blocks):
-        length = size + (b < rest)
-        free = max(1, slot - length)
-        lo = b * slot + (48271 * (seed + 1) * (b + 1)) % 2147483647 % free
-        margin = int(round(gap * length))
-        rows.append((b, lo, lo + length - 1, lo - margin, lo + length - 1 + margin))
+    blocks = min(blocks, n_test)
+    size, rest = divmod(n_test, blocks) if blocks else (0, 0)
+    margin = int(round(gap * size))
+    rows = []
+    for b, start in enumerate(test_starts(n - blocks * size, blocks, seed)):
+        lo = start + b * size
+        hi = lo + size + (b < rest) - 1
+        rows.append((b, lo, hi, lo - margin, hi + margin))
     return spark.createDataFrame(rows, "block int, lo long, hi long, gap_lo long, gap_hi long")
 
 
 def blocked_split(df: DataFrame, index: str = "id", fraction: float = 0.9, blocks: int = 5, seed: int = 0, gap: float = 0.5, n: int | None = None) -> DataFrame:
-    """df with `role`: test in a few blocks, gap beside them, train elsewhere; random if there are too few rows for blocks."""
+    """df with `role`: test in a few blocks, gap beside them, train elsewhere; random if there is no room for the blocks."""
     n = df.count() if n is None else n
-    if int(n * (1 - fraction)) < blocks or n // blocks < 2:
+    n_test = int(n * (1 - fraction) + 1e-9)
+    used = min(blocks, n_test)
+    if used and n - used * (n_test // used) < used:
         return random_split(df, index, fraction, seed)
     listed = test_blocks(df.sparkSession, n, fraction, blocks, seed, gap).collect()  # a row for each block
     i, role = F.col(index), F.lit("train")
@@ -97,11 +115,13 @@ def permuted(df: DataFrame, column: str, key: str = "id", seed: int = 0) -> Data
     return place.join(values, "rank").select(key, column)
 
 
-def permutations(df: DataFrame, key: str, trials: int, seed: int = 0, parts: int = 64) -> DataFrame:
+def permutations(df: DataFrame, key: str, trials: int, seed: int = 0, parts: int | None = None) -> DataFrame:
     """df with (trial, rank) for every trial: ranks from 0 by a hash of (seed, trial, key), so each trial has an order of its own.
 
-    A hash's leading bits deal a trial's rows to ranges of about equal size, which are ranked side by side.
+    A hash's leading bits deal a trial's rows to ranges of about equal size, as many as the session's shuffle
+    partitions unless `parts` is given, which are ranked side by side.
     """
+    parts = parts or shuffle_parts(df.sparkSession)
     tasks = df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_h", hash_bits(seed, F.col("trial"), F.col(key)))
     dealt = tasks.withColumn("_part", F.floor(F.col("_h") / F.lit((1 << 52) // parts)).cast("int"))
     sizes = dealt.groupBy("trial", "_part").agg(F.count("*").alias("_n"))

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from infospan.operators.quantiles import medians
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -96,7 +98,7 @@ def max_events(spikes: DataFrame, size: float, bucket: float | None = None) -> D
 def without_bursts(spikes: DataFrame, size: float, multiple: float = 5.0) -> DataFrame:
     """Spikes of the neurons whose max_events() is at most `multiple` times the median over neurons."""
     peaks = max_events(spikes, size)
-    middle = peaks.agg(F.median("most").alias("middle"))
+    middle = medians(peaks, [], "most", "middle")
     kept = peaks.crossJoin(F.broadcast(middle)).where(F.col("most") <= multiple * F.col("middle")).select("neuron")  # one row
     return spikes.join(kept, "neuron", "left_semi")
 
@@ -151,7 +153,7 @@ def gaps(signal: DataFrame, bucket: float) -> DataFrame:
 def period(signal: DataFrame, bucket: float = 86_400.0, sample_rate: float | None = None) -> DataFrame:
     """(channel, period): the median gap between samples, or 1 / sample_rate; a warning if the first gap differs from that by over 5 %."""
     if sample_rate is None:
-        return gaps(signal, bucket).groupBy("channel").agg(F.median("gap").alias("period"))
+        return medians(gaps(signal, bucket), ["channel"], "gap", "period")
     first = [r["t"] for r in signal.select("t").distinct().orderBy("t").limit(2).collect()]
     if len(first) == 2 and abs((first[1] - first[0]) * sample_rate - 1) > 0.05:
         warnings.warn(f"the first gap is {first[1] - first[0]} s, not 1 / {sample_rate} s", stacklevel=2)

@@ -425,9 +425,12 @@ def random_split(spark, d):
     return splits.random_split(halves(spark, d).select("id"), "id", 0.9, 3)
 
 
-@query("""WITH n AS (SELECT count(*) AS n, floor(count(*) * (1 - 0.9) + 1e-9)::BIGINT AS t FROM embeddings),
-b AS (SELECT b, t // 5 + CASE WHEN b < t % 5 THEN 1 ELSE 0 END AS len, n // 5 AS slot FROM n, (SELECT unnest(range(0, 5)) AS b)),
-s AS (SELECT b * slot + (48271 * 4 * (b + 1)) % 2147483647 % greatest(1, slot - len) AS lo, len, round_even(0.5 * len, 0)::BIGINT AS gap FROM b),
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n, floor(count(*) * (1 - 0.9) + 1e-9)::BIGINT AS t FROM embeddings),
+q AS (SELECT t // 5 AS size, t % 5 AS rest, n - 5 * (t // 5) AS free FROM n),
+f AS (SELECT free - 5 AS j, []::BIGINT[] AS chosen FROM q UNION ALL
+ SELECT j + 1, list_append(chosen, CASE WHEN list_contains(chosen, h) THEN j ELSE h END) FROM (SELECT j, chosen, free, ('0x' || md5('3:' || j)[1:13])::BIGINT % (j + 1) AS h FROM f, q) WHERE j < free),
+b AS (SELECT unnest(list_sort(chosen)) AS start, unnest(range(0, 5)) AS b FROM f WHERE len(chosen) = 5),
+s AS (SELECT start + b * size AS lo, size + CASE WHEN b < rest THEN 1 ELSE 0 END AS len, round_even(0.5 * size, 0)::BIGINT AS gap FROM b, q),
 r AS (SELECT vec_id AS id, bool_or(vec_id BETWEEN lo AND lo + len - 1) AS test, bool_or(vec_id BETWEEN lo - gap AND lo + len - 1 + gap) AS near FROM embeddings, s GROUP BY vec_id)
 SELECT id, CASE WHEN test THEN 'test' WHEN near THEN 'gap' ELSE 'train' END AS role FROM r""")
 def blocked_split(spark, d):

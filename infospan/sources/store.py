@@ -20,6 +20,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/infospan-{name}-{uuid.uuid4().hex}"
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """The tasks of a shuffle as the session sets them; what a table is dealt into where ranges must be known."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder, or to `path`, and read again: its lineage ends here."""
     path = path or scratch(df.sparkSession, name)

@@ -10,6 +10,7 @@ from infospan import queries
 from infospan.functions import bounds, regression, scalar, spectra
 from infospan.operators import align, splits
 from infospan.operators import windows as W
+from infospan.operators.quantiles import medians
 from infospan.plans import critics, generators, modes
 from infospan.sources import tables
 
@@ -271,3 +272,44 @@ def test_windows_of_names_are_made_in_blocks(spark):
     assert found == [(n, w) for n in "ab" for w in range(10)]
     assert each_window(names, Grid(1.0, 5.0, 5.0)).count() == 0
     assert each_window(names, Grid(1.0, 0.0, 3e9)).limit(3).count() == 3
+
+
+def test_blocks_are_drawn_from_all_placements(spark):
+    seen = set()
+    for seed in range(1000):
+        starts = splits.test_starts(1000 - 5 * 20, 5, seed)
+        lows = [s + b * 20 for b, s in enumerate(starts)]
+        assert len(lows) == 5 and lows[0] >= 0 and lows[-1] + 20 <= 1000
+        assert all(b - a >= 21 for a, b in zip(lows, lows[1:], strict=False))
+        seen.add(tuple(splits.test_starts(5, 2, seed)))
+    assert seen == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    blocks = splits.test_blocks(spark, 53, fraction=0.7, blocks=4, seed=1).collect()
+    assert [r["hi"] - r["lo"] + 1 for r in blocks] == [4, 4, 4, 3] and max(r["hi"] for r in blocks) < 53
+    few = splits.blocked_split(spark.range(20), fraction=0.9, blocks=5, gap=0.0, seed=1).groupBy("role").count()
+    assert {r["role"]: r["count"] for r in few.collect()} == {"test": 2, "train": 18}
+    assert splits.blocked_split(spark.range(5), fraction=0.9).where("role = 'train'").count() == 5
+
+
+def test_medians_equal_sorted_ones(spark):
+    import statistics
+
+    rows = [(k, float((i * i * 7919) % 101)) for k, n in (("a", 1), ("b", 2), ("c", 501), ("d", 500)) for i in range(n)]
+    rows += [("e", 5.0)] * 300 + [(None, 1.0), (None, 4.0), ("f", None)] + [("c", None)] * 50
+    df = spark.createDataFrame(rows, "k string, v double")
+    values = {}
+    for k, v in rows:
+        values.setdefault(k, []).extend([] if v is None else [v])
+    wanted = {k: statistics.median(v) if v else None for k, v in values.items()}
+    assert {r["k"]: r["median"] for r in medians(df, ["k"], "v").collect()} == wanted
+    assert medians(df, [], "v").first()["median"] == statistics.median([v for _, v in rows if v is not None])
+    assert medians(df.where("false"), [], "v").collect()[0]["median"] is None
+    assert medians(df.where("false"), ["k"], "v").count() == 0
+
+
+def test_ranks_follow_the_order_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(None if i % 50 == 0 else i % 3 if i < 400 else i, i) for i in range(600)], "k int, id int")
+    found = sorted(map(tuple, align.numbered(df, "k", "rank").select("rank", "k", "id").collect()))
+    assert [r[0] for r in found] == list(range(600)) and {r[2] for r in found} == set(range(600))
+    keys = [-1 if r[1] is None else r[1] for r in found]
+    assert keys == sorted(keys)
+    assert align.numbered(df.where("false"), "k", "rank").count() == 0
