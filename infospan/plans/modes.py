@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from infospan.functions import contours, gram, regression
 from infospan.functions.scalar import hash_uniform, rounded
-from infospan.operators import align, splits
+from infospan.operators import align, correlate, splits
 from infospan.operators import windows as W
 
 #: Squared correlations are held below this, as no finite sample shows more.
@@ -341,9 +341,26 @@ def parsimonious_circle(heat: DataFrame, threshold: float = 0.2, multiple: float
     return best.select("x.*")
 
 
+def standardised(df: DataFrame, column: str) -> DataFrame:
+    """(idx, column, _n): the column less its mean, by its deviation, and the number of rows; no rows if it is constant."""
+    known = df.where(F.col(column).isNotNull())
+    stats = known.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"), F.count("*").alias("_n"))  # one row
+    return known.crossJoin(F.broadcast(stats)).where("_s > 0").select("idx", ((F.col(column) - F.col("_m")) / F.col("_s")).alias(column), "_n")
+
+
 def cross_correlation(x: DataFrame, y: DataFrame, lags: list[int]) -> DataFrame:
     """(lag, r): the mean product of the standardised series x at idx and y at idx + lag, over the whole length."""
-    z = lambda df, c: df.crossJoin(F.broadcast(df.agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"), F.count("*").alias("_n")))).select("idx", ((F.col(c) - F.col("_m")) / F.col("_s")).alias(c), "_n")
-    zx = z(x, "x")
-    pairs = align.all_lags(zx.select("idx", F.struct("x", "_n").alias("x")), z(y, "y").select("idx", "y"), lags)
+    zx = standardised(x, "x")
+    pairs = align.all_lags(zx.select("idx", F.struct("x", "_n").alias("x")), standardised(y, "y").select("idx", "y"), lags)
     return pairs.groupBy("lag").agg((F.sum(F.col("x.x") * F.col("y")) / F.max("x._n")).alias("r"))
+
+
+def cross_correlations(x: DataFrame, y: DataFrame, block: int | None = None) -> DataFrame:
+    """(lag, r) as cross_correlation() has it, at every lag between a row of x and one of y; a lag without pairs has 0.
+
+    No rows if a series is empty or constant.
+    """
+    zx = standardised(x, "x")
+    count = zx.agg(F.max("_n").alias("_n"))  # one row
+    sums = correlate.all_lag_sums(zx, standardised(y, "y"), block)
+    return sums.crossJoin(F.broadcast(count)).select("lag", (F.col("s") / F.col("_n")).alias("r"))

@@ -13,7 +13,7 @@ from infospan.operators import windows as W
 from infospan.plans import api, critics, generators, modes
 from infospan.sources import tables
 from infospan.sources.store import written
-from infospan.streaming import binned
+from infospan.streaming import binned, resampled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,6 +291,15 @@ def cross_correlation(spark, d):
     return r6(modes.cross_correlation(s.select("idx", "x"), s.select("idx", "y"), list(range(-30, 31, 5))), "r")
 
 
+@query(f"""WITH {DAILY}, z AS (SELECT idx, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y, count(*) OVER () AS n FROM p)
+SELECT b.idx - a.idx AS lag, round(sum(a.x * b.y) / max(a.n), 6) + 0.0 AS r FROM z a, z b GROUP BY 1""")
+def cross_correlations(spark, d):
+    """At all lags: twice the series' length."""
+    s = daily(spark, d)
+    found = modes.cross_correlations(s.select("idx", "x"), s.select("idx", "y"))
+    return found.select("lag", (F.round("r", 6) + F.lit(0.0)).alias("r"))
+
+
 @query(f"""WITH {DAILY}, h AS (SELECT a.idx, b.idx - a.idx AS k, b.x FROM p a JOIN p b ON b.idx BETWEEN a.idx AND a.idx + 5)
 SELECT idx, list(x ORDER BY k)[1:5]::VARCHAR AS past, list(x ORDER BY k)[6:6]::VARCHAR AS future FROM h GROUP BY idx HAVING count(*) = 6""")
 def te_history(spark, d):
@@ -798,6 +807,24 @@ def stream_binned(spark, d):
     return binned.run_once(spark, d)
 
 
+@query("""WITH e AS (SELECT event_type AS neuron, epoch(ts::TIMESTAMP) AS t FROM events), m AS (SELECT max(t) AS top FROM e),
+w AS (SELECT neuron, (floor(t / 7200) - k)::BIGINT * 2 AS hour FROM e, (SELECT unnest(range(0, 3)) AS k))
+SELECT neuron, hour, count(*) AS n FROM w, m WHERE (hour + 6) * 3600 <= top - 86400 GROUP BY 1, 2""")
+def stream_closed_windows(spark, d):
+    """A stream in append mode: windows that are a day past when the stream ends."""
+    return binned.run_closed(spark, d)
+
+
+@query("""WITH s AS (SELECT event_type AS channel, epoch(ts::TIMESTAMP) AS t, max(value::DOUBLE) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT channel, k, k * 1800.0::DOUBLE AS t FROM (SELECT channel, unnest(range(ceil(min(t) / 1800)::BIGINT, floor(max(t) / 1800)::BIGINT + 1)) AS k FROM s GROUP BY channel)),
+l AS (SELECT q.channel, q.k, q.t, s.t AS lt, s.value AS lv FROM q ASOF JOIN s ON q.channel = s.channel AND q.t >= s.t),
+b AS (SELECT l.*, s.t AS rt, s.value AS rv FROM l ASOF JOIN s ON l.channel = s.channel AND l.t <= s.t)
+SELECT channel, k, round(CASE WHEN lt = t THEN lv ELSE lv + (rv - lv) / (rt - lt) * (t - lt) END, 5) AS value FROM b""")
+def stream_resampled(spark, d):
+    """A stream of samples by event type on a grid of half hours, the last sample carried over."""
+    return resampled.run_once(spark, d).withColumn("value", F.round("value", 5))
+
+
 # ---------------------------------------------------------------- streams in pairs, corruption, grids and rigorous scalars
 
 
