@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(found) == rows(wanted)
 
 
-@pytest.mark.parametrize("name", ["sweep_summary", "wls_extrapolate", "noise_precision", "lag_grid", "pairwise_grid", "longest_contour", "parsimonious_circle", "noise_ladder"])
+@pytest.mark.parametrize("name", ["sweep_summary", "wls_extrapolate", "noise_precision", "lag_grid", "pairwise_grid", "longest_contour", "parsimonious_circle", "noise_ladder", "cross_correlations", "stream_closed_windows", "stream_resampled", "period_median"])
 def test_query_equals_sql_on_more_rows(spark, larger, name):
     found, wanted = queries.QUERIES[name](spark, LARGER).toPandas(), larger.sql(queries.ORACLES[name]).df()
     assert rows(found) == rows(wanted)
