@@ -37,6 +37,24 @@ def rounded(x: Column, tau: float | Column) -> Column:
     return F.when(tau == 0, x).otherwise(tau * F.rint(x / F.nullif(tau, F.lit(0.0))))
 
 
+def plain_text(x: Column) -> Column:
+    """Text of a double as SQL engines and Python write it: digits without exponent from 1e-4 up to 1e16, else as in 9.5e-05.
+
+    Spark's own text has an exponent below 1e-3 and from 1e7 on.
+    """
+    text = x.cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+    sign, first, rest, power = part(1), part(2), F.when(part(3) == "0", "").otherwise(part(3)), F.try_to_number(part(4), F.lit("S999")).cast("int")
+    digits = F.concat(first, rest)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole, after = F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.substr(digits, power + 2)
+    large = F.concat(whole, F.lit("."), F.when(after == "", "0").otherwise(after))
+    short = F.concat(first, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    shown = F.concat(sign, F.when(power.between(-4, -1), small).when(power.between(0, 15), large).otherwise(short))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.coalesce(odd, F.when(text.contains("E"), shown).otherwise(text))
+
+
 def jittered(x: Column, tau: float, seed: int) -> Column:
     """x with uniform noise of width tau."""
     return x + (F.rand(seed) - 0.5) * tau

@@ -113,7 +113,7 @@ def spike_windows(spikes: DataFrame, grid: Grid, cap: int | None = None) -> Data
 
 def packed_spikes(windowed: DataFrame, slots: int, fill: float = -1.0) -> DataFrame:
     """(w, neuron, x): the values of spike_windows() as an array of `slots`, filled up."""
-    listed = windowed.groupBy("w", "neuron").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda s: s["value"]).alias("x"))
+    listed = windowed.where(F.col("slot") < slots).groupBy("w", "neuron").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "value"))), lambda s: s["value"]).alias("x"))
     return listed.select("w", "neuron", F.slice(F.concat("x", F.array_repeat(F.lit(fill), slots)), 1, slots).alias("x"))
 
 

@@ -166,7 +166,7 @@ SELECT w, event_type AS neuron, list_transform(list_concat(list(value ORDER BY s
 def packed_spikes(spark, d):
     s = event_spikes(spark, d)
     packed = W.packed_spikes(W.spike_windows(s, event_grid(s)), 4)
-    text = F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: F.round(v, 6).cast("string")), ", "), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: scalar.plain_text(F.round(v, 6))), ", "), F.lit("]"))
     return packed.select("w", "neuron", text.alias("x"))
 
 
@@ -303,7 +303,7 @@ def cross_correlations(spark, d):
 @query(f"""WITH {DAILY}, h AS (SELECT a.idx, b.idx - a.idx AS k, b.x FROM p a JOIN p b ON b.idx BETWEEN a.idx AND a.idx + 5)
 SELECT idx, list(x ORDER BY k)[1:5]::VARCHAR AS past, list(x ORDER BY k)[6:6]::VARCHAR AS future FROM h GROUP BY idx HAVING count(*) = 6""")
 def te_history(spark, d):
-    text = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: v.cast("string")), ", "), F.lit("]")).alias(c)
+    text = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, scalar.plain_text), ", "), F.lit("]")).alias(c)
     return align.histories(daily(spark, d), 5, 1, value="x").select("idx", text("past"), text("future"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,25 @@ def test_most_events_equal_two_pointers(spark):
     assert found == {"a": brute, "b": 1}
 
 
+def test_packed_spikes_equal_sql_where_values_are_small(spark, tmp_path):
+    """Values below 1e-3 and 1e-4, which Spark writes with an exponent and SQL without, or with another one."""
+    at = [0.0, 0.000946, 0.000012, 3600.000001, 3600.00001, 3600.0001, 3600.00095, 3600.001, 3600.002, 9000.5]
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + to_microseconds({round(t * 1e6)}), 'a', 1.0)" for i, t in enumerate(at))
+    c = duckdb.connect()
+    c.sql(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) v(event_id, ts, event_type, value)")
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    found = queries.packed_spikes(spark, str(tmp_path)).toPandas()
+    wanted = c.sql(queries.ORACLES["packed_spikes"]).df()
+    assert sorted(found.itertuples(index=False, name=None)) == sorted(wanted[list(found.columns)].itertuples(index=False, name=None))
+    assert "[1e-06, 1e-05, 0.0001, 0.00095]" in set(found["x"])
+
+
+def test_text_of_doubles_equals_python(spark):
+    values = [0.0, -0.0, 1e-3, -9.5e-4, 1e-4, 9.5e-5, 1e7, -12345678.25, 1e15, 1e16, 1.5e100, 1e-100, float("nan"), float("inf"), float("-inf")]
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", scalar.plain_text(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in found] == list(map(repr, values))
+
+
 def test_interpolation_equals_numpy(spark):
     rng = np.random.default_rng(1)
     t = np.sort(rng.uniform(0, 100, 60))
