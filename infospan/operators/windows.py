@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from infospan.operators.quantiles import medians
+from infospan.sources.store import shuffle_parts, written
 
 
 @dataclass(frozen=True)
@@ -86,13 +87,21 @@ def grid_for(size: float, *streams: DataFrame, step: float | None = None, n_seco
 def max_events(spikes: DataFrame, size: float, bucket: float | None = None) -> DataFrame:
     """(neuron, most): the most spikes in any closed span of `size` seconds, at least 1.
 
-    Time is cut into buckets no shorter than `size`; each also gets the spikes of the one before.
+    Each spike is two marks: it comes in at t - size and, after all that come in there, goes out at t. The spikes inside a span that ends at t are
+    the running sum of the marks up to t - size, so a spike costs the same however many share its span. Marks are
+    cut into ranges of equal numbers, or into buckets of time if `bucket` is given; what was inside before a range comes from the ranges' sums.
     """
-    width = max(size, bucket or 64 * size)
-    own = F.floor(F.col("t") / width)
-    dealt = spikes.select("neuron", "t", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))).alias("x")).select("neuron", "t", "x.*")
-    counted = dealt.withColumn("n", F.expr(f"count(*) OVER (PARTITION BY neuron, b ORDER BY t RANGE BETWEEN {float(size)!r}D PRECEDING AND CURRENT ROW)"))
-    return counted.where("own").groupBy("neuron").agg(F.greatest(F.lit(1).cast("long"), F.max("n")).alias("most"))
+    counted = spikes.groupBy("neuron", "t").agg(F.count("*").alias("n"))
+    kinds = F.array(F.struct((F.col("t") - float(size)).alias("at"), F.lit(False).alias("out"), F.col("n").alias("d")), F.struct(F.col("t").alias("at"), F.lit(True).alias("out"), (-F.col("n")).alias("d")))
+    marks = counted.select("neuron", F.explode(kinds).alias("x")).select("neuron", "x.*")
+    if bucket is None:
+        marks = written(marks.repartitionByRange(shuffle_parts(spikes.sparkSession), "neuron", "at", "out").withColumn("_part", F.spark_partition_id().cast("long")), "marks")
+    else:
+        marks = marks.withColumn("_part", F.when(~F.isnan("at"), F.floor(F.col("at") / bucket)))
+    inside = F.sum("d").over(Window.partitionBy("neuron", "_part").orderBy("at", "out").rowsBetween(Window.unboundedPreceding, 0))
+    parts = marks.withColumn("inside", inside).groupBy("neuron", "_part").agg(F.sum("d").alias("d"), F.max("inside").alias("top"))
+    before = F.sum("d").over(Window.partitionBy("neuron").orderBy("_part")) - F.col("d")  # a row for each range that a neuron lies in
+    return parts.withColumn("most", F.col("top") + before).groupBy("neuron").agg(F.greatest(F.lit(1).cast("long"), F.max("most")).alias("most"))
 
 
 def without_bursts(spikes: DataFrame, size: float, multiple: float = 5.0) -> DataFrame:

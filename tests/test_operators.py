@@ -42,6 +42,26 @@ def test_most_events_equal_two_pointers(spark):
     assert found == {"a": brute, "b": 1}
 
 
+@pytest.mark.parametrize("bucket", [None, 1.0, 100.0])
+def test_most_events_equal_sql_with_nulls_ties_and_rounding(spark, bucket):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(t)) for t in np.cumsum(rng.integers(0, 3, 300)) * 0.1] + [("b", 5.0)] * 7 + [("c", None)] * 3 + [("c", 1.0)] + [("n", float("nan"))] * 2 + [(None, -0.3), (None, 0.0)]
+    c = duckdb.connect()
+    c.sql("CREATE TABLE s (neuron VARCHAR, t DOUBLE)")
+    c.executemany("INSERT INTO s VALUES (?, ?)", [list(r) for r in rows])
+    wanted = c.sql("SELECT neuron, max(n) FROM (SELECT neuron, count(*) OVER (PARTITION BY neuron ORDER BY t RANGE BETWEEN 0.3 PRECEDING AND CURRENT ROW) AS n FROM s) GROUP BY 1").fetchall()
+    found = W.max_events(spark.createDataFrame(rows, "neuron string, t double"), 0.3, bucket).collect()
+    assert {r["neuron"]: r["most"] for r in found} == dict(wanted)
+
+
+def test_most_events_in_one_span_cost_no_square(spark):
+    """100,000 spikes in one span: counted over again for each, 5,000,000,000 steps."""
+    s = spark.range(100_000).select(F.lit("a").alias("neuron"), (F.col("id") / 1e5).alias("t"))
+    frames = W.max_events(s, 2.0)
+    assert frames.collect() == [("a", 100_000)]
+    assert "RangeFrame, -" not in frames._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packed_spikes_equal_sql_where_values_are_small(spark, tmp_path):
     """Values below 1e-3 and 1e-4, which Spark writes with an exponent and SQL without, or with another one."""
     at = [0.0, 0.000946, 0.000012, 3600.000001, 3600.00001, 3600.0001, 3600.00095, 3600.001, 3600.002, 9000.5]
