@@ -497,29 +497,59 @@ def corrupted_scores(trained: Trained, taus: list[float], method: str = "roundin
     return means.join(trained.tasks, "k").select(*keys, "tau", "draw", F.col("rows").alias("n"), "mi")
 
 
+def _blocks(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ids, n, x, y): samples side by side, a key's rows of each batch in one block, so that weights meet blocks, not rows."""
+    own = samples.select(*keys, "id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+    columns = ["ids", "n", "x", "y"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            groups = [part.iloc[at] for at in part.groupby(keys, dropna=False, sort=False).indices.values()] if keys else [part]
+            found = [(*rows[keys].iloc[0], rows["id"].to_numpy(), len(rows), *(_bytes(np.stack(rows[c].to_list())) for c in ("x", "y"))) for rows in groups if len(rows)]
+            yield pd.DataFrame(found, columns=[*keys, *columns])
+
+    named = "".join(f"`{k}` {own.schema[k].dataType.simpleString()}, " for k in keys)
+    return own.mapInPandas(run, f"{named}ids array<{own.schema['id'].dataType.simpleString()}>, n int, x binary, y binary")
+
+
 def embeddings_by_epoch(trained: Trained, samples: DataFrame, epochs: list[int] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """(keys, epoch, id, x, y): samples (keys, id, x, y) embedded by their task's critic after each epoch, or after those listed."""
+    """(keys, epoch, id, x, y): samples (keys, id, x, y) embedded by their task's critic after each epoch, or after those listed.
+
+    A task's weights of all epochs meet its samples' blocks: sent up to SENT_BYTES, shuffled beyond.
+    """
     t, weights, keys = trained.training, trained.weights, keys or []
     if epochs is not None:
         weights = weights.where(F.col("epoch").isin(epochs))
-    own = samples.select(*keys, "id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
-    both = own.join(weights, keys) if keys else own.crossJoin(F.broadcast(weights))  # a row an epoch
-    columns = [*keys, "epoch", "id"]
-    schema = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in columns) + ", x array<double>, y array<double>"
+    listed = weights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("epoch", "x_weights", "y_weights"))).alias("w"))
+    size = 8 * (trained.inputs * (t.hidden_dim + 2) + 2 * (t.hidden_dim + 1) * (t.hidden_dim + t.embedding_dim + 1)) * (t.n_epochs + 1 if epochs is None else len(epochs)) * trained.n_tasks
+    blocks = _blocks(samples, keys)
+    both = blocks.join(F.broadcast(listed) if size <= SENT_BYTES else listed, keys) if keys else blocks.crossJoin(F.broadcast(listed))  # one row
+    named = "".join(f"`{k}` {samples.schema[k].dataType.simpleString()}, " for k in keys)
+    schema = f"{named}epoch int, id {samples.schema['id'].dataType.simpleString()}, x array<double>, y array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                n, ids = batch["n"][i].as_py(), batch["ids"].slice(i, 1).flatten()
+                sides = {c: np.frombuffer(batch[c][i].as_buffer(), np.float64).reshape(n, -1) for c in ("x", "y")}
+                every = batch["w"].slice(i, 1).flatten()
+                for e in range(len(every)):
+                    w = every.slice(e, 1).flatten()
+                    out = {c: _embedded(sides[c], w[1 + s].flatten().to_numpy(), t) for s, c in enumerate(("x", "y"))}
+                    same = [batch[k].take(pa.array(np.full(n, i))) for k in keys]
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel())) for v in out.values()]
+                    yield pa.RecordBatch.from_arrays([*same, w[0].take(pa.array(np.zeros(n, np.int64))), ids, *lists], [*keys, "epoch", "id", "x", "y"])
+
+    return both.mapInArrow(run, schema)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for _, group in part.groupby([*keys, "epoch"], dropna=False):
-                yield group[columns].assign(x=_forward(group, "x", t), y=_forward(group, "y", t))
 
-    return both.mapInPandas(run, schema)
+def _embedded(v: np.ndarray, flat: np.ndarray, t: Training) -> np.ndarray:
+    d = v.shape[1]
+    return Encoder(d, t, np.random.default_rng(0)).load(flat[2 * d :])((v - flat[:d]) / flat[d : 2 * d])
 
 
 def _forward(part: pd.DataFrame, side: str, t: Training) -> list[np.ndarray]:
-    v = np.stack(part[side].to_list())
-    flat, d = np.asarray(part[f"{side}_weights"].iloc[0]), v.shape[1]
-    encoder = Encoder(d, t, np.random.default_rng(0)).load(flat[2 * d :])
-    return list(encoder((v - flat[:d]) / flat[d : 2 * d]))
+    return list(_embedded(np.stack(part[side].to_list()), np.asarray(part[f"{side}_weights"].iloc[0]), t))
 
 
 def aligned(embedded: DataFrame, to: int, column: str = "x") -> DataFrame:

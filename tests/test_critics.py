@@ -132,3 +132,23 @@ def test_turned_embeddings_come_back(spark):
     found = critics.aligned(spark.createDataFrame(rows, "epoch int, id long, x array<double>, y array<double>"), to=2).collect()
     wanted = {i: base[i] @ turns[2] for i in range(80)}
     assert len(found) == 240 and all(np.abs(np.array(r["x"]) - wanted[r["id"]]).max() < 1e-6 for r in found)
+
+
+def test_weights_meet_blocks_of_samples(spark, pairs):
+    """Embeddings after each epoch are the encoders' own, of either task, and no row of the samples carries weights."""
+    t = critics.Training(n_epochs=2, learning_rate=5e-3, hidden_dim=16, embedding_dim=4)
+    both = pairs.withColumn("task", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("x", F.when(F.col("task") == "a", F.col("x")).otherwise(F.reverse("x")))
+    trained = critics.train(both, t, ["task"])
+    embedded = critics.embeddings_by_epoch(trained, both, keys=["task"])
+    assert "ids#" in embedded._jdf.queryExecution().executedPlan().toString()
+    found = embedded.toPandas()
+    assert len(found) == 2 * 2 * 900 and list(found.columns) == ["task", "epoch", "id", "x", "y"]
+    samples = both.toPandas().set_index(["task", "id"])
+    for r in trained.weights.collect():
+        own = found[(found["task"] == r["task"]) & (found["epoch"] == r["epoch"])].sort_values("id")
+        rows = samples.loc[[(r["task"], i) for i in own["id"]]]
+        for side in ("x", "y"):
+            v, flat = np.stack(rows[side].to_list()), np.asarray(r[f"{side}_weights"])
+            d = v.shape[1]
+            wanted = critics.Encoder(d, t, np.random.default_rng(0)).load(flat[2 * d :])((v - flat[:d]) / flat[d : 2 * d])
+            assert np.allclose(np.stack(own[side].to_list()), wanted, atol=1e-12)
