@@ -162,7 +162,7 @@ class ChunkedTokenizer:
             lists = pc.split_pattern(marked, " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        entries = self._entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        entries = self._entries(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]  # strings at once, no scalar for each
         counts = np.diff(bounds)
         bad = np.flatnonzero(self.sizes[entries] < 0)
         if len(bad):
